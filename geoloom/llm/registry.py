@@ -4,6 +4,6 @@ from __future__ import annotations
 
 
 def modules() -> list:
-    from geoloom.llm import chat, exact_dedup, url_filter, warc
+    from geoloom.llm import bpe, chat, contamination, exact_dedup, simhash, url_filter, warc
 
-    return [warc, chat, exact_dedup, url_filter]
+    return [warc, simhash, chat, exact_dedup, contamination, url_filter, bpe]
