@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoloom.llm.common import table
+from geoloom.llm.common import cut, table
 
 #: The characters deleted before texts are compared.
 WHITE_SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
@@ -42,15 +42,19 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .select("h", "group_size", F.col("best.id").alias("keep_id"), (F.col("lo") != F.col("hi")).alias("collided"),
                 F.sha2(F.col("lo").cast("binary"), 256).alias("text_sha256"))
     )
+    # Used twice and made from whole texts: written once.
+    groups, _ = cut(groups, "exact")
     # The join has only the hash and the id on the large side; adaptive execution splits a hot hash.
-    joined = rows.select("id", "h").join(groups, "h")
-    plain = joined.filter(~F.col("collided")).select("id", "keep_id", "group_size", "text_sha256")
-    clash = rows.join(groups.filter("collided").select("h"), "h", "left_semi")
-    by_text = clash.groupBy("h", "norm").agg(F.count(F.lit(1)).alias("group_size"), light)
-    exact = clash.select("id", "h", "norm").join(by_text, ["h", "norm"]).select(
-        "id", F.col("best.id").alias("keep_id"), "group_size", F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256")
-    )
-    return plain.unionByName(exact).select(
+    found = rows.select("id", "h").join(groups, "h").filter(~F.col("collided")).select("id", "keep_id", "group_size", "text_sha256")
+    if not groups.filter("collided").isEmpty():
+        clash = rows.join(groups.filter("collided").select("h"), "h", "left_semi")
+        by_text = clash.groupBy("h", "norm").agg(F.count(F.lit(1)).alias("group_size"), light)
+        found = found.unionByName(
+            clash.select("id", "h", "norm").join(by_text, ["h", "norm"]).select(
+                "id", F.col("best.id").alias("keep_id"), "group_size", F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256")
+            )
+        )
+    return found.select(
         F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
     )
 
