@@ -4,6 +4,6 @@ from __future__ import annotations
 
 
 def modules() -> list:
-    from geoloom.llm import bpe, chat, contamination, exact_dedup, line_dedup, simhash, toxicity, url_filter, warc
+    from geoloom.llm import bpe, chat, contamination, context_mixing, exact_dedup, line_dedup, simhash, toxicity, url_filter, warc
 
-    return [warc, simhash, chat, toxicity, exact_dedup, contamination, url_filter, line_dedup, bpe]
+    return [warc, context_mixing, simhash, chat, toxicity, exact_dedup, contamination, url_filter, line_dedup, bpe]
