@@ -1,0 +1,9 @@
+"""Registered queries and the SQL that checks them."""
+
+from __future__ import annotations
+
+
+def modules() -> list:
+    from geoloom.plans import points
+
+    return [points]
