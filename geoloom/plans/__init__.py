@@ -4,6 +4,6 @@ from __future__ import annotations
 
 
 def modules() -> list:
-    from geoloom.plans import points
+    from geoloom.plans import points, terrain
 
-    return [points]
+    return [points, terrain]
