@@ -63,6 +63,15 @@ def detect(df: DataFrame, a: str = "a", b: str = "b", region=GERMANY) -> DataFra
     return wide.withColumn("guesses", picked).select(*df.columns, "guesses")
 
 
+def best_reading(df: DataFrame, a: str = "a", b: str = "b", region=GERMANY) -> DataFrame:
+    """df with epsg, lat, lon, confidence and swapped of the best reading, and n_guesses; null where there is none.
+
+    The reading is unpacked by a generator, so later filters are not copied into the long expressions.
+    """
+    found = detect(df, a, b, region)
+    return found.select(*df.columns, F.size("guesses").alias("n_guesses"), F.inline_outer(F.slice("guesses", 1, 1)))
+
+
 def interpret(df: DataFrame, epsg: int, x: str, y: str, region=GERMANY) -> DataFrame:
     """lat, lon and confidence under a given system; null where the place is beyond the region."""
     stages = [*geodesy.to_geo(epsg, x, y, "lat", "lon"), {"t_fit": region_fit("lat", "lon", region)}, {"confidence": "CASE WHEN t_fit > 0e0 THEN 0.5e0 + 0.45e0 * t_fit END"}]

@@ -96,10 +96,8 @@ _PAIRS_SQL = ("(SELECT id, [lat, lon, ux, uy, mx][id % 5 + 1] AS a, [lon, lat, u
 
 
 def crs_detect(spark, sf_dir):
-    found = detection.detect(_pairs(spark, sf_dir)).withColumn("best", F.get("guesses", F.lit(0)))
-    return found.select("id", F.size("guesses").alias("n_guesses"), F.col("best.epsg").alias("epsg"), F.col("best.swapped").alias("swapped"),
-                        F.round("best.confidence", 6).alias("confidence"), F.round("best.lat", 6).alias("lat"), F.round("best.lon", 6).alias("lon"),
-                        (F.coalesce(F.col("best.confidence"), F.lit(0.0)) < 0.6).alias("doubtful"))
+    found = detection.best_reading(_pairs(spark, sf_dir))
+    return found.select("id", "n_guesses", "epsg", "swapped", *_r(("confidence", 6), ("lat", 6), ("lon", 6)), (F.coalesce("confidence", F.lit(0.0)) < 0.6).alias("doubtful"))
 
 
 def _detect_sql():
