@@ -155,6 +155,8 @@ def find_coordinates(docs: DataFrame, id_col: str = "id", json_col: str = "json"
 
         ranked = steps.apply(ranked, [*geodesy.to_geo(options.assume_epsg, "a", "b", "t_qlat", "t_qlon", "p"),
                                       {"p_fit": detection.region_fit("t_qlat", "t_qlon", options.region), "p_lat": "t_qlat", "p_lon": "t_qlon"}])
+        # Unpacked by a generator for the same reason as the best reading.
+        ranked = ranked.select(*(c for c in ranked.columns if c[:2] != "p_"), F.inline(F.array(F.struct("p_fit", "p_lat", "p_lon"))))
         pinned = F.col("p_fit") > 0
         epsg, lat, lon = F.when(pinned, options.assume_epsg).otherwise(epsg), F.when(pinned, F.col("p_lat")).otherwise(lat), F.when(pinned, F.col("p_lon")).otherwise(lon)
         conf = F.when(pinned, 0.5 + 0.45 * F.col("p_fit")).otherwise(conf)

@@ -202,7 +202,23 @@ def polygon_tiles(spark, sf_dir):
     return cover.join(at, ["east_km", "north_km"], "left").select("east_km", "north_km", F.coalesce("n", F.lit(0)).alias("n_points"))
 
 
+def _meets_sql() -> str:
+    """Whether the polygon meets the box (x0, y0, x1, y1): a point or corner inside, or two edges that cross."""
+    inside = " OR ".join(f"({px}e0 BETWEEN x0 AND x1 AND {py}e0 BETWEEN y0 AND y1)" for px, py in _RING)
+    corners = [("x0", "y0"), ("x1", "y0"), ("x1", "y1"), ("x0", "y1")]
+    corner = " OR ".join(f"({_contains_sql(x, y)})" for x, y in corners)
+    turn = lambda o, p, q: f"sign(({p[0]} - {o[0]}) * ({q[1]} - {o[1]}) - ({p[1]} - {o[1]}) * ({q[0]} - {o[0]}))"
+    edge = [((f"{a[0]}e0", f"{a[1]}e0"), (f"{b[0]}e0", f"{b[1]}e0")) for a, b in zip(_RING, _RING[1:] + _RING[:1])]
+    cross = " OR ".join(
+        f"({turn(c, d, a)} * {turn(c, d, b)} < 0 AND {turn(a, b, c)} * {turn(a, b, d)} < 0)" for a, b in edge for c, d in zip(corners, corners[1:] + corners[:1]))
+    return f"({inside} OR {corner} OR {cross})"
+
+
 QUERIES["polygon_tiles"] = polygon_tiles
+ORACLE_SQL["polygon_tiles"] = f"""
+WITH t AS (SELECT e::INT AS east_km, n::INT AS north_km, e * 1000e0 AS x0, n * 1000e0 AS y0, e * 1000e0 + 10000 AS x1, n * 1000e0 + 10000 AS y1 FROM range(600, 760, 10) AS a(e), range(5300, 5480, 10) AS b(n)),
+p AS (SELECT (floor(x / 10000) * 10)::INT AS east_km, (floor(y / 10000) * 10)::INT AS north_km, count(*) AS n FROM {steps.as_sql(POINTS, geodesy.from_geo(25832, "lat", "lon", "x", "y"))} GROUP BY 1, 2)
+SELECT t.east_km, t.north_km, coalesce(p.n, 0) AS n_points FROM t LEFT JOIN p USING (east_km, north_km) WHERE {_meets_sql()}"""
 
 
 def bbox_filter(spark, sf_dir):
