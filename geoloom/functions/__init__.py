@@ -1,0 +1 @@
+"""Expressions."""

@@ -1,0 +1 @@
+"""Operators over points, boxes, rasters, tracks, sensors, documents and pictures."""

@@ -1,0 +1 @@
+"""The engine has no stream of its own; the operators that keep no state apply to streaming DataFrames as they are."""
