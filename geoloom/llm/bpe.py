@@ -35,7 +35,9 @@ MEMO_WORDS, MEMO_CHARS, BLOCK_CHARS, BLOCK_WORDS = 400_000, 48, 1 << 20, 200_000
 #: Fixed value: the word pattern of the byte-level pre-tokenizer.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-NEVER = np.int64(1) << 40
+NEVER, NO_RANK = np.int64(1) << 40, 1 << 40
+#: Words up to this many bytes are merged by searching their pairs, longer ones by a heap.
+SHORT_WORD = 64
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -79,7 +81,11 @@ class Codec:
         whole = self.compatible(left[made], right[made], rank[made])
         ids = [*made[whole].tolist(), *self.byte_id]
         self.by_bytes = {self.token_bytes[i]: i for i in ids}
-        self.longest = max(map(len, self.by_bytes))
+        # How far a proposal that begins with some bytes can reach.
+        self.reach: dict[bytes, int] = {}
+        for b in self.by_bytes:
+            self.reach[b[:3]] = max(len(b), self.reach.get(b[:3], 0))
+        self.rank_of, self.made = {p: r for p, (r, _) in self.merge.items()}, {r: t for r, t in self.merge.values()}
         self.pattern = regex.compile(PATTERN)
         self.split = re.compile("(" + "|".join(re.escape(x) for x in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
         self.memo: dict[str, tuple[int, ...]] = {}
@@ -116,12 +122,12 @@ class Codec:
         return good
 
     def greedy(self, word: bytes) -> list[int]:
-        out, at, get, n = [], 0, self.by_bytes.get, len(word)
+        out, at, get, reach, n = [], 0, self.by_bytes.get, self.reach.get, len(word)
         whole = get(word)
         if whole is not None:
             return [whole]
         while at < n:
-            for end in range(min(n, at + self.longest), at, -1):
+            for end in range(min(n, at + reach(word[at : at + 3], 2)), at, -1):
                 if (t := get(word[at:end])) is not None:
                     break
             out.append(t)
@@ -129,7 +135,23 @@ class Codec:
         return out
 
     def exact(self, word: bytes) -> list[int]:
-        """Merges in order of rank, leftmost first, by a heap over neighbouring pairs."""
+        """Merges in order of rank, leftmost first."""
+        if len(word) > SHORT_WORD:
+            return self._exact_long(word)
+        ids, get = [self.byte_id[b] for b in word], self.rank_of.get
+        ranks = [get(p, NO_RANK) for p in zip(ids, ids[1:])]
+        while ranks and (r := min(ranks)) != NO_RANK:
+            i = ranks.index(r)
+            ids[i : i + 2] = [self.made[r]]
+            del ranks[i]
+            if i < len(ranks):
+                ranks[i] = get((ids[i], ids[i + 1]), NO_RANK)
+            if i:
+                ranks[i - 1] = get((ids[i - 1], ids[i]), NO_RANK)
+        return ids
+
+    def _exact_long(self, word: bytes) -> list[int]:
+        """The same by a heap over neighbouring pairs, for words whose pairs are too many to search again and again."""
         ids, n = [self.byte_id[b] for b in word], len(word)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = [(m[0], i, ids[i], ids[i + 1], m[1]) for i in range(n - 1) if (m := self.merge.get((ids[i], ids[i + 1])))]
@@ -204,7 +226,7 @@ _codecs: dict[str, Codec] = {}
 
 
 def codec(path: str) -> Codec:
-    """One per worker process, whose memo lasts from task to task."""
+    """One per worker process."""
     if path not in _codecs:
         _codecs[path] = Codec(path)
     return _codecs[path]
@@ -230,6 +252,8 @@ def _coded(path: str, text_col: str, keep: list[str]):
                     columns = [*(kept.column(c).slice(begin, i + 1 - begin) for c in keep), lists, pa.array(decoded, pa.string())]
                     yield pa.RecordBatch.from_arrays(columns, [*keep, "ids", "decoded"])
                     begin, ids, decoded, offsets, chars = i + 1, [], [], [0], 0
+        # The worker goes on to other work; the words of this task would only fill its memory.
+        own.memo.clear()
 
     return run
 

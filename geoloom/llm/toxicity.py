@@ -38,7 +38,7 @@ GAIN, RATIO = 20.0, 4.0
 LEVEL, THRESHOLD = 6, 0.3
 #: Distances from 0 to TOP have a calibrated score each.
 TOP = 6
-MEMO_WORDS, ROWS_OUT = 500_000, 2048
+MEMO_WORDS, ROWS_OUT = 200_000, 1024
 
 #: What stands around a word in a window, and what is stripped from words.
 BEFORE, AFTER, MARKS = b"<0123456789ABCDEFGH>", b"<IJKLMNOPQRSTUVWXYZ>", b".,!?;:|*&%$#()\""
