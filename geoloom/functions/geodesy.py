@@ -10,6 +10,7 @@ import math
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from geoloom.functions import steps
 from geoloom.functions.steps import Stages
@@ -249,6 +250,17 @@ def convert_by_column(df: DataFrame, epsg: str, x: str, y: str, lat: str, lon: s
     return steps.apply(df, [*stages, {lat: pick("lat"), lon: pick("lon")}])
 
 
+#: The systems in which a position is shown.
+SHOWN = (25832, 25833, 32632, 4647, 3857, 31468)
+
+
+def in_every_system(df: DataFrame, lat: str = "lat", lon: str = "lon") -> DataFrame:
+    """A row (epsg, x, y) of each position for every system of SHOWN, with the other columns of df."""
+    stages = [stage for e in SHOWN for stage in from_geo(e, lat, lon, f"x{e}", f"y{e}", f"s{e}")]
+    rows = F.array(*(F.struct(F.lit(e).alias("epsg"), F.col(f"x{e}").alias("x"), F.col(f"y{e}").alias("y")) for e in SHOWN))
+    return steps.apply(df, stages).select(*df.columns, F.inline(rows))
+
+
 def dms(value: str, positive: str, negative: str) -> str:
     """SQL for degrees, minutes and seconds with two decimals; degrees and minutes are cut, not rounded."""
     d, m = f"floor(abs({value}))", f"floor((abs({value}) - floor(abs({value}))) * 60e0)"

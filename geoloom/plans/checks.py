@@ -1,11 +1,13 @@
-"""Queries over pictures, reviews, settings and frame numbers."""
+"""Queries over pictures, reviews, settings, frame numbers, surfaces as meshes and positions in every system."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from geoloom.operators import review
-from geoloom.plans.points import table
+from geoloom.functions import geodesy, steps
+from geoloom.operators import review, surface
+from geoloom.operators.raster import Grid
+from geoloom.plans.points import POINTS, points, table
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -84,3 +86,29 @@ def texture_grid(spark, sf_dir):
     s, zero = table(spark, sf_dir, "supplier"), F.lit(0.0)
     across, along = review.texture_grid(zero, zero, F.col("s_suppkey") * 373 % 14000, F.col("s_suppkey") * 911 % 23000)
     return s.select(F.col("s_suppkey").alias("id"), across.alias("across"), along.alias("along"))
+
+
+#: 90 by 16 cells; 200 vertices at most leave every third one.
+SURFACE, MOST = Grid(90, 16, 500_000.0, 5_400_000.0, 10.0), 200
+
+
+@query("surface_vertices", """
+SELECT (r // 3) * 30 + c // 3 AS vertex, 500000e0 + c * 10e0 AS x, 5400000e0 - r * 10e0 AS y, h AS height, round(c / 89e0, 6) AS u, round(1 - r / 15e0, 6) AS v
+FROM (SELECT o_orderkey // 90 AS r, o_orderkey % 90 AS c, o_totalprice AS h FROM orders WHERE o_orderkey < 1440) WHERE r % 3 = 0 AND c % 3 = 0""")
+def surface_vertices(spark, sf_dir):
+    cells = table(spark, sf_dir, "orders").filter("o_orderkey < 1440").selectExpr("o_orderkey div 90 AS row", "o_orderkey % 90 AS col", "o_totalprice AS value")
+    found = surface.vertices(cells, SURFACE, MOST)
+    return found.select("vertex", "x", "y", "height", F.round("u", 6).alias("u"), F.round("v", 6).alias("v"))
+
+
+@query("surface_triangles", """
+WITH q AS (SELECT i, (i // 29) * 30 + i % 29 AS a FROM range(145) AS t(i))
+SELECT i * 2 AS triangle, a, a + 1 AS b, a + 31 AS c FROM q UNION ALL SELECT i * 2 + 1, a, a + 31, a + 30 FROM q""")
+def surface_triangles(spark, sf_dir):
+    return surface.triangles(spark, SURFACE, MOST)
+
+
+@query("crs_every_system", " UNION ALL ".join(
+    f"SELECT id, {e} AS epsg, round(x, 3) AS x, round(y, 3) AS y FROM " + steps.as_sql(POINTS, geodesy.from_geo(e, "lat", "lon", "x", "y")) for e in geodesy.SHOWN))
+def crs_every_system(spark, sf_dir):
+    return geodesy.in_every_system(points(spark, sf_dir)).select("id", "epsg", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
