@@ -94,10 +94,10 @@ SURFACE, MOST = Grid(90, 16, 500_000.0, 5_400_000.0, 10.0), 200
 
 @query("surface_vertices", """
 SELECT (r // 3) * 30 + c // 3 AS vertex, 500000e0 + c * 10e0 AS x, 5400000e0 - r * 10e0 AS y, h AS height, round(c / 89e0, 6) AS u, round(1 - r / 15e0, 6) AS v
-FROM (SELECT o_orderkey // 90 AS r, o_orderkey % 90 AS c, o_totalprice AS h FROM orders WHERE o_orderkey < 1440) WHERE r % 3 = 0 AND c % 3 = 0""")
+FROM (SELECT o_orderkey % 1440 // 90 AS r, o_orderkey % 90 AS c, max(o_totalprice) AS h FROM orders GROUP BY 1, 2) WHERE r % 3 = 0 AND c % 3 = 0""")
 def surface_vertices(spark, sf_dir):
-    cells = table(spark, sf_dir, "orders").filter("o_orderkey < 1440").selectExpr("o_orderkey div 90 AS row", "o_orderkey % 90 AS col", "o_totalprice AS value")
-    found = surface.vertices(cells, SURFACE, MOST)
+    cells = table(spark, sf_dir, "orders").selectExpr("o_orderkey % 1440 div 90 AS row", "o_orderkey % 90 AS col", "o_totalprice AS value")
+    found = surface.vertices(cells.groupBy("row", "col").agg(F.max("value").alias("value")), SURFACE, MOST)
     return found.select("vertex", "x", "y", "height", F.round("u", 6).alias("u"), F.round("v", 6).alias("v"))
 
 

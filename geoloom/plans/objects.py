@@ -168,12 +168,14 @@ def catalog_newest_per_tile(spark, sf_dir):
 
 
 @query("catalog_url_index", """
-SELECT (500 + s_suppkey % 40)::INT AS east_km, 5700 AS north_km, 'dgm1_32_' || (500 + s_suppkey % 40) || '_5700_1_nw_' || (2000 + max(s_suppkey)) || '.tif' AS url
-FROM supplier WHERE s_suppkey < 90 GROUP BY s_suppkey % 40""")
+SELECT (500 + s_suppkey % 40)::INT AS east_km, 5700 AS north_km, 'dgm1_32_' || (500 + s_suppkey % 40) || '_5700_1_nw_' || (2000 + max(s_suppkey % 90)) || '.tif' AS url
+FROM supplier GROUP BY s_suppkey % 40""")
 def catalog_url_index(spark, sf_dir):
-    names = F.concat(F.lit("<a href=\"dgm1_32_"), (F.col("s_suppkey") % 40 + 500).cast("string"), F.lit("_5700_1_nw_"), (F.col("s_suppkey") + 2000).cast("string"), F.lit(".tif\">"))
-    page = table(spark, sf_dir, "supplier").filter("s_suppkey < 90").select("s_suppkey", names.alias("a")).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("s_suppkey", "a"))), lambda s: s["a"]), "\n").alias("value"))
+    names = F.concat(F.lit("<a href=\"dgm1_32_"), (F.col("tile") + 500).cast("string"), F.lit("_5700_1_nw_"), (F.col("k") + 2000).cast("string"), F.lit(".tif\">"))
+    # One page of 360 links at most: so many pairs of remainders there are.
+    files = table(spark, sf_dir, "supplier").selectExpr("s_suppkey % 40 AS tile", "s_suppkey % 90 AS k").distinct()
+    page = files.select("k", names.alias("a")).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "a"))), lambda s: s["a"]), "\n").alias("value"))
     return formats.url_index(page, r"(dgm1_32_(\d{3})_(\d{4})_1_nw_\d{4}\.tif)")
 
 

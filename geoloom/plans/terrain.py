@@ -10,16 +10,18 @@ from geoloom.operators.raster import Grid
 from geoloom.plans.points import table
 
 GRID = Grid(100, 150, 500_000.0, 5_400_000.0, 10.0)
-CELLS = ("(SELECT o_orderkey // 100 AS row, o_orderkey % 100 AS col, CASE WHEN o_orderkey % 97 <> 0 THEN (o_orderkey * 7919 % 1000) * 0.1e0 END AS value, "
-         "o_orderkey % 5 AS class_id FROM orders WHERE o_orderkey < 15000)")
+CELLS = ("(SELECT o_orderkey % 15000 // 100 AS row, o_orderkey % 100 AS col, max(CASE WHEN o_orderkey % 97 <> 0 THEN (o_orderkey * 7919 % 1000) * 0.1e0 END) AS value, "
+         "o_orderkey % 5 AS class_id FROM orders GROUP BY 1, 2, 4)")
 SPOTS = "(SELECT c_custkey AS id, 499990e0 + (c_custkey * 37 % 10200) * 0.1e0 AS x, 5398480e0 + (c_custkey * 53 % 15400) * 0.1e0 AS y FROM customer)"
 
 QUERIES, ORACLE_SQL = {}, {}
 
 
 def cells(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "orders").filter("o_orderkey < 15000").selectExpr(
-        "o_orderkey div 100 AS row", "o_orderkey % 100 AS col", "CASE WHEN o_orderkey % 97 <> 0 THEN (o_orderkey * 7919 % 1000) * 0.1e0 END AS value", "o_orderkey % 5 AS class_id")
+    """Orders dealt to the cells of GRID by their keys; a cell holds the highest of its values."""
+    o = table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey % 15000 div 100 AS row", "o_orderkey % 100 AS col", "CASE WHEN o_orderkey % 97 <> 0 THEN (o_orderkey * 7919 % 1000) * 0.1e0 END AS value", "o_orderkey % 5 AS class_id")
+    return o.groupBy("row", "col", "class_id").agg(F.max("value").alias("value")).select("row", "col", "value", "class_id")
 
 
 def spots(spark, sf_dir) -> DataFrame:
@@ -207,8 +209,8 @@ def _hills(spark) -> tuple[DataFrame, Grid]:
 
 
 def _poses(spark, sf_dir):
-    return table(spark, sf_dir, "supplier").filter("s_suppkey < 12").selectExpr(
-        "s_suppkey AS id", "500020e0 + s_suppkey * 5 AS x", "5400100e0 AS y", "160e0 AS z", "90e0 AS yaw", "0e0 AS pitch", "0e0 AS roll")
+    return table(spark, sf_dir, "supplier").selectExpr(
+        "s_suppkey AS id", "500020e0 + s_suppkey % 12 * 5 AS x", "5400100e0 AS y", "160e0 AS z", "90e0 AS yaw", "0e0 AS pitch", "0e0 AS roll")
 
 
 @query("sensor_coverage")
@@ -225,7 +227,7 @@ def sensor_coverage(spark, sf_dir):
     return found
 
 
-@query("sensor_boresight", "SELECT s_suppkey AS id, 500020e0 + s_suppkey * 5 AS x, 5400100e0 AS y, 100e0 AS z FROM supplier WHERE s_suppkey < 12")
+@query("sensor_boresight", "SELECT s_suppkey AS id, 500020e0 + s_suppkey % 12 * 5 AS x, 5400100e0 AS y, 100e0 AS z FROM supplier")
 def sensor_boresight(spark, sf_dir):
     """Ground straight below each pose."""
     cells_, g = _hills(spark)
@@ -234,10 +236,10 @@ def sensor_boresight(spark, sf_dir):
     return hits.select("id", F.round("hit_x", 4).alias("x"), F.round("hit_y", 4).alias("y"), F.round("hit_z", 4).alias("z"))
 
 
-@query("sensor_line_of_sight", "SELECT s_suppkey AS id, s_suppkey * 3 > 44 AS visible FROM supplier WHERE s_suppkey < 60")
+@query("sensor_line_of_sight", "SELECT s_suppkey AS id, s_suppkey % 60 * 3 > 44 AS visible FROM supplier")
 def sensor_line_of_sight(spark, sf_dir):
     """Whether two points on either side of the ridge, ever higher, see each other."""
     cells_, g = _hills(spark)
-    pairs = table(spark, sf_dir, "supplier").filter("s_suppkey < 60").selectExpr(
-        "s_suppkey AS id", "500050e0 AS x", "5400100e0 AS y", "96e0 + s_suppkey * 3 AS z", "500150e0 AS tx", "5400100e0 AS ty", "96e0 + s_suppkey * 3 AS tz")
+    pairs = table(spark, sf_dir, "supplier").selectExpr(
+        "s_suppkey AS id", "500050e0 AS x", "5400100e0 AS y", "96e0 + s_suppkey % 60 * 3 AS z", "500150e0 AS tx", "5400100e0 AS ty", "96e0 + s_suppkey % 60 * 3 AS tz")
     return sensors.can_see(pairs, cells_, g).select("id", "visible")
