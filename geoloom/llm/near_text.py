@@ -1,0 +1,186 @@
+"""Near-duplicate components of texts by the Jaccard similarity of their word shingles.
+
+Two texts are linked if at least SIMILAR of their distinct shingles of SHINGLE words are shared.
+Candidates come from prefix filtering: in one order of all shingles, texts that similar share one of
+the first n - ceil(SIMILAR * n) + 1 of their n shingles. Any order is right; here shingles that
+recur in a sample of the texts come last, so that common passages seldom make candidates. Every
+candidate is verified on the complete shingle sets.
+
+A shingle with more than DENSE texts would give pairs without bound. Its texts are compared with a
+pivot first, the one with the fewest shingles of its own. Texts within the distance of the pivot
+are one component and need no comparison among each other. Jaccard distance is a metric, so a text
+further away than twice the limit has no partner among them; the ones between are compared with
+those that the triangle inequality leaves. All that the pivot does not reach go through the next
+round, and what is left after ROUNDS is compared pair by pair. Nothing is capped.
+
+Cases: a null text counts as empty; texts without words are equal; fewer words than a shingle give
+one shingle; repeated rows are returned each; an empty table gives an empty result.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from geoloom.llm.common import cut
+from geoloom.llm.components import components
+
+SHINGLE, SEED = 5, 42
+#: 0.8, as a fraction.
+PART, WHOLE = 4, 5
+LIMIT = 1 - PART / WHOLE
+#: Texts with one shingle in their prefix that are compared one by one; rounds of pivots before all others are.
+DENSE, ROUNDS = 24, 6
+#: One text in SAMPLE is looked at for shingles that recur; the COMMON most frequent ones with OFTEN texts in the sample come last in the order.
+SAMPLE, OFTEN, COMMON = 8, 3, 500_000
+#: Texts to be verified or dropped are broadcast by id up to this count; beyond it they are joined.
+BROADCAST_IDS = 1_000_000
+MEMO_WORDS = 200_000
+
+
+class _Words(dict):
+    """64 bits for each word, remembered."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= MEMO_WORDS:
+            self.clear()
+        found = self[word] = xxhash.xxh3_64_intdigest(word, SEED)
+        return found
+
+
+def shingles(text: str | None, memo: dict, size: int = SHINGLE) -> np.ndarray:
+    """The distinct shingles as sorted signed 64-bit hashes."""
+    words = (text or "").encode("utf-8").lower().split()
+    if not words:
+        return np.zeros(0, np.int64)
+    size = min(size, len(words))
+    hashes, total = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words)), len(words) - size + 1
+    mixed = np.full(total, size, np.uint64)
+    for k in range(size):
+        mixed = (mixed ^ hashes[k : k + total]) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+    return np.unique(mixed.view(np.int64))
+
+
+def whole(found: np.ndarray) -> int:
+    """One signed 64-bit hash of all shingles."""
+    key = xxhash.xxh3_64_intdigest(found.tobytes(), SEED)
+    return key - (1 << 64) if key >> 63 else key
+
+
+def prefix(found: np.ndarray, common: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, int]:
+    """The shingles of which similar texts share one, and how many shingles are not common."""
+    n = len(found)
+    weight = np.zeros(n, np.int64)
+    if len(common) and n:
+        at = np.minimum(np.searchsorted(common, found), len(common) - 1)
+        weight = np.where(common[at] == found, often[at], 0)
+    return found[np.lexsort((found, weight))][: n - (PART * n + WHOLE - 1) // WHOLE + 1], int((weight == 0).sum())
+
+
+def _lists(rows: list[np.ndarray], kind) -> pa.Array:
+    ends = np.concatenate(([0], np.cumsum([len(x) for x in rows]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *rows]), kind))
+
+
+def _items(batches):
+    memo = _Words()
+    for batch in batches:
+        found = [shingles(x.as_py(), memo) for x in batch.column("text")]
+        yield pa.RecordBatch.from_arrays([pa.array([whole(x) for x in found], pa.int64()), _lists(found, pa.int64())], ["node", "items"])
+
+
+def _prefixes(shared):
+    def run(batches):
+        memo, (common, often) = _Words(), shared.value
+        for batch in batches:
+            found = [shingles(x.as_py(), memo) for x in batch.column("text")]
+            first = [prefix(x, common, often) for x in found]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), pa.array([whole(x) for x in found], pa.int64()), pa.array([len(x) for x in found], pa.int32()),
+                 pa.array([own for _, own in first], pa.int32()), _lists([x for x, _ in first], pa.int64())],
+                ["id", "node", "n", "own", "prefix"])
+
+    return run
+
+
+def _common(rows: DataFrame):
+    """Broadcast of the shingles that recur in the sample, sorted, and their counts."""
+    sample = rows.filter(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0).select("text").mapInArrow(_items, "node long, items array<long>")
+    counts = sample.select(F.explode("items").alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= OFTEN)
+    top = counts.orderBy(F.desc("n"), "item").limit(COMMON).toArrow()
+    item, n = (np.asarray(top.column(c).to_numpy(), np.int64) for c in ("item", "n"))
+    order = np.argsort(item)
+    return rows.sparkSession.sparkContext.broadcast((item[order], n[order]))
+
+
+def _sized(a: str, b: str):
+    """Sets of these sizes can be similar."""
+    return F.least(a, b) * WHOLE >= F.greatest(a, b) * PART
+
+
+def _distances(pairs: DataFrame, items: DataFrame) -> DataFrame:
+    """u, v and their Jaccard distance, for distinct pairs (u, v)."""
+    of = lambda c: items.select(F.col("node").alias(c), F.col("items").alias(f"items_{c}"))
+    both = pairs.join(of("u"), "u").join(of("v"), "v").withColumn("met", F.size(F.array_intersect("items_u", "items_v")))
+    return both.select("u", "v", (1 - F.col("met") / (F.size("items_u") + F.size("items_v") - F.col("met"))).alias("far"), (F.col("met") * WHOLE >= (F.size("items_u") + F.size("items_v") - F.col("met")) * PART).alias("near"))
+
+
+def _pairs(rows: DataFrame) -> DataFrame:
+    """All pairs (u, v) of nodes that share a token and are of similar size."""
+    other = rows.select("token", F.col("node").alias("v"), F.col("n").alias("m"))
+    return rows.join(other, "token").filter((F.col("node") < F.col("v")) & _sized("n", "m")).select(F.col("node").alias("u"), "v").distinct()
+
+
+def _links(shared: DataFrame, items: DataFrame, dense: int) -> DataFrame:
+    """Edges (u, v) that connect all similar nodes of shared (token, node, n, own, many)."""
+    todo = [_pairs(shared.filter(F.col("many") <= dense))]
+    found, left = [], shared.filter(F.col("many") > dense).select("token", "node", "n", "own")
+    for _ in range(ROUNDS):
+        left, _path = cut(left, "dense")
+        if left.isEmpty():
+            break
+        pivots = left.groupBy("token").agg(F.min(F.struct("own", "node")).alias("least")).select("token", F.col("least.node").alias("pivot"))
+        star, _path = cut(left.join(pivots, "token").filter("node <> pivot"), "star")
+        far, _path = cut(_distances(star.select(F.col("node").alias("u"), F.col("pivot").alias("v")).distinct(), items), "far")
+        found.append(far.filter("near").select("u", "v"))
+        inner = far.filter("near").select("v", F.col("u").alias("w"), F.col("far").alias("near_by"))
+        # A little room for rounding.
+        between = far.filter(~F.col("near") & (F.col("far") <= 2 * LIMIT + 1e-9)).join(inner, "v").filter(F.col("far") - F.col("near_by") <= LIMIT + 1e-9)
+        todo.append(between.select(F.least("u", "w").alias("u"), F.greatest("u", "w").alias("v")).distinct())
+        out = far.filter(~F.col("near")).select(F.col("u").alias("node"), F.col("v").alias("pivot"))
+        rest = star.join(out, ["node", "pivot"]).withColumn("many", F.count(F.lit(1)).over(Window.partitionBy("token")))
+        todo.append(_pairs(rest.filter(F.col("many") <= dense)))
+        left = rest.filter(F.col("many") > dense).select("token", "node", "n", "own")
+    else:
+        todo.append(_pairs(left))
+    every = todo[0]
+    for more in todo[1:]:
+        every = every.unionByName(more)
+    found.append(_distances(every.distinct(), items).filter("near").select("u", "v"))
+    edges = found[0]
+    for more in found[1:]:
+        edges = edges.unionByName(more)
+    return edges
+
+
+def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dense: int = DENSE, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
+    """One row per row of docs: id_col and component_id, the smallest id that is reachable over pairs of similar texts."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    sets, _ = cut(rows.mapInArrow(_prefixes(_common(rows)), f"id {kind}, node long, n int, own int, prefix array<long>"), "prefixes")
+    nodes, _ = cut(sets.groupBy("node").agg(F.min("id").alias("first"), F.min("n").alias("n"), F.min("own").alias("own")), "nodes")
+    posted = sets.select("node", F.explode("prefix").alias("token")).repartition("token").distinct()
+    posted = posted.withColumn("many", F.count(F.lit(1)).over(Window.partitionBy("token"))).filter("many > 1")
+    shared, _ = cut(posted.join(nodes.select("node", "n", "own"), "node"), "postings")
+    wanted, _ = cut(nodes.join(shared.select("node").distinct(), "node").select(F.col("first").alias("id")).distinct(), "wanted")
+    chosen = rows.join(F.broadcast(wanted) if wanted.count() <= broadcast_ids else wanted, "id", "left_semi").select("text")
+    items, _ = cut(chosen.mapInArrow(_items, "node long, items array<long>").dropDuplicates(["node"]), "items")
+    roots = components(_links(shared, items, dense))
+    owner = nodes.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
+    least = owner.groupBy("root").agg(F.min("first").alias("component_id"))
+    owner = owner.select("node", "root").join(least, "root").select("node", "component_id")
+    return sets.select("id", "node").join(owner, "node").select(F.col("id").alias(id_col), "component_id")

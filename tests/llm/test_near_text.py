@@ -1,0 +1,71 @@
+"""Near-duplicate texts against all pairs, and edited copies in the pipeline's stage."""
+
+import random
+
+import pytest
+
+from geoloom.llm import near_text
+
+
+def jaccard(a, b):
+    sets = []
+    for t in (a, b):
+        w = (t or "").lower().split()
+        k = min(5, len(w))
+        sets.append({tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if w else {()})
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def brute(texts):
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if jaccard(texts[i], texts[j]) >= 0.8:
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return {i: find(i) for i in range(len(texts))}
+
+
+def edited(rng, words, times):
+    words = list(words)
+    for _ in range(times):
+        at = rng.randrange(len(words))
+        kind = rng.randrange(3)
+        words[at : at + (kind != 0)] = [] if kind == 2 else [f"new{rng.randrange(10**6)}"]
+    return " ".join(words)
+
+
+def corpus(rng):
+    base = [[f"w{rng.randrange(400)}" for _ in range(rng.randint(40, 150))] for _ in range(12)]
+    texts = [None, "", "  \n", "a", "A", "a b c", "a b c d e f"]
+    texts += [edited(rng, b, rng.randint(0, 7)) for b in base for _ in range(8)]
+    texts += [edited(rng, base[0], rng.randint(0, 9)) for _ in range(60)]
+    passage = " ".join(base[1])
+    return texts + [passage + " " + " ".join(f"o{i}x{k}" for k in range(rng.randint(0, 90))) for i in range(60)]
+
+
+@pytest.mark.parametrize("dense, bound", [(2, 10**6), (24, 0)])
+def test_every_similar_pair_is_linked(spark, dense, bound):
+    texts = corpus(random.Random(7))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_text.similar_components(frame, dense=dense, broadcast_ids=bound).collect()}
+    assert got == brute(texts)
+    assert near_text.similar_components(frame.limit(0)).count() == 0
+
+
+def test_stage_drops_edited_copies(spark):
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    words = [f"v{rng.randrange(900)}" for _ in range(200)]
+    texts = [" ".join(words), *(edited(rng, words, 4) for _ in range(30)), " ".join(words[:100]), " ".join(reversed(words))]
+    assert all(jaccard(texts[0], t) >= 0.8 for t in texts[1:31])
+    frame = spark.createDataFrame([*enumerate(texts), (None, texts[0])], "doc_id long, text string")
+    kept = sorted(r.doc_id if r.doc_id is not None else -1 for r in corpus_pipeline.near_stage(spark, frame, "").collect())
+    assert kept == [-1, 0, 31, 32]
