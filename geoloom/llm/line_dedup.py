@@ -6,10 +6,12 @@ their positions with a template join it, and the positions that differ become va
 found in several documents is dropped everywhere but in the document with the smallest id, so that a
 passage survives once and copies of a document lose what the first copy keeps.
 
-A leaf with more than LEAF_LINES distinct lines is cut deeper, by more leading tokens, at the depths
-in DEPTHS and finally by the whole line, so one common beginning does not end up in one task. Lines
-travel as two bytes per token. Lines under LONG tokens are templates of their own, dropped if at
-least SHORT_DOCS documents have them; under SHORT tokens lines are left alone.
+A leaf is the token count and the LEAD leading tokens at every size, so that lines that meet in a
+small table meet in a large one. A line that agrees with a template in SIMILAR of its n positions
+agrees in all of one of floor((1 - SIMILAR) * n) + 1 bands of the positions behind the leading ones;
+templates are looked up by those bands, which loses no match and spares the comparison of all pairs.
+Lines travel as two bytes per token. Lines under LONG tokens are templates of their own, dropped if
+at least SHORT_DOCS documents have them; under SHORT tokens lines are left alone.
 
 Cases: a null text stays null; empty lines stay; a null id never loses lines; a repeated row counts
 once (rows with one id are one document); lines repeated inside one document only are left alone;
@@ -19,7 +21,9 @@ are replaced.
 
 from __future__ import annotations
 
+import math
 import re
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +35,8 @@ from pyspark.sql import types as T
 from geoloom.llm.common import cut, table
 
 LONG, SHORT, SHORT_DOCS = 10, 3, 20
-SIMILAR = 0.8
+SIMILAR, LEAD = 0.8, 3
+#: Depths and bound of `leaves`, a finer split.
 DEPTHS, LEAF_LINES = (3, 8, 24), 256
 #: Dropped lines are broadcast up to this count (24 bytes each); beyond it they are joined to the documents' lines.
 BROADCAST_LINES = 1_000_000
@@ -116,24 +121,37 @@ def leaves(lines: DataFrame, leaf_lines: int = LEAF_LINES, broadcast_leaves: int
     return out.withColumn("leaf", leaf).select(*lines.columns, "leaf")
 
 
+def bands(n: int) -> list[slice]:
+    """Of lines of n tokens with the same leading ones: parts of the positions, of which similar lines share one."""
+    wrong = n - math.ceil(SIMILAR * n - 1e-9)
+    cuts = [LEAD + (n - LEAD) * k // (wrong + 1) for k in range(wrong + 2)] if n > LEAD else [0, n]
+    return [slice(a, b) for a, b in pairwise(cuts)]
+
+
 class Leaf:
-    """Templates of one leaf: lines of one length, in the order in which they come."""
+    """Templates of one leaf: lines of one length with the same leading tokens, in the order in which they come."""
 
     def __init__(self):
         self.tokens: np.ndarray | None = None
         self.fixed: np.ndarray | None = None
         self.keys: list[int] = []
+        self.bands: list[slice] | None = None
+        self.filed: dict[tuple[int, bytes], list[int]] = {}
 
     def place(self, key: int, line: np.ndarray) -> int:
         """Key of the template that the line belongs to."""
         used = len(self.keys)
-        if used:
-            same = self.tokens[:used] == line
-            score = (same & self.fixed[:used]).sum(axis=1) / len(line)
+        if self.bands is None:
+            self.bands = bands(len(line))
+        marks = [(k, line[part].tobytes()) for k, part in enumerate(self.bands)]
+        near = sorted(set().union(*(self.filed.get(m, ()) for m in marks)))
+        if near:
+            same = self.tokens[near] == line
+            score = (same & self.fixed[near]).sum(axis=1) / len(line)
             best = int(score.argmax())
             if score[best] >= SIMILAR:
-                self.fixed[best] &= same[best]
-                return self.keys[best]
+                self.fixed[near[best]] &= same[best]
+                return self.keys[near[best]]
         if self.tokens is None or used == len(self.tokens):
             room = max(2, 2 * used)
             tokens, fixed = np.zeros((room, len(line)), np.uint16), np.ones((room, len(line)), bool)
@@ -142,6 +160,8 @@ class Leaf:
             self.tokens, self.fixed = tokens, fixed
         self.tokens[used] = line
         self.keys.append(key)
+        for m in marks:
+            self.filed.setdefault(m, []).append(used)
         return key
 
 
@@ -160,7 +180,8 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """key, n and home of each masked line whose template several documents have; home is the smallest of them."""
     kind = docs.schema[id_col].dataType.simpleString()
     lines, _ = cut(distinct_lines(docs, id_col, text_col), "lines")
-    ordered = leaves(lines.filter(F.col("n") >= LONG)).repartition("leaf").sortWithinPartitions("leaf", "n", "first", "key")
+    leaf = F.xxhash64("n", F.substring("print", 1, 2 * LEAD))
+    ordered = lines.filter(F.col("n") >= LONG).withColumn("leaf", leaf).repartition("leaf").sortWithinPartitions("leaf", "n", "first", "key")
     placed = ordered.mapInArrow(_templates, f"key long, n int, first {kind}, last {kind}, template long, leaf long")
     placed, _ = cut(placed, "templates")
     spread = placed.groupBy("leaf", "n", "template").agg(F.min("first").alias("home"), F.max("last").alias("end")).filter("home < end")

@@ -180,6 +180,29 @@ def test_crowded_leaves_are_cut_deeper(spark):
         assert sum(sizes.values()) == lines.count() and max(sizes.values()) <= 50
 
 
+def test_many_variants_of_one_template_are_dropped(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    own = [f"the visitor from {word()} {' '.join(word() for _ in range(12))}" for _ in range(400)]
+    texts = [f"{own[i]}\nthe visitor from {word()} has seen the old gate of the town and went home" for i in range(400)]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    # The name is the fourth token, where a split by more leading tokens takes every variant apart.
+    frame = frame.unionByName(spark.createDataFrame([(1000, texts[7].split("\n")[1])], "doc_id long, text string"))
+    got = {r.doc_id: r for r in line_dedup.drop_lines(frame).collect()}
+    assert got[0].text == texts[0] and all(got[i].text == own[i] for i in range(1, 400)) and got[1000].text == ""
+
+
+def test_bands_lose_no_template():
+    rng = random.Random(13)
+    for n in (10, 11, 14, 15, 19, 20, 33):
+        wrong = n - math.ceil(line_dedup.SIMILAR * n - 1e-9)
+        line = np.arange(n, dtype=np.uint16)
+        for _ in range(200):
+            leaf, near = line_dedup.Leaf(), line.copy()
+            near[rng.sample(range(line_dedup.LEAD, n), wrong)] += 500
+            assert [leaf.place(1, line), leaf.place(2, near)] == [1, 1]
+
+
 def test_a_template_generalises():
     leaf = line_dedup.Leaf()
     line = np.arange(20, dtype=np.uint16)
