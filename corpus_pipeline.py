@@ -11,9 +11,6 @@ from pyspark.sql import functions as F
 from geoloom.llm import bpe, contamination, line_dedup, near_text, toxicity
 from geoloom.llm.common import cut, table
 
-#: A document that loses more than this share of its words to other documents is a copy and goes whole.
-COPY_SHARE = 0.8
-
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents that are predicted toxic."""
@@ -21,12 +18,10 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops recurring lines; a document of which next to nothing is left goes. n_chars follows the text."""
-    words = lambda c: F.size(F.split(F.trim(c), r"\s+"))
-    rows = line_dedup.drop_lines(docs.withColumn("__before", words(F.col("text"))))
-    copy = (F.col("n_dropped") > 0) & (words(F.col("text")) < (1 - COPY_SHARE) * F.col("__before"))
-    empty = (F.col("n_dropped") > 0) & (F.trim("text") == "")
-    return rows.filter(~F.coalesce(copy | empty, F.lit(False))).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    """Drops recurring lines; a document goes only if that leaves nothing but white space. n_chars follows the text."""
+    rows = line_dedup.drop_lines(docs)
+    empty = (F.col("n_dropped") > 0) & ~F.col("text").rlike(r"\S")
+    return rows.filter(~F.coalesce(empty, F.lit(False))).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

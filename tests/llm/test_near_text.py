@@ -69,3 +69,14 @@ def test_stage_drops_edited_copies(spark):
     frame = spark.createDataFrame([*enumerate(texts), (None, texts[0])], "doc_id long, text string")
     kept = sorted(r.doc_id if r.doc_id is not None else -1 for r in corpus_pipeline.near_stage(spark, frame, "").collect())
     assert kept == [-1, 0, 31, 32]
+
+
+def test_line_stage_keeps_what_a_document_has_of_its_own(spark):
+    import corpus_pipeline
+
+    passage = " ".join(f"common{k}x{chr(97 + k % 26)}" for k in range(60)).replace("0", "o")
+    texts = [f"{passage}\nfirst own words of ten or more tokens stand here in full", f"{passage}\nsecond has less", passage, f"{passage}\n\t\n", "", " \n"]
+    frame = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long")
+    got = {r.doc_id: r for r in corpus_pipeline.line_stage(spark, frame, "").collect()}
+    assert {i: r.text for i, r in got.items()} == {0: texts[0], 1: "second has less", 4: "", 5: " \n"}
+    assert got[1].n_chars == len("second has less")
