@@ -10,8 +10,9 @@ A leaf is the token count and the LEAD leading tokens at every size, so that lin
 small table meet in a large one. A line that agrees with a template in SIMILAR of its n positions
 agrees in all of one of floor((1 - SIMILAR) * n) + 1 bands of the positions behind the leading ones;
 templates are looked up by those bands, which loses no match and spares the comparison of all pairs.
-Lines travel as two bytes per token. Lines under LONG tokens are templates of their own, dropped if
-at least SHORT_DOCS documents have them; under SHORT tokens lines are left alone.
+Lines travel as two bytes per token. Lines of any length take part; under LONG tokens SIMILAR asks for
+all positions, so such a line is a template of its own. A line of variable tokens alone has nothing
+that a template could share and is not masked.
 
 Cases: a null text stays null; empty lines stay; a null id never loses lines; a repeated row counts
 once (rows with one id are one document); lines repeated inside one document only are left alone;
@@ -34,7 +35,7 @@ from pyspark.sql import types as T
 
 from geoloom.llm.common import cut, table
 
-LONG, SHORT, SHORT_DOCS = 10, 3, 20
+LONG = 5
 SIMILAR, LEAD = 0.8, 3
 #: Depths and bound of `leaves`, a finer split.
 DEPTHS, LEAF_LINES = (3, 8, 24), 256
@@ -47,11 +48,16 @@ VARIABLE, DIGITS, OTHER_SPACE = b"<*>", b"0123456789", b"\t\x0b\x0c\r"
 _variable = re.compile(rb"[^\x20\x09-\x0d]*[0-9][^\x20\x09-\x0d]*")
 
 
+def _masked(line: bytes) -> bytes:
+    found = _variable.sub(VARIABLE, line)
+    return found if found.replace(VARIABLE, b"").strip() else line
+
+
 def masked_lines(text: bytes) -> list[bytes]:
     """The text's lines with variable tokens masked and a single space between tokens."""
     lines = text.split(b"\n")
     if len(text.translate(None, DIGITS)) != len(text):
-        lines = [_variable.sub(VARIABLE, x) if len(x.translate(None, DIGITS)) != len(x) else x for x in lines]
+        lines = [_masked(x) if len(x.translate(None, DIGITS)) != len(x) else x for x in lines]
     if len(text.translate(None, OTHER_SPACE)) != len(text):
         return [b" ".join(x.split()) for x in lines]
     return [b" ".join(x.split()) if b"  " in x else x.strip(b" ") for x in lines]
@@ -84,7 +90,7 @@ def _lines(batches):
                 lines = masked_lines((text.as_py() or "").encode("utf-8"))
                 for line, key in zip(lines, line_keys(lines)):
                     n = line.count(b" ") + 1
-                    if n < SHORT or key in seen:
+                    if not line or key in seen:
                         continue
                     seen.add(key)
                     ids.append(i)
@@ -186,7 +192,7 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed, _ = cut(placed, "templates")
     spread = placed.groupBy("leaf", "n", "template").agg(F.min("first").alias("home"), F.max("last").alias("end")).filter("home < end")
     long = placed.join(spread, ["leaf", "n", "template"]).select("key", "n", "home")
-    short = lines.filter((F.col("n") < LONG) & (F.col("docs") >= SHORT_DOCS)).select("key", "n", F.col("first").alias("home"))
+    short = lines.filter((F.col("n") < LONG) & (F.col("first") < F.col("last"))).select("key", "n", F.col("first").alias("home"))
     return long.unionByName(short)
 
 
@@ -203,7 +209,7 @@ def _dropper(shared, text_col: str, id_col: str, keep: list[str]):
                     drop = None if home is not None else set(batch.column("__drop")[i].as_py() or ())
                     masked = masked_lines(data)
                     keys = line_keys(masked)
-                    off = [] if own is None else [j for j, k in enumerate(keys) if (k in drop if home is None else home.get(k, own) != own) and masked[j].count(b" ") + 1 >= SHORT]
+                    off = [] if own is None else [j for j, k in enumerate(keys) if (k in drop if home is None else home.get(k, own) != own) and masked[j]]
                     if off:
                         off_ = set(off)
                         text = b"\n".join(x for j, x in enumerate(data.split(b"\n")) if j not in off_).decode("utf-8")

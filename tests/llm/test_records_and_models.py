@@ -192,6 +192,17 @@ def test_many_variants_of_one_template_are_dropped(spark):
     assert got[0].text == texts[0] and all(got[i].text == own[i] for i in range(1, 400)) and got[1000].text == ""
 
 
+def test_short_lines_take_part(spark):
+    names = ["anna", "bert", "cleo", "dora"]
+    texts = [f"own{chr(97 + i)} words\nThe end.\nBye\nsession was closed by {n}\n{10 + i}\nat {i} o'clock" for i, n in enumerate(names)]
+    frame = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in line_dedup.drop_lines(frame).collect()}
+    # A bare number is no template; it goes only where the same one recurs.
+    assert got == {0: texts[0]} | {i: f"own{chr(97 + i)} words\n{10 + i}" for i in range(1, 4)}
+    copies = spark.createDataFrame([(1, "7\n12 13"), (2, "7\n12 14")], "doc_id long, text string")
+    assert {r.doc_id: r.text for r in line_dedup.drop_lines(copies).collect()} == {1: "7\n12 13", 2: "12 14"}
+
+
 def test_bands_lose_no_template():
     rng = random.Random(13)
     for n in (10, 11, 14, 15, 19, 20, 33):
