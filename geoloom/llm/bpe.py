@@ -4,11 +4,12 @@ Text is cut into words by the tokenizer's pattern. For each new word a greedy lo
 proposes tokens. A proposal equals the merge result exactly if every two neighbouring tokens are
 compatible: no merge across their border comes before the merges inside the two. Numpy tests all
 neighbouring pairs of a block of words at once; only words with a failing pair are merged exactly
-(a heap over the pairs). Results of short words are kept in a bounded memo in each worker.
+(a heap over the pairs). The new words of a whole batch of rows are encoded at once; results of
+short words are kept in a memo of each worker, bounded in bytes.
 
 Cases: a null or empty text has no tokens and decodes to an empty text; strings of added tokens are
 matched in the text, longest first, as the tokenizers library does by default; texts and words of
-any length are whole (long texts go by blocks of words, long words are not kept in the memo);
+any length are whole (long texts go by parts cut at white space, long words are not kept in the memo);
 repeated rows are encoded each; an empty table gives an empty result; columns named ids or decoded
 are replaced.
 """
@@ -18,8 +19,9 @@ from __future__ import annotations
 import heapq
 import json
 import re
-from itertools import chain, islice
+from itertools import pairwise
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -29,15 +31,24 @@ from pyspark.sql import types as T
 
 from geoloom.llm.common import table
 
-#: Bounds of a worker's memo and of what is handled at once.
-MEMO_WORDS, MEMO_CHARS, BLOCK_CHARS, BLOCK_WORDS = 400_000, 48, 1 << 20, 200_000
+#: Bytes of one half of a worker's memo, what an entry takes besides its bytes, and the longest word kept there.
+MEMO_BYTES, ENTRY_BYTES, MEMO_WORD_BYTES = 64 << 20, 180, 64
+#: Characters of texts handled at once, of a part of a long text, and words encoded at once.
+BATCH_CHARS, BLOCK_CHARS, BLOCK_WORDS = 1 << 21, 1 << 20, 200_000
 
-#: Fixed value: the word pattern of the byte-level pre-tokenizer.
+#: Fixed value: the word pattern of the byte-level pre-tokenizer, which `Codec.starts` follows.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-NEVER, NO_RANK = np.int64(1) << 40, 1 << 40
-#: Words up to this many bytes are merged by searching their pairs, longer ones by a heap.
-SHORT_WORD = 64
+NEVER, NO_RANK = np.int64(1) << 40, np.int64(1) << 40
+SPACE, LETTER, NUMBER, OTHER = range(4)
+BLANK, APOSTROPHE = ord(" "), ord("'")
+_begins_space = regex.compile(r"\S(?=\s)")
+#: Words up to this many bytes are merged together by searching their pairs, longer ones by a heap.
+SHORT_WORD = 32
+#: Words merged exactly at once.
+EXACT_WORDS = 8192
+#: No byte, as a character.
+MARK = chr(256)
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -47,6 +58,17 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def kinds() -> np.ndarray:
+    """Of every code point: white space, letter, number or other, as the word pattern sees them."""
+    found = np.full(0x110000, OTHER, np.uint8)
+    points = [p for p in range(0x110000) if not 0xD800 <= p < 0xE000]
+    every = "".join(map(chr, points))
+    for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\s+")):
+        for m in regex.finditer(pattern, every):
+            found[points[m.start()] : points[m.end() - 1] + 1] = kind
+    return found
+
+
 class Codec:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -81,14 +103,21 @@ class Codec:
         whole = self.compatible(left[made], right[made], rank[made])
         ids = [*made[whole].tolist(), *self.byte_id]
         self.by_bytes = {self.token_bytes[i]: i for i in ids}
-        # How far a proposal that begins with some bytes can reach.
-        self.reach: dict[bytes, int] = {}
-        for b in self.by_bytes:
-            self.reach[b[:3]] = max(len(b), self.reach.get(b[:3], 0))
-        self.rank_of, self.made = {p: r for p, (r, _) in self.merge.items()}, {r: t for r, t in self.merge.values()}
-        self.pattern = regex.compile(PATTERN)
+        self.longest = ahocorasick.Automaton()
+        for word, i in self.by_bytes.items():
+            self.longest.add_word(word.decode("latin-1"), i)
+        self.longest.add_word(MARK, -1)
+        self.longest.make_automaton()
+        self.made_by = np.zeros(len(merges), np.int64)
+        for r, made in self.merge.values():
+            self.made_by[r] = made
+        self.kinds = kinds()
         self.split = re.compile("(" + "|".join(re.escape(x) for x in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
-        self.memo: dict[str, tuple[int, ...]] = {}
+        self.token_array = pa.array(self.token_bytes, pa.binary())
+        # Two halves: when the young one is full it becomes the old one, from which words in use come back.
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        self.filled = 0
 
     def _edges(self, part, rank):
         edges, until = [np.arange(self.size)], [np.full(self.size, NEVER)]
@@ -121,34 +150,64 @@ class Codec:
                 good[i[found & (when < tu) & (when <= tv)]] = False
         return good
 
-    def greedy(self, word: bytes) -> list[int]:
-        out, at, get, reach, n = [], 0, self.by_bytes.get, self.reach.get, len(word)
-        whole = get(word)
-        if whole is not None:
-            return [whole]
-        while at < n:
-            for end in range(min(n, at + reach(word[at : at + 3], 2)), at, -1):
-                if (t := get(word[at:end])) is not None:
-                    break
-            out.append(t)
-            at = end
+    def proposals(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Greedy longest matches: token ids of all words, and how many each has."""
+        # Bytes as characters; the mark behind each word is no byte, so that no match crosses it.
+        found = self.longest.iter_long(MARK.join(x.decode("latin-1") for x in words) + MARK)
+        flat = np.fromiter((t for _, t in found), np.int64)
+        ends = np.flatnonzero(flat < 0)
+        return flat[flat >= 0], np.diff(ends - np.arange(len(ends)), prepend=0)
+
+    def _ranks(self, a, b) -> np.ndarray:
+        """The merge number of each pair, NO_RANK where there is none; -1 is no token."""
+        key = a.astype(np.int64) * self.size + b
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where((self.keys[at] == key) & (b >= 0), self.ranks[at], NO_RANK)
+
+    def exact(self, words: list[bytes]) -> list[bytes]:
+        """Packed ids by merges in order of rank, leftmost first: of all short words at once, of long ones by a heap."""
+        out = [b""] * len(words)
+        order = sorted(range(len(words)), key=lambda i: len(words[i]))
+        while order and len(words[order[-1]]) > SHORT_WORD:
+            i = order.pop()
+            out[i] = np.array(self._exact_long(words[i]), "<i4").tobytes()
+        for begin in range(0, len(order), EXACT_WORDS):
+            part = order[begin : begin + EXACT_WORDS]
+            for i, x in zip(part, self._exact_short([words[i] for i in part])):
+                out[i] = x
         return out
 
-    def exact(self, word: bytes) -> list[int]:
-        """Merges in order of rank, leftmost first."""
-        if len(word) > SHORT_WORD:
-            return self._exact_long(word)
-        ids, get = [self.byte_id[b] for b in word], self.rank_of.get
-        ranks = [get(p, NO_RANK) for p in zip(ids, ids[1:])]
-        while ranks and (r := min(ranks)) != NO_RANK:
-            i = ranks.index(r)
-            ids[i : i + 2] = [self.made[r]]
-            del ranks[i]
-            if i < len(ranks):
-                ranks[i] = get((ids[i], ids[i + 1]), NO_RANK)
-            if i:
-                ranks[i - 1] = get((ids[i - 1], ids[i]), NO_RANK)
-        return ids
+    def _exact_short(self, words: list[bytes]) -> list[bytes]:
+        width = max(map(len, words))
+        data = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), np.uint8).reshape(-1, width)
+        inside = np.arange(width) < np.fromiter(map(len, words), np.int64, len(words))[:, None]
+        # One more column than the longest word has, so that every last token has a neighbour.
+        ids = np.full((len(words), width + 1), -1, np.int64)
+        ids[:, :width][inside] = np.array(self.byte_id)[data[inside]]
+        ranks, done = self._ranks(ids[:, :-1], ids[:, 1:]), ids.copy()
+        rows, places = np.arange(len(words)), np.arange(width)
+        while len(rows):
+            at = ranks.argmin(axis=1)
+            own = np.arange(len(rows))
+            best = ranks[own, at]
+            over = best == NO_RANK
+            if over.any():
+                done[rows[over]] = ids[over]
+                rows, ids, ranks, at, best = rows[~over], ids[~over], ranks[~over], at[~over], best[~over]
+                own = np.arange(len(rows))
+            if not len(rows):
+                break
+            behind = places > at[:, None]
+            ids[:, :-1] = np.where(behind, ids[:, 1:], ids[:, :-1])
+            ids[own, at] = self.made_by[best]
+            ranks[:, :-1] = np.where(behind[:, :-1], ranks[:, 1:], ranks[:, :-1])
+            ranks[:, -1] = NO_RANK
+            ranks[own, at] = self._ranks(ids[own, at], ids[own, at + 1])
+            left = np.flatnonzero(at)
+            ranks[left, at[left] - 1] = self._ranks(ids[left, at[left] - 1], ids[left, at[left]])
+        kept = done >= 0
+        flat, ends = done[kept].astype("<i4").tobytes(), (4 * np.cumsum(kept.sum(axis=1))).tolist()
+        return [flat[i:j] for i, j in pairwise([0, *ends])]
 
     def _exact_long(self, word: bytes) -> list[int]:
         """The same by a heap over neighbouring pairs, for words whose pairs are too many to search again and again."""
@@ -171,56 +230,135 @@ class Codec:
                 heapq.heappush(heap, (m[0], h, ids[h], made, m[1]))
         return [t for t in ids if t >= 0]
 
-    def encode_words(self, words: list[str]) -> dict[str, tuple[int, ...]]:
-        """Token ids of distinct words."""
-        raw = [w.encode() for w in words]
-        tries = [self.greedy(w) for w in raw]
-        sizes = np.fromiter(map(len, tries), np.int64, len(tries))
-        flat = np.fromiter(chain.from_iterable(tries), np.int64, int(sizes.sum()))
-        word_of = np.repeat(np.arange(len(tries)), sizes)
+    def encode_words(self, words: list[bytes]) -> list[bytes]:
+        """Token ids of each word, as packed 32-bit numbers."""
+        flat, sizes = self.proposals(words)
+        word_of = np.repeat(np.arange(len(words)), sizes)
         inside = np.flatnonzero(word_of[1:] == word_of[:-1])
         pairs, back = np.unique(flat[inside] * self.size + flat[inside + 1], return_inverse=True)
         good = self.compatible(pairs // self.size, pairs % self.size)
-        for i in np.unique(word_of[inside[~good[back]]]).tolist():
-            tries[i] = self.exact(raw[i])
-        return dict(zip(words, map(tuple, tries)))
-
-    def _block(self, words: list[str]) -> list[int]:
-        memo = self.memo
-        new = [w for w in dict.fromkeys(words) if w not in memo]
-        if new:
-            if len(memo) + len(new) > MEMO_WORDS:
-                memo.clear()
-                new = list(dict.fromkeys(words))
-            made = self.encode_words(new)
-            if len(new) > MEMO_WORDS or any(len(w) > MEMO_CHARS for w in new):
-                memo.update((w, t) for w, t in islice(made.items(), MEMO_WORDS) if len(w) <= MEMO_CHARS)
-                return [*chain.from_iterable(made[w] if w in made else memo[w] for w in words)]
-            memo.update(made)
-        return [*chain.from_iterable(map(memo.__getitem__, words))]
-
-    def _ordinary(self, text: str):
-        if len(text) <= BLOCK_CHARS:
-            yield self._block(self.pattern.findall(text))
-            return
-        found = (m[0] for m in self.pattern.finditer(text))
-        while words := [*islice(found, BLOCK_WORDS)]:
-            yield self._block(words)
-
-    def encode(self, text: str):
-        """Blocks of token ids."""
-        if self.split is None or not any(x in text for x in self.added):
-            yield from self._ordinary(text)
-            return
-        for part in self.split.split(text):
-            if part in self.added:
-                yield [self.added[part]]
-            elif part:
-                yield from self._ordinary(part)
+        packed, ends = flat.astype("<i4").tobytes(), (4 * np.cumsum(sizes)).tolist()
+        made = [packed[i:j] for i, j in pairwise([0, *ends])]
+        failed = np.unique(word_of[inside[~good[back]]]).tolist()
+        for i, x in zip(failed, self.exact([words[i] for i in failed])):
+            made[i] = x
+        return made
+
+    def starts(self, points: np.ndarray, pieces: np.ndarray) -> np.ndarray:
+        """Where the words begin in pieces of text, laid end to end as code points; `pieces` are the places where they begin."""
+        kind, n = self.kinds[points], len(points)
+        first = np.zeros(n + 1, bool)
+        first[pieces] = first[n] = True
+        new = first.copy()
+        new[1:n] |= kind[1:] != kind[:-1]
+        # A space goes with the run behind it; other white space there is a word of its own.
+        after = np.flatnonzero(new[1:n] & ~first[1:n] & (kind[1:] != SPACE) & (kind[:-1] == SPACE)) + 1
+        new[after - 1] = True
+        new[after[points[after - 1] == BLANK]] = False
+        # Endings behind an apostrophe that begins a word.
+        at = np.flatnonzero((points[:-1] == APOSTROPHE) & new[: n - 1] & ~first[1:n])
+        one, two = points[at + 1], points[np.minimum(at + 2, n - 1)]
+        longer = ~first[at + 2] & np.logical_or.reduce([(one == ord(a)) & (two == ord(b)) for a, b in ("re", "ve", "ll")])
+        short = np.isin(one, [ord(x) for x in "stmd"])
+        new[at[short | longer] + 1] = False
+        new[at[short] + 2] = True
+        new[at[longer] + 3] = True
+        return np.flatnonzero(new[:n])
+
+    def _ids(self, words: list[bytes]) -> list[bytes]:
+        """Packed token ids of distinct words, from the memo or made at once."""
+        young, old = self.young, self.old
+        found = [*map(young.get, words)]
+        for i, x in enumerate(found):
+            if x is None and (y := old.get(words[i])) is not None:
+                found[i] = young[words[i]] = y
+                self.filled += len(words[i]) + len(y) + ENTRY_BYTES
+        new = [i for i, x in enumerate(found) if x is None]
+        for begin in range(0, len(new), BLOCK_WORDS):
+            part = new[begin : begin + BLOCK_WORDS]
+            for i, x in zip(part, self.encode_words([words[i] for i in part])):
+                found[i] = x
+                if len(words[i]) <= MEMO_WORD_BYTES:
+                    young[words[i]] = x
+                    self.filled += len(words[i]) + len(x) + ENTRY_BYTES
+                if self.filled > MEMO_BYTES:
+                    self.old, self.young, self.filled = self.young, {}, 0
+                    young = self.young
+        return found
+
+    def _ordinary(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of texts without added tokens, and how many each has."""
+        whole = "".join(texts)
+        lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+        if not whole:
+            return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
+        pieces = np.cumsum(lengths) - lengths
+        points = np.frombuffer(whole.encode("utf-32-le"), "<u4")
+        starts = self.starts(points, pieces[lengths > 0])
+        data, places = whole.encode(), np.append(starts, len(points))
+        if len(data) != len(points):
+            places = np.append(np.flatnonzero(np.frombuffer(data, np.uint8) & 0xC0 != 0x80), len(data))[places]
+        words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(places.astype(np.int32)), pa.py_buffer(data)]).dictionary_encode()
+        ids = self._ids(bytes_of(words.dictionary))
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat, begin = np.frombuffer(b"".join(ids), "<i4"), np.cumsum(sizes) - sizes
+        index = words.indices.to_numpy()
+        sizes = sizes[index]
+        ends = np.cumsum(sizes)
+        out = flat[np.repeat(begin[index] - (ends - sizes), sizes) + np.arange(int(sizes.sum()))]
+        # Tokens before each text's first word.
+        before = np.concatenate(([0], ends))[np.searchsorted(starts, np.append(pieces, len(points)))]
+        return out, np.diff(before)
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of all texts, and how many each text has."""
+        parts, owner = [], []
+        for i, text in enumerate(texts):
+            cuts = self.split.split(text) if self.split is not None and any(x in text for x in self.added) else [text]
+            for x in cuts:
+                more = blocks(x) if len(x) > BLOCK_CHARS else [x]
+                parts += more
+                owner += [i] * len(more)
+        special = [self.added.get(x) for x in parts] if len(parts) > len(texts) else [self.added.get(x) if len(x) < 100 else None for x in parts]
+        ids, sizes = self._ordinary(["" if s is not None else x for x, s in zip(parts, special)])
+        if any(s is not None for s in special):
+            where = np.cumsum(sizes)
+            at = [k for k, s in enumerate(special) if s is not None]
+            ids = np.insert(ids, where[at], [special[k] for k in at])
+            sizes[at] = 1
+        return ids, np.bincount(owner, sizes, len(texts)).astype(np.int64)
 
     def decode(self, ids) -> str:
         return b"".join(map(self.token_bytes.__getitem__, ids)).decode("utf-8", "replace")
 
+    def decode_all(self, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+        """The texts of rows of ids, laid end to end, each up to its end."""
+        data = self.token_array.take(pa.array(ids))
+        places = np.frombuffer(data.buffers()[1], np.int32, len(data) + 1, data.offset * 4)[np.concatenate(([0], ends))]
+        made = pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(places.copy()), data.buffers()[2]])
+        try:
+            return made.cast(pa.string())
+        except pa.ArrowInvalid:
+            return pa.array([x.decode("utf-8", "replace") for x in made.to_pylist()], pa.string())
+
+
+def bytes_of(column: pa.Array) -> list[bytes]:
+    """The values of a binary column without nulls."""
+    ends = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, column.offset * 4).tolist()
+    data = column.buffers()[2].to_pybytes()
+    return [data[i:j] for i, j in pairwise(ends)]
+
+
+def blocks(text: str) -> list[str]:
+    """A long text in parts that are cut where white space begins, as words are."""
+    out, begin = [], 0
+    while begin < len(text):
+        found = _begins_space.search(text, begin + BLOCK_CHARS)
+        end = found.start() + 1 if found else len(text)
+        out.append(text[begin:end])
+        begin = end
+    return out
+
 
 _codecs: dict[str, Codec] = {}
 
@@ -236,24 +374,18 @@ def _coded(path: str, text_col: str, keep: list[str]):
     def run(batches):
         own = codec(path)
         for batch in batches:
-            texts = batch.column(text_col)
-            kept = batch.select(keep)
-            begin, ids, decoded, offsets, chars = 0, [], [], [0], 0
+            column, kept = batch.column(text_col), batch.select(keep)
+            begin, texts, chars = 0, [], 0
             for i in range(batch.num_rows):
-                text = texts[i].as_py() or ""
-                got = np.fromiter(chain.from_iterable(own.encode(text)), np.int32)
-                ids.append(got)
-                decoded.append(own.decode(got.tolist()))
-                offsets.append(offsets[-1] + len(got))
-                chars += len(text)
-                if chars > BLOCK_CHARS or i + 1 == batch.num_rows:
-                    flat = pa.array(np.concatenate(ids), pa.int32())
-                    lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)
-                    columns = [*(kept.column(c).slice(begin, i + 1 - begin) for c in keep), lists, pa.array(decoded, pa.string())]
+                texts.append(column[i].as_py() or "")
+                chars += len(texts[-1])
+                if chars > BATCH_CHARS or i + 1 == batch.num_rows:
+                    ids, sizes = own.encode(texts)
+                    ends = np.cumsum(sizes)
+                    lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(ids.astype(np.int32)))
+                    columns = [*(kept.column(c).slice(begin, i + 1 - begin) for c in keep), lists, own.decode_all(ids, ends)]
                     yield pa.RecordBatch.from_arrays(columns, [*keep, "ids", "decoded"])
-                    begin, ids, decoded, offsets, chars = i + 1, [], [], [0], 0
-        # The worker goes on to other work; the words of this task would only fill its memory.
-        own.memo.clear()
+                    begin, texts, chars = i + 1, [], 0
 
     return run
 

@@ -4,7 +4,9 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
+import regex
 import xxhash
 from pyspark.sql import functions as F
 
@@ -192,11 +194,42 @@ def test_bpe_verification_decides(spark):
     """Words whose greedy proposal fails are found by the pair checks alone."""
     own = bpe.Codec(bpe.default_path())
     rng = random.Random(8)
-    words = list({"".join(rng.choices("abcdefghilmnorstu", k=rng.randint(1, 14))) for _ in range(4000)})
-    coded = own.encode_words(words)
+    words = list({"".join(rng.choices("abcdefghilmnorstu", k=rng.randint(1, 14))).encode() for _ in range(4000)})
+    words += [b"ab" * 300, b"a"]
+    flat, sizes = own.proposals(words)
+    tries = np.split(flat, np.cumsum(sizes)[:-1])
     differ = 0
-    for w in words:
-        exact = tuple(own.exact(w.encode()))
-        assert coded[w] == exact
-        differ += tuple(own.greedy(w.encode())) != exact
+    for w, ids, tried, exact in zip(words, own.encode_words(words), tries, own.exact(words)):
+        assert ids == exact and np.frombuffer(exact, "<i4").tolist() == own._exact_long(w)
+        assert b"".join(own.token_bytes[i] for i in tried) == w
+        differ += tried.tolist() != own._exact_long(w)
     assert differ > 100
+
+
+def test_words_begin_where_the_pattern_says(monkeypatch):
+    own, rng = bpe.Codec(bpe.default_path()), random.Random(18)
+    letters = list("strevlmda'' \t\n\x1c\x85\u00a0\u3000x1²½Ⅷ.!_é漢🙂")
+    monkeypatch.setattr(bpe, "BLOCK_CHARS", 20)
+    for _ in range(3000):
+        texts = ["".join(rng.choices(letters, k=rng.randint(1, 12))) for _ in range(rng.randint(1, 4))]
+        wanted, at = [], 0
+        for t in texts:
+            wanted += [at + m.start() for m in regex.finditer(bpe.PATTERN, t)]
+            at += len(t)
+        pieces = np.cumsum([0, *map(len, texts[:-1])])
+        assert own.starts(np.frombuffer("".join(texts).encode("utf-32-le"), "<u4"), pieces).tolist() == wanted
+        long = "".join(texts) * 9
+        assert "".join(bpe.blocks(long)) == long
+        assert [w for part in bpe.blocks(long) for w in regex.findall(bpe.PATTERN, part)] == regex.findall(bpe.PATTERN, long)
+
+
+def test_a_full_memo_changes_nothing(monkeypatch):
+    own, rng = bpe.Codec(bpe.default_path()), random.Random(19)
+    texts = [" ".join("".join(rng.choices("abcde", k=rng.randint(1, 5))) for _ in range(300)) for _ in range(8)]
+    whole = own.encode(texts)
+    monkeypatch.setattr(bpe, "MEMO_BYTES", 3000)
+    small = bpe.Codec(bpe.default_path())
+    for _ in range(2):
+        again = small.encode(texts)
+        assert (again[0] == whole[0]).all() and (again[1] == whole[1]).all()
+    assert max(len(small.young), len(small.old)) < 40 < len(own.young)
