@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoloom.llm import bpe, contamination, line_dedup, near_text, toxicity
+from geoloom.llm import bpe, contamination, line_dedup, near_copies, toxicity
 from geoloom.llm.common import cut, table
 
 
@@ -26,9 +26,9 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group linked by five-word Jaccard >= 0.8; documents without an id stay."""
-    found = near_text.similar_components(docs.filter("doc_id is not null"))
+    found = near_copies.similar_components(docs.filter("doc_id is not null"))
     gone, _ = cut(found.filter("doc_id <> component_id").select("doc_id").distinct(), "gone")
-    gone = F.broadcast(gone) if gone.count() <= near_text.BROADCAST_IDS else gone
+    gone = F.broadcast(gone) if gone.count() <= near_copies.BROADCAST_ROWS else gone
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
