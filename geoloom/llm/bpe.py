@@ -29,12 +29,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from geoloom.llm.common import table
+from geoloom.llm.common import give_back, table
 
 #: Bytes of one half of a worker's memo, what an entry takes besides its bytes, and the longest word kept there.
-MEMO_BYTES, ENTRY_BYTES, MEMO_WORD_BYTES = 64 << 20, 180, 64
+MEMO_BYTES, ENTRY_BYTES, MEMO_WORD_BYTES = 32 << 20, 180, 64
 #: Characters of texts handled at once, of a part of a long text, and words encoded at once.
-BATCH_CHARS, BLOCK_CHARS, BLOCK_WORDS = 1 << 21, 1 << 20, 200_000
+BATCH_CHARS, BLOCK_CHARS, BLOCK_WORDS = 1 << 20, 1 << 20, 50_000
 
 #: Fixed value: the word pattern of the byte-level pre-tokenizer, which `Codec.starts` follows.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -61,11 +61,11 @@ def byte_alphabet() -> dict[str, int]:
 def kinds() -> np.ndarray:
     """Of every code point: white space, letter, number or other, as the word pattern sees them."""
     found = np.full(0x110000, OTHER, np.uint8)
-    points = [p for p in range(0x110000) if not 0xD800 <= p < 0xE000]
-    every = "".join(map(chr, points))
-    for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\s+")):
-        for m in regex.finditer(pattern, every):
-            found[points[m.start()] : points[m.end() - 1] + 1] = kind
+    for begin, end in ((0, 0xD800), (0xE000, 0x110000)):
+        every = "".join(map(chr, range(begin, end)))
+        for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\s+")):
+            for m in regex.finditer(pattern, every):
+                found[begin + m.start() : begin + m.end()] = kind
     return found
 
 
@@ -386,6 +386,8 @@ def _coded(path: str, text_col: str, keep: list[str]):
                     columns = [*(kept.column(c).slice(begin, i + 1 - begin) for c in keep), lists, own.decode_all(ids, ends)]
                     yield pa.RecordBatch.from_arrays(columns, [*keep, "ids", "decoded"])
                     begin, texts, chars = i + 1, [], 0
+            del column, kept, batch
+            give_back()
 
     return run
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +41,14 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/geoloom-{label}-{uuid.uuid4().hex}"
 
 
+def give_back() -> None:
+    """Returns freed memory to the system. Workers are used for task after task, and what they hold on to counts for the executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def cut(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     """Writes df to the shared folder and reads it again: what follows has a short lineage and survives lost executors."""
     spark, path = df.sparkSession, new_path(df.sparkSession, label)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from geoloom.llm.common import table
+from geoloom.llm.common import give_back, table
 
 WINDOW = 13
 #: Characters of windows in one automaton (a node takes about 60 bytes), and so in one broadcast.
@@ -118,6 +118,7 @@ def _scanner(shared, text_col: str, keep: list[str], later: bool):
                     rows.append((n, hit, [dict(start=a, end=b) for a, b in spans], [dict(first=a, last=b) for a, b in words], sorted(items)))
                 made = [pa.array(x, f.type) for x, f in zip(zip(*rows), schema)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *made], [*keep, *schema.names])
+        give_back()
 
     return run
 

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from geoloom.llm.common import cut, table
+from geoloom.llm.common import cut, give_back, table
 
 LONG = 5
 SIMILAR, LEAD = 0.8, 3
@@ -100,6 +100,8 @@ def _lines(batches):
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, batch.column("id").type), pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), pa.array(prints, pa.binary())],
                 ["id", "key", "n", "print"])
+    del short
+    give_back()
 
 
 def distinct_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -180,6 +182,8 @@ def _templates(batches):
                 leaf, now = (at, n), Leaf()
             made.append(now.place(key, np.frombuffer(data, np.uint16)))
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", "n", "first", "last")), pa.array(made, pa.int64()), batch.column("leaf")], ["key", "n", "first", "last", "template", "leaf"])
+    leaf = now = None
+    give_back()
 
 
 def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -218,6 +222,7 @@ def _dropper(shared, text_col: str, id_col: str, keep: list[str]):
                     gone.append(len(off))
                 columns = [pa.array(texts, pa.string()) if c == text_col else batch.column(c) for c in keep]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), pa.array(gone, pa.int64())], [*keep, "n_lines", "n_dropped"])
+        give_back()
 
     return run
 

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoloom.llm.common import cut
+from geoloom.llm.common import cut, give_back
 from geoloom.llm.components import components
 
 SHINGLE, SEED = 5, 42
@@ -138,6 +138,7 @@ def _printed(plan: Plan):
                     sizes.append(len(found))
                     prints.append(wide_print(found, plan.words))
                 yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), _lists(prints)], ["id", "node", "n", "print"])
+        give_back()
 
     return run
 
@@ -154,6 +155,7 @@ def _probes(plan: Plan):
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("node"), batch.column("n"), pa.array(flat[:, 0], pa.int64()), _lists(own), _lists([plan.ball(x) for x in own])],
                     ["node", "n", "sign", "own", "ball"])
+        give_back()
 
     return run
 
@@ -164,6 +166,7 @@ def _items(batches):
         for begin in range(0, all_.num_rows, 2048):
             found = [shingles(x.as_py(), memo) for x in all_.slice(begin, 2048).column("text")]
             yield pa.RecordBatch.from_arrays([pa.array([whole(x) for x in found], pa.int64()), _lists(found)], ["node", "items"])
+    give_back()
 
 
 def _sized(a: str, b: str):

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from geoloom.llm.common import table
+from geoloom.llm.common import give_back, table
 
 #: Bounds of the sample that is fitted on: rows of either class, and characters of one row.
 SAMPLE_TOXIC, SAMPLE_ORDINARY, SAMPLE_CHARS = 1500, 3000, 20_000
@@ -169,6 +169,8 @@ def _scored(fitted, text_col: str, keep: list[str]):
                 batch = whole.slice(begin, ROWS_OUT)
                 made = [scores[own.of_text(x.as_py())] for x in batch.column(text_col)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(made, pa.float64())], [*keep, "score"])
+        own.memo.clear()
+        give_back()
 
     return run
 
