@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from geoloom.llm.common import give_back, table
+from geoloom.llm.common import bounded, give_back, table
 
 #: Bytes of one half of a worker's memo, what an entry takes besides its bytes, and the longest word kept there.
 MEMO_BYTES, ENTRY_BYTES, MEMO_WORD_BYTES = 32 << 20, 180, 64
@@ -102,10 +102,9 @@ class Codec:
         made = np.flatnonzero(rank >= 0)
         whole = self.compatible(left[made], right[made], rank[made])
         ids = [*made[whole].tolist(), *self.byte_id]
-        self.by_bytes = {self.token_bytes[i]: i for i in ids}
         self.longest = ahocorasick.Automaton()
-        for word, i in self.by_bytes.items():
-            self.longest.add_word(word.decode("latin-1"), i)
+        for i in ids:
+            self.longest.add_word(self.token_bytes[i].decode("latin-1"), i)
         self.longest.add_word(MARK, -1)
         self.longest.make_automaton()
         self.made_by = np.zeros(len(merges), np.int64)
@@ -400,7 +399,7 @@ def encode_decode(docs: DataFrame, path: str, text_col: str = "text", keep: list
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("ids", "decoded")]
     fields = [docs.schema[c] for c in keep]
     schema = T.StructType([*fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
-    return docs.select(*dict.fromkeys([*keep, text_col])).mapInArrow(_coded(path, text_col, keep), schema)
+    return bounded(docs).select(*dict.fromkeys([*keep, text_col])).mapInArrow(_coded(path, text_col, keep), schema)
 
 
 def default_path() -> str:

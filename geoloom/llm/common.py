@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+#: Rows in one Arrow batch at most: texts are long, and a batch is held by Spark and by the worker.
+BATCH_ROWS, BATCH_SETTING = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 _own_dir: dict[str, str] = {}
 
 
@@ -24,6 +27,14 @@ def ascii_lower(text):
     return F.translate(text, UPPER, LOWER)
 
 
+def bounded(docs: DataFrame) -> DataFrame:
+    """docs, with the session's Arrow batches bounded to BATCH_ROWS rows; a smaller setting stays."""
+    spark = docs.sparkSession
+    if not 0 < int(spark.conf.get(BATCH_SETTING, "10000")) <= BATCH_ROWS:
+        spark.conf.set(BATCH_SETTING, str(BATCH_ROWS))
+    return docs
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir. Only a local master may do without."""
     found = spark.conf.get("spark.checkpoint.dir", None)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from geoloom.llm.common import give_back, table
+from geoloom.llm.common import bounded, give_back, table
 
 WINDOW = 13
 #: Characters of windows in one automaton (a node takes about 60 bytes), and so in one broadcast.
@@ -135,7 +135,7 @@ def find_contamination(
     # Bound on the windows' characters: each word is in 13 windows at most.
     size = items.agg(F.coalesce(F.sum(F.length("text") + 2), F.lit(0))).first()[0] * WINDOW
     shards = max(1, -(-size // shard_chars))
-    rows = docs.select(*dict.fromkeys([*keep, text_col]))
+    rows = bounded(docs).select(*dict.fromkeys([*keep, text_col]))
     for k in range(shards):
         own = [tuple(r) for r in items.filter(F.pmod(F.xxhash64("item"), F.lit(shards)) == k).collect()]
         last = k + 1 == shards

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from geoloom.llm.common import cut, give_back, table
+from geoloom.llm.common import bounded, cut, give_back, table
 
 LONG = 5
 SIMILAR, LEAD = 0.8, 3
@@ -231,7 +231,7 @@ def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """docs without the lines whose templates recur across documents; n_lines and n_dropped are added."""
     spark = docs.sparkSession
     keep = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "__drop")]
-    docs = docs.select(*(F.col(f"`{c}`") for c in keep))
+    docs = bounded(docs).select(*(F.col(f"`{c}`") for c in keep))
     schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
     found, _ = cut(recurring_lines(docs, id_col, text_col), "recurring")
     if found.count() <= broadcast_lines:

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoloom.llm.common import cut, give_back
+from geoloom.llm.common import bounded, cut, give_back
 from geoloom.llm.components import components
 
 SHINGLE, SEED = 5, 42
@@ -276,7 +276,7 @@ def _links(nodes: DataFrame, texts: DataFrame, plan: Plan, dense: int, block: in
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dense: int = DENSE, block: int = BLOCK, bound: int = BROADCAST_ROWS) -> DataFrame:
     """One row per row of docs: id_col and component_id, the smallest id that is reachable over near copies."""
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = bounded(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     plan = Plan(rows.count())
     prints, _ = cut(rows.mapInArrow(_printed(plan), f"id {kind}, node long, n int, print array<long>"), "prints")
     nodes, _ = cut(prints.groupBy("node").agg(F.min("id").alias("first"), F.min("n").alias("n"), F.min("print").alias("print")), "nodes")

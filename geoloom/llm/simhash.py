@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoloom.llm.common import cut, table
+from geoloom.llm.common import bounded, cut, table
 from geoloom.llm.components import components
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
@@ -97,7 +97,7 @@ def _bit(i):
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dense: int = DENSE) -> DataFrame:
     """One row per row of docs: id_col, fp and component_id, the smallest id that is reachable over links."""
-    prints, _ = cut(fingerprints(docs, id_col, text_col), "simhash")
+    prints, _ = cut(fingerprints(bounded(docs), id_col, text_col), "simhash")
     distinct, _ = cut(prints.groupBy("fp").agg(F.min("id").alias("first")), "simhash")
     roots = components(links(distinct.select("fp"), dense))
     owner = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))

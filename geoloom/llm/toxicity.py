@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from geoloom.llm.common import give_back, table
+from geoloom.llm.common import bounded, give_back, table
 
 #: Bounds of the sample that is fitted on: rows of either class, and characters of one row.
 SAMPLE_TOXIC, SAMPLE_ORDINARY, SAMPLE_CHARS = 1500, 3000, 20_000
@@ -181,7 +181,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     # Bounded by ORDINARY_WORDS and by the sample.
     fitted = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, id_col, text_col))
     schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("score", T.DoubleType())])
-    scored = docs.select(*dict.fromkeys([*keep, text_col])).mapInArrow(_scored(fitted, text_col, keep), schema)
+    scored = bounded(docs).select(*dict.fromkeys([*keep, text_col])).mapInArrow(_scored(fitted, text_col, keep), schema)
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
