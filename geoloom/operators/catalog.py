@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from geoloom.operators import tiles
+
 # State, UTM zone, tile size in km, height datasets in order of preference.
 STATES = [
     ("by", 32, 1, ["dgm1", "dgm5", "dom20"]), ("ni", 32, 1, ["dgm1", "dom1"]), ("nw", 32, 1, ["dgm1", "dom1"]), ("he", 32, 1, ["dgm1", "dom1"]),
@@ -40,3 +42,122 @@ def jobs(tiles: DataFrame, state: str, dataset: str, bases: list[str]) -> DataFr
     middle, _, tail = rest.partition("{n}")
     name = F.concat(F.lit(head), F.col("east_km").cast("string"), F.lit(middle), F.col("north_km").cast("string"), F.lit(tail))
     return tiles.select("east_km", "north_km", name.alias("file")).withColumn("mirrors", F.array(*(F.concat(F.lit(b.rstrip("/") + "/"), F.col("file")) for b in bases)))
+
+
+def in_index(tiles_: DataFrame, index: DataFrame) -> DataFrame:
+    """Tiles with their url; tiles that the index does not have are dropped. Small indexes are broadcast by the optimiser."""
+    return tiles_.join(index, ["east_km", "north_km"])
+
+
+def wanted_only(items: DataFrame, tiles_: DataFrame) -> DataFrame:
+    """The items whose tile is wanted."""
+    return items.join(tiles_.select("east_km", "north_km"), ["east_km", "north_km"], "left_semi")
+
+
+def map_jobs(areas: DataFrame, state: str, base: str, layer: str, pixels: int = 2000) -> DataFrame:
+    """file and url of the image of each kilometre tile that an area (min_x, min_y, max_x, max_y) covers."""
+    zone = next(z for s, z, *_ in STATES if s == state)
+    t = tiles.covering_tiles(areas, 1).select("east_km", "north_km").distinct()
+    url = tiles.map_request(base, layer, F.col("east_km"), F.col("north_km"), pixels=pixels, epsg=25800 + zone)
+    return t.select("east_km", "north_km", tiles.tile_name(F.col("east_km"), F.col("north_km"), f"{layer}_").alias("file"), url.alias("url"))
+
+
+def size_estimate(jobs_: DataFrame, megabytes: float, *by: str) -> DataFrame:
+    return jobs_.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), (F.count(F.lit(1)) * F.lit(float(megabytes))).alias("megabytes"))
+
+
+def outcomes(results: DataFrame, *by: str) -> DataFrame:
+    """How many jobs came through: `error` is null for those."""
+    return results.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("error").isNull()).alias("done"))
+
+
+def newest_title(features: DataFrame) -> DataFrame:
+    """Of the features (title, datum, gid) with one title the one with the greatest date as text; of equal dates the smallest gid."""
+    named = features.filter("title <> '' and gid <> 0").withColumn("datum", F.coalesce("datum", F.lit("")))
+    # The greatest date, then the smallest number.
+    best = named.groupBy("title").agg(F.max(F.struct("datum", (-F.col("gid")).alias("back"))).alias("b"))
+    return best.select("title", "b.datum", (-F.col("b.back")).alias("gid"))
+
+
+def one_per_file(jobs_: DataFrame) -> DataFrame:
+    """One job of each file, with the smallest url, in the order of file names by code point."""
+    return jobs_.groupBy("file").agg(F.min("url").alias("url")).orderBy("file")
+
+
+def south_west_order(tiles_: DataFrame) -> DataFrame:
+    """Tiles column by column from the south-west."""
+    return tiles_.orderBy("east_km", "north_km")
+
+
+def prefer(*sources: DataFrame) -> DataFrame:
+    """Per tile the row of the first source that has it; sources have the same columns, east_km and north_km among them."""
+    rest = [c for c in sources[0].columns if c not in ("east_km", "north_km")]
+    ranked = None
+    for rank, s in enumerate(sources):
+        s = s.withColumn("__rank", F.lit(rank))
+        ranked = s if ranked is None else ranked.unionByName(s)
+    best = ranked.groupBy("east_km", "north_km").agg(F.min_by(F.struct(*rest), "__rank").alias("__s"), F.min("__rank").alias("source"))
+    return best.select("east_km", "north_km", "__s.*", "source")
+
+
+# --- pages of the states' portals
+
+_GRID = "STRUCT<features: ARRAY<STRUCT<properties: MAP<STRING, STRING>>>>"
+
+
+def page_grid(pages: DataFrame, column: str = "value") -> DataFrame:
+    """label and id of the tiles in a GeoJSON text that a page holds between single quotes; of one label the last counts."""
+    json = F.regexp_extract(F.col(column), r"(?s)(\{[^{']*\"FeatureCollection\"[^']*)", 1)
+    f = pages.select(F.from_json(json, _GRID).alias("g")).select(F.posexplode("g.features").alias("i", "f"))
+    of = lambda k: F.try_element_at(F.col("f.properties"), F.lit(k))
+    rows = f.select("i", of("label").alias("label"), of("id").try_cast("long").alias("id")).dropna()
+    return rows.groupBy("label").agg(F.max_by("id", "i").alias("id"))
+
+
+def item_block(name: Column) -> Column:
+    """The 10 km block of names like dgm1_32_572_6020_1_sh_2023: 32570_6020."""
+    e, n = tiles.tile_from_item(name)
+    ten = lambda v: F.floor(v / 10) * 10
+    return F.format_string("32%03d_%04d", ten(e), ten(n))
+
+
+def overview_jobs(pages: DataFrame, app: str, product: int, extension: str, column: str = "value") -> DataFrame:
+    """file and url of each file that an overview page (GeoJSON, plain or under `result`) names; one per file."""
+    inner = "features: ARRAY<STRUCT<properties: MAP<STRING, STRING>>>"
+    page = F.from_json(column, f"STRUCT<{inner}, result: STRUCT<{inner}>>")
+    f = pages.select(page.alias("p")).select(F.explode(F.coalesce("p.result.features", "p.features")).alias("f"))
+    of = lambda *ks: F.coalesce(*(F.try_element_at(F.col("f.properties"), F.lit(k)) for k in ks))
+    rows = f.select(of("kachel_n", "kaname").alias("name"), F.coalesce(of("jahr"), F.lit("")).alias("year"), of("kach10km", "filepath").alias("block"))
+    rows = rows.withColumn("block", F.coalesce("block", F.when(tiles.tile_from_item(F.col("name"))[0].isNotNull(), item_block(F.col("name"))))).dropna(subset=["name", "block"])
+    file = F.concat("name", F.lit(extension))
+    url = F.concat(F.lit(f"{app}/massen.php?file="), file, F.lit(f"&id={product}&live="), F.col("year"), F.lit("&km="), F.col("block"))
+    return one_per_file(rows.select(file.alias("file"), url.alias("url")))
+
+
+def package_archives(pages: DataFrame, host: str, part: str, fallback: str, column: str = "value") -> DataFrame:
+    """url of the zip resources of a package search that lie on the host and have `part` in their address; the fallback if there is none."""
+    shape = "STRUCT<result: STRUCT<results: ARRAY<STRUCT<resources: ARRAY<STRUCT<url: STRING>>>>>>"
+    urls = pages.select(F.explode(F.flatten(F.transform(F.from_json(column, shape)["result"]["results"], lambda p: F.coalesce(p["resources"]["url"], F.array())))).alias("url"))
+    fit = urls.filter(F.contains("url", F.lit(host)) & F.endswith(F.lower("url"), F.lit(".zip")) & F.contains(F.lower("url"), F.lit(part.lower()))).distinct()
+    spare = pages.sparkSession.createDataFrame([(fallback, 1)], "url string, __spare int")
+    both = fit.withColumn("__spare", F.lit(0)).unionByName(spare)
+    least = both.agg(F.min("__spare").alias("__spare"))
+    return both.join(F.broadcast(least), "__spare", "left_semi").select("url")
+
+
+def category_archives(pages: DataFrame, root: str, host: str, depth: int = 32) -> DataFrame:
+    """url of the zip files below a category. pages: path and value, the JSON of a folder: its folders and its downloads.
+
+    Folders are visited level by level; each level is one join of the folders found with the pages.
+    """
+    shape = "STRUCT<navigation: ARRAY<STRUCT<name: STRING>>, searchresult: STRUCT<downloads: ARRAY<STRUCT<fileExtension: STRING, downloadLink: STRUCT<uri: STRING>>>>>"
+    read = pages.select("path", F.from_json("value", shape).alias("p"))
+    now, found = pages.sparkSession.createDataFrame([(root,)], "path string"), None
+    for _ in range(depth):
+        level = now.join(read, "path")
+        files = level.select(F.inline("p.searchresult.downloads")).filter(F.lower("fileExtension") == "zip").select(F.col("downloadLink.uri").alias("uri")).filter("uri <> ''")
+        found = files if found is None else found.unionByName(files)
+        now = level.select("path", F.inline("p.navigation")).filter("name <> ''").select(F.concat_ws("/", "path", "name").alias("path"))
+        if now.isEmpty():
+            break
+    return found.select(F.when(F.col("uri").startswith("http"), F.col("uri")).otherwise(F.concat(F.lit(host), F.col("uri"))).alias("url"))

@@ -11,6 +11,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from geoloom.functions import geodesy
+from geoloom.operators import tiles
+
+#: Strips in which the columns of a raster are ordered.
+STRIPS = 4096
+
 
 @dataclass(frozen=True)
 class Grid:
@@ -46,21 +52,51 @@ class Grid:
         return n.select(F.floor(F.col("id") / self.width).alias("row"), (F.col("id") % self.width).alias("col"))
 
 
-def bilinear(points: DataFrame, cells: DataFrame, grid: Grid, key: str = "id", x: str = "x", y: str = "y", value: str = "value") -> DataFrame:
-    """points with `value`: bilinear between four centres; with a gap among them the nearest centre; null outside."""
+def bilinear(points: DataFrame, cells: DataFrame, grid: Grid, x: str = "x", y: str = "y", value: str = "value", by: tuple[str, ...] = ()) -> DataFrame:
+    """points with `value`: bilinear between four centres; with a gap among them the nearest centre; null outside.
+
+    Places are looked up, not rows, so any number of rows may share one. With `by`, points and cells
+    meet only where these columns are equal.
+    """
     fr, fc = grid.fraction(F.col(x), F.col(y))
-    asked = points.withColumns({"__fr": fr, "__fc": fc})
+    inside = grid.contains(F.col(x), F.col(y))
+    placed = points.withColumns({"__fr": F.when(inside, fr), "__fc": F.when(inside, fc)})
     r0, c0 = F.floor("__fr"), F.floor("__fc")
     corner = lambda dr, dc, w: F.struct(
         F.least(r0 + dr, F.lit(grid.height - 1)).alias("row"), F.least(c0 + dc, F.lit(grid.width - 1)).alias("col"), w.alias("w"))
     wr, wc = F.col("__fr") - r0, F.col("__fc") - c0
     corners = F.array(corner(0, 0, (1 - wr) * (1 - wc)), corner(0, 1, (1 - wr) * wc), corner(1, 0, wr * (1 - wc)), corner(1, 1, wr * wc))
-    asked = asked.filter(grid.contains(F.col(x), F.col(y))).select(key, "__fr", "__fc", F.inline(corners))
+    asked = placed.filter("__fr is not null").select(*by, "__fr", "__fc", F.inline(corners))
     near = (F.col("row") == F.rint("__fr")) & (F.col("col") == F.rint("__fc"))
-    joined = asked.join(cells.select("row", "col", F.col(value).cast("double").alias("__v")), ["row", "col"], "left")
-    found = joined.groupBy(key).agg(
-        F.when(F.count("__v") == 4, F.sum(F.col("w") * F.col("__v"))).otherwise(F.max(F.when(near, F.col("__v")))).alias("value"))
-    return points.join(found, key, "left")
+    joined = asked.join(cells.select(*by, "row", "col", F.col(value).cast("double").alias("__v")), [*by, "row", "col"], "left")
+    # Four rows for each row that asks for the place.
+    rows = F.count(F.lit(1))
+    found = joined.groupBy(*by, "__fr", "__fc").agg(
+        F.when(F.count("__v") == rows, F.sum(F.col("w") * F.col("__v")) / (rows / 4)).otherwise(F.max(F.when(near, F.col("__v")))).alias("value"))
+    return placed.join(found, [*by, "__fr", "__fc"], "left").drop("__fr", "__fc")
+
+
+def tiled(points: DataFrame, cells: DataFrame, grid_km: int, pixel: float, x: str = "x", y: str = "y", value: str = "value") -> DataFrame:
+    """points with their tile (east_km, north_km) and `value`, sampled in the raster of that tile.
+
+    cells: east_km, north_km (south-west corner of the tile), row, col and value, of any number of tiles.
+    """
+    n = round(grid_km * 1000 / pixel)
+    at = tiles.with_tile(points, x, y, grid_km).drop("grid_km")
+    at = at.withColumns({"__tx": F.col(x) - F.col("east_km") * 1000.0, "__ty": F.col(y) - F.col("north_km") * 1000.0})
+    return bilinear(at, cells, Grid(n, n, 0.0, grid_km * 1000.0, pixel), "__tx", "__ty", value, ("east_km", "north_km")).drop("__tx", "__ty")
+
+
+def elevation(points: DataFrame, cells: DataFrame, grid_km: int, pixel: float, epsg: int = 25832, lat: str = "lat", lon: str = "lon") -> DataFrame:
+    """points (lat, lon) with x and y in the tiles' system, the tile and `value`."""
+    return tiled(geodesy.with_projected(points, epsg, lat, lon), cells, grid_km, pixel)
+
+
+def mosaic(cells: DataFrame, grid_km: int, pixel: float, target: Grid) -> DataFrame:
+    """(row, col, value) of the target grid, each cell sampled at its centre in the tile that it lies in."""
+    x, y = target.centre(F.col("row"), F.col("col"))
+    spots = target.cells(cells.sparkSession).withColumns({"x": x, "y": y})
+    return tiled(spots, cells, grid_km, pixel).select("row", "col", "value")
 
 
 def nearest(points: DataFrame, cells: DataFrame, grid: Grid, x: str = "x", y: str = "y", value: str = "value") -> DataFrame:
@@ -74,11 +110,9 @@ def nearest(points: DataFrame, cells: DataFrame, grid: Grid, x: str = "x", y: st
 
 def regrid(cells: DataFrame, grid: Grid, target: Grid) -> DataFrame:
     """(row, col, value) of the target grid, sampled at its centres."""
-    spots = target.cells(cells.sparkSession)
     x, y = target.centre(F.col("row"), F.col("col"))
-    spots = spots.select((F.col("row") * target.width + F.col("col")).alias("id"), x.alias("x"), y.alias("y"))
-    found = bilinear(spots, cells, grid)
-    return found.select(F.floor(F.col("id") / target.width).alias("row"), (F.col("id") % target.width).alias("col"), "value")
+    spots = target.cells(cells.sparkSession).withColumns({"x": x, "y": y})
+    return bilinear(spots, cells, grid).select("row", "col", "value")
 
 
 def slope_aspect(points: DataFrame, cells: DataFrame, grid: Grid, step: float = 1.0, key: str = "id") -> DataFrame:
@@ -86,7 +120,7 @@ def slope_aspect(points: DataFrame, cells: DataFrame, grid: Grid, step: float =
     around = F.array(*(F.struct(F.lit(n).alias("side"), (F.col("x") + dx * step).alias("sx"), (F.col("y") + dy * step).alias("sy"))
                        for n, dx, dy in (("e", 1, 0), ("w", -1, 0), ("n", 0, 1), ("s", 0, -1))))
     spots = points.select(F.col(key).alias("__key"), F.inline(around)).withColumn("id", F.struct("__key", "side"))
-    at = bilinear(spots.select("id", "sx", "sy"), cells, grid, "id", "sx", "sy")
+    at = bilinear(spots.select("id", "sx", "sy"), cells, grid, "sx", "sy")
     side = lambda s: F.max(F.when(F.col("id.side") == s, F.col("value")))
     sides = at.groupBy(F.col("id.__key").alias(key)).agg(*(side(s).alias(s) for s in "ewns"))
     dx, dy = (F.col("e") - F.col("w")) / (2 * step), (F.col("n") - F.col("s")) / (2 * step)
@@ -101,8 +135,8 @@ def profile(lines: DataFrame, cells: DataFrame, grid: Grid, samples: int, key: s
     t = F.col("i") / F.lit(float(samples - 1))
     spots = lines.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
     spots = spots.withColumns({"x": F.col("x0") + (F.col("x1") - F.col("x0")) * t, "y": F.col("y0") + (F.col("y1") - F.col("y0")) * t,
-                               "distance": F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")) * t, "__id": F.struct(key, "i")})
-    found = bilinear(spots.select("__id", key, "i", "x", "y", "distance"), cells, grid, "__id")
+                               "distance": F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")) * t})
+    found = bilinear(spots.select(key, "i", "x", "y", "distance"), cells, grid)
     return found.select(key, "i", "x", "y", "distance", "value")
 
 
@@ -131,12 +165,17 @@ def statistics(cells: DataFrame, *by: str) -> DataFrame:
 def from_points(points: DataFrame, x: str = "x", y: str = "y", value: str = "value") -> tuple[DataFrame, Grid]:
     """Cells and grid of regularly spaced centres; the spacing is the smallest step between distinct eastings.
 
-    Only the distinct eastings, one per column of the raster, are put in one order.
+    Distinct eastings are ordered within STRIPS strips; only the strips' ends are put in one order.
     """
-    eastings = points.select(F.col(x).alias("x")).distinct()
-    step = eastings.select((F.lead("x").over(Window.orderBy("x")) - F.col("x")).alias("d")).agg(F.min("d")).first()[0]
     b = points.agg(F.min(x), F.max(y), F.max(x), F.min(y), F.count(F.lit(1))).first()
-    if b[4] < 3 or step is None:
+    step = None
+    if b[4] >= 3 and b[2] > b[0]:
+        strip = F.floor((F.col("x") - b[0]) / ((b[2] - b[0]) / STRIPS))
+        eastings = points.select(F.col(x).alias("x")).distinct().withColumn("strip", strip)
+        inner = eastings.withColumn("d", F.lead("x").over(Window.partitionBy("strip").orderBy("x")) - F.col("x"))
+        ends = inner.groupBy("strip").agg(F.min("d").alias("d"), F.min("x").alias("first"), F.max("x").alias("last"))
+        step = ends.select(F.least("d", F.lead("first").over(Window.orderBy("strip")) - F.col("last")).alias("d")).agg(F.min("d")).first()[0]
+    if step is None:
         raise ValueError("a raster needs three points")
     grid = Grid(round((b[2] - b[0]) / step) + 1, round((b[1] - b[3]) / step) + 1, b[0] - step / 2, b[1] + step / 2, step)
     row, col = grid.cell(F.col(x), F.col(y))

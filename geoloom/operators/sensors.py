@@ -1,7 +1,8 @@
 """Sensor rays, where they meet the ground, and which cells a flight has seen.
 
-Rays are rows. A ray's march is a list of steps that are equi-joined to the terrain's cells through
-bilinear sampling; the first step that is below the ground, or off the terrain, ends it.
+Rays are rows. A ray is marched in stretches that are equi-joined to coarse blocks of the terrain;
+stretches that may meet the ground become steps, which are equi-joined to the cells through bilinear
+sampling. The first step that is below the ground, or off the terrain, ends the ray.
 """
 
 from __future__ import annotations
@@ -70,34 +71,60 @@ def cylinder_rays(poses: DataFrame, quality: int, radius: float) -> DataFrame:
     return rays.withColumns({"x": F.col("x") + F.col("a"), "y": F.col("y") + F.col("b"), "dx": F.lit(0.0), "dy": F.lit(0.0), "dz": F.lit(-1.0)}).drop("a", "b")
 
 
-def _steps(rays: DataFrame, count: Column, step: float) -> DataFrame:
-    s = rays.withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), count)))
-    at = lambda c: F.col(c) + F.col(f"d{c}") * (F.col("k") * step)
-    return s.withColumns({"px": at("x"), "py": at("y"), "pz": at("z")})
+def _coarse(terrain: DataFrame, grid: Grid, block: int) -> DataFrame:
+    """Per block of cells the highest value in it and around it, and whether there is a gap or the edge of the terrain."""
+    br, bc = F.floor(F.col("row") / block), F.floor(F.col("col") / block)
+    own = terrain.filter("value is not null").groupBy(br.alias("br"), bc.alias("bc")).agg(F.max("value").alias("top"), F.count(F.lit(1)).alias("n"))
+    size = lambda length, at: F.least(F.lit(block), F.lit(length) - at * block)
+    own = own.withColumn("full", (F.col("n") >= size(grid.height, F.col("br")) * size(grid.width, F.col("bc"))).cast("int"))
+    around = F.array(*(F.struct((F.col("br") + r).alias("br"), (F.col("bc") + c).alias("bc")) for r in (-1, 0, 1) for c in (-1, 0, 1)))
+    spread = own.select("top", "full", F.inline(around))
+    return spread.groupBy("br", "bc").agg(F.max("top").alias("top"), (F.sum("full") < 9).alias("gap"))
+
+
+def _steps(rays: DataFrame, count: Column, step: float, terrain: DataFrame, grid: Grid, gaps: bool, block: int = 16) -> DataFrame:
+    """Those of a ray's steps 1 to count (k, px, py, pz) that may be below the ground, or with `gaps` off it.
+
+    Stretches of a ray as long as a block are compared with the block's highest ground first; a
+    stretch that stays above it gives no steps.
+    """
+    size = max(1, int(block * grid.pixel / step))
+    s = rays.withColumn("__n", count)
+    s = s.withColumn("__j", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__n") - 1) / size))))
+    first, last = F.col("__j") * size + 1, F.least((F.col("__j") + 1) * size, F.col("__n"))
+    at = lambda c, k: F.col(c) + F.col(f"d{c}") * (k * step)
+    row, col = grid.cell(at("x", (first + last) / 2), at("y", (first + last) / 2))
+    s = s.withColumns({"br": F.floor(row / block), "bc": F.floor(col / block), "__first": first, "__last": last, "__low": F.least(at("z", first), at("z", last))})
+    s = s.join(_coarse(terrain, grid, block), ["br", "bc"], "left")
+    may = F.coalesce(F.col("__low") <= F.col("top"), F.lit(gaps))
+    if gaps:
+        may = may | F.coalesce("gap", F.lit(True))
+    s = s.filter(may).withColumn("k", F.explode(F.sequence("__first", "__last")))
+    return s.withColumns({f"p{c}": at(c, F.col("k")) for c in "xyz"}).drop("br", "bc", "top", "gap", "__n", "__j", "__first", "__last", "__low")
 
 
 def hit_ground(rays: DataFrame, terrain: DataFrame, grid: Grid, max_range: float, step: float | None = None, key: str = "ray_id") -> DataFrame:
-    """rays with hit_x, hit_y, hit_z (null: none). rays has key, x, y, z and a unit direction dx, dy, dz.
+    """rays with hit_x, hit_y, hit_z (null: none). rays has a unique key, x, y, z and a unit direction dx, dy, dz.
 
     A hit half a step earlier is taken if that point is below the ground, too.
     """
     step = step or grid.pixel * 0.75
-    top = terrain.agg(F.max("value")).first()[0]
-    lowest = terrain.agg(F.min("value")).first()[0]
+    top, lowest = terrain.agg(F.max("value"), F.min("value")).first()
+    if top is None:
+        return rays.withColumns({c: F.lit(None).cast("double") for c in ("hit_x", "hit_y", "hit_z")})
     # No step past the range, past the terrain's highest point when climbing, or past its lowest when falling.
     limit = F.floor(F.lit(max_range / step)) + 1
     climb = F.when(F.col("dz") > 0, F.greatest(F.ceil((F.lit(float(top) + 1.0) - F.col("z")) / (F.col("dz") * step)), F.lit(0)))
     fall = F.when(F.col("dz") < 0, F.greatest(F.ceil((F.lit(float(lowest)) - F.col("z")) / (F.col("dz") * step)), F.lit(0)) + 1)
     count = F.greatest(F.least(limit, F.coalesce(climb, limit), F.coalesce(fall, limit)), F.lit(1)).cast("long")
-    steps = _steps(rays.select(key, "x", "y", "z", "dx", "dy", "dz"), count, step)
-    spots = steps.withColumn("__id", F.struct(key, "k"))
-    sampled = raster.bilinear(spots.select("__id", "px", "py", "pz"), terrain, grid, "__id", "px", "py")
+    steps = _steps(rays.select(key, "x", "y", "z", "dx", "dy", "dz"), count, step, terrain, grid, gaps=True)
+    sampled = raster.bilinear(steps.select(key, "k", "px", "py", "pz"), terrain, grid, "px", "py")
     ended = sampled.filter(F.col("value").isNull() | (F.col("pz") <= F.col("value")))
-    first = ended.groupBy(F.col(f"__id.{key}").alias(key)).agg(F.min_by(F.struct(F.col("__id.k").alias("k"), "px", "py", "value"), F.col("__id.k")).alias("e"))
+    first = ended.groupBy(key).agg(F.min_by(F.struct("k", "px", "py", "value"), "k").alias("e"))
     met = rays.select(key, "x", "y", "z", "dx", "dy", "dz").join(first.filter("e.value is not null"), key)
     half = lambda c: F.col(c) + F.col(f"d{c}") * ((F.col("e.k") - 0.5) * step)
     back = met.select(key, "e", half("x").alias("bx"), half("y").alias("by"), half("z").alias("bz"))
-    refined = raster.bilinear(back, terrain, grid, key, "bx", "by").withColumn("g", F.coalesce("value", "e.value"))
+    refined = raster.bilinear(back, terrain, grid, "bx", "by").withColumn("g", F.coalesce("value", "e.value"))
     use = F.col("bz") <= F.col("g")
     hits = refined.select(key, F.when(use, F.col("bx")).otherwise(F.col("e.px")).alias("hit_x"), F.when(use, F.col("by")).otherwise(F.col("e.py")).alias("hit_y"),
                           F.when(use, F.col("g")).otherwise(F.col("e.value")).alias("hit_z"))
@@ -111,14 +138,22 @@ def can_see(pairs: DataFrame, terrain: DataFrame, grid: Grid, step: float | None
     rays = pairs.withColumn("__far", far).filter("__far >= 1e-6")
     rays = rays.select(key, "x", "y", "z", "__far", *(((F.col(f"t{c}") - F.col(c)) / F.col("__far")).alias(f"d{c}") for c in "xyz"))
     count = F.ceil((F.col("__far") - step) / step) - 1
-    steps = _steps(rays.filter(count >= 1), count, step).withColumn("__id", F.struct(key, "k"))
-    sampled = raster.bilinear(steps.select("__id", "px", "py", "pz"), terrain, grid, "__id", "px", "py")
-    blocked = sampled.filter(F.col("pz") <= F.col("value")).select(F.col(f"__id.{key}").alias(key)).distinct().withColumn("__blocked", F.lit(True))
+    steps = _steps(rays.filter(count >= 1), count, step, terrain, grid, gaps=False)
+    sampled = raster.bilinear(steps.select(key, "px", "py", "pz"), terrain, grid, "px", "py")
+    blocked = sampled.filter(F.col("pz") <= F.col("value")).select(key).distinct().withColumn("__blocked", F.lit(True))
     return pairs.join(blocked, key, "left").withColumn("visible", F.col("__blocked").isNull()).drop("__blocked")
 
 
-def seen_cells(hits: DataFrame, grid: Grid) -> DataFrame:
-    """Distinct cells of the hits."""
+def flight_coverage(samples: DataFrame, rays_of, terrain: DataFrame, grid: Grid, max_range: float, frame_step: float = 1.0, key: str = "id") -> DataFrame:
+    """Per track the distinct cells seen from its frames. rays_of makes the rays (`ray`, directions) of a table of poses."""
+    frames = trajectory.poses_at(samples, trajectory.frames(samples, frame_step, key), key)
+    rays = rays_of(frames).withColumn("ray_id", F.struct(key, "t", "ray"))
+    hits = hit_ground(rays, terrain, grid, max_range)
+    return seen_cells(hits, grid, key)
+
+
+def seen_cells(hits: DataFrame, grid: Grid, *by: str) -> DataFrame:
+    """Distinct cells of the hits (of each value of the columns `by`)."""
     row, col = grid.cell(F.col("hit_x"), F.col("hit_y"))
-    found = hits.filter("hit_x is not null").select(row.alias("row"), col.alias("col")).distinct()
+    found = hits.filter("hit_x is not null").select(*by, row.alias("row"), col.alias("col")).distinct()
     return found.filter(F.col("row").between(0, grid.height - 1) & F.col("col").between(0, grid.width - 1))

@@ -29,23 +29,39 @@ def frames(samples: DataFrame, step: float, key: str = "id") -> DataFrame:
 def poses_at(samples: DataFrame, times: DataFrame, key: str = "id") -> DataFrame:
     """Pose of each (key, t) of times: between the two samples around it, the end samples beyond the ends.
 
-    Samples and times are merged and ordered per track; each time takes the sample before and the one
-    after it from the window, so tracks are never paired with all their times.
+    Samples and times are merged and ordered per track; each time takes the sample before it from the
+    order by time and the one after it from the reverse order, each carried along row by row. Where
+    samples have a quaternion `q`, the pose has one, too: between the two on the shorter great arc,
+    null unless both samples have it.
     """
-    named = F.struct(F.col("t").alias("t"), *POSE)
+    own = [*POSE, *(["q"] if "q" in samples.columns else [])]
+    named = F.struct("t", *own)
     both = samples.select(key, "t", F.lit(0).alias("kind"), named.alias("s")).unionByName(
         times.select(key, "t", F.lit(1).alias("kind"), F.lit(None).cast(samples.select(named.alias("s")).schema["s"].dataType).alias("s")))
-    w = Window.partitionBy(key).orderBy("t", "kind")
-    before = F.last("s", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("s", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    found = both.withColumns({"a": before, "b": after}).filter("kind = 1")
+    so_far = lambda *order: F.last("s", ignorenulls=True).over(Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    found = both.withColumn("a", so_far("t", "kind")).withColumn("b", so_far(F.desc("t"), F.desc("kind"))).filter("kind = 1")
     a = lambda c: F.coalesce(F.col(f"a.{c}"), F.col(f"b.{c}"))
     b = lambda c: F.coalesce(F.col(f"b.{c}"), F.col(f"a.{c}"))
     span = b("t") - a("t")
     part = F.when(span > 0, (F.col("t") - a("t")) / span).otherwise(0.0)
     line = lambda c: (a(c) + (b(c) - a(c)) * part).alias(c)
     arc = lambda c: turn_between(a(c), b(c), part).alias(c)
-    return found.select(key, "t", line("x"), line("y"), line("z"), arc("yaw"), line("pitch"), arc("roll"))
+    turned = [F.when(a("q").isNotNull() & b("q").isNotNull(), slerp(a("q"), b("q"), part)).alias("q")] if "q" in own else []
+    return found.select(key, "t", line("x"), line("y"), line("z"), arc("yaw"), line("pitch"), arc("roll"), *turned)
+
+
+def viewer_poses(samples: DataFrame, times: DataFrame, key: str = "id") -> DataFrame:
+    """Position and quaternion of each (key, t) of times, where t counts from the track's first sample; angles become quaternions first."""
+    turned = rotation(F.col("yaw"), F.col("pitch"), F.col("roll"))
+    samples = samples.withColumn("q", F.coalesce(F.col("q"), turned) if "q" in samples.columns else turned)
+    begin = samples.groupBy(key).agg(F.min("t").alias("__t0"))
+    samples = samples.join(begin, key).withColumn("t", F.col("t") - F.col("__t0")).drop("__t0")
+    return poses_at(samples, times, key).select(key, "t", "x", "y", "z", "q")
+
+
+def timed_by_row(samples: DataFrame, order: str, interval: float, key: str = "id") -> DataFrame:
+    """samples of each track with t: the place in the order, times the interval."""
+    return samples.withColumn("t", (F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1) * F.lit(float(interval)))
 
 
 def length(samples: DataFrame, key: str = "id") -> DataFrame:

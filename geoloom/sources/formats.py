@@ -153,6 +153,19 @@ def stac_items(pages: DataFrame, column: str = "value") -> DataFrame:
     return page.select(F.inline("p.features")).select("id", F.try_to_timestamp(F.col("properties.datetime")).alias("taken"), F.transform_values("assets", lambda _, a: a["href"]).alias("assets"))
 
 
+def stac_next(pages: DataFrame, column: str = "value") -> DataFrame:
+    """The addresses that the pages name as their next page."""
+    page = pages.select(F.from_json(column, STAC)["links"].alias("links"))
+    return page.select(F.inline("links")).filter("rel = 'next'").select("href")
+
+
+def asset_jobs(items: DataFrame, key: str) -> DataFrame:
+    """id, file and url of the items that have the asset, whatever the case of its key; the first in the order of keys if several do."""
+    fit = F.array_sort(F.filter(F.map_entries("assets"), lambda e: F.lower(e["key"]) == key.lower()))
+    url = F.get(fit, F.lit(0))["value"]
+    return items.select("id", url.alias("url")).filter("url is not null").select("id", F.element_at(F.split("url", "/"), -1).alias("file"), "url")
+
+
 def newest_per_tile(items: DataFrame, keys: list[str], when: str = "taken", tie: str = "id") -> DataFrame:
     """The latest item of each tile; without a date it counts as oldest, and of equal dates the smallest id stays."""
     order = F.struct(F.col(when).isNotNull().alias("dated"), F.col(when))

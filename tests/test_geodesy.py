@@ -45,10 +45,20 @@ def test_detection(spark, a, b, epsg, swapped):
     assert (r.epsg, r.swapped) == (epsg, swapped) and abs(r.lat - LAT) < 1e-5 and abs(r.lon - LON) < 1e-5
 
 
-@pytest.mark.parametrize("text", ["48°08'14.0\"N 11°34'32.0\"E", "N48°08'14\" E11°34'32\"", "48 08 14 N, 11 34 32 E", "11 34 32 E, 48 08 14 N"])
-def test_dms(text):
-    lat, lon = jsoncoords.parse_dms(text)
-    assert abs(lat - 48.137222) < 1e-4 and abs(lon - 11.575556) < 1e-4
+# One place (or none) in the spellings that have to be understood.
+SPELLINGS = ["48°08'14.0\"N 11°34'32.0\"E", "N48°08'14\" E11°34'32\"", "48 08 14 N, 11 34 32 E", "11 34 32 E, 48 08 14 N", "48d08m14s N; 11d34m32s E", "48°08′14″N/11°34′32″E", "48,137222° 11,575556°",
+             "48.137222N 11.575556E", "N 48 08.2333 E 11 34.5333", "48:08:14 N 11:34:32 E"]
+NO_ANGLES = ["", "Sensor 12 34", "48°08'14\"N", "N E", "98°N 11°E", "1 2 3 4 5 N", "48 | 11 | 5 N", "a48N 11E", None]
+
+
+def test_dms(spark):
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(SPELLINGS)] + [(100 + i, t) for i, t in enumerate(NO_ANGLES)], "id int, text string")
+    got = {r.id: (r.lat, r.lon) for r in jsoncoords.with_angles(rows, "text").collect()}
+    for i, text in enumerate(SPELLINGS):
+        assert abs(got[i][0] - 48.137222) < 1e-4 and abs(got[i][1] - 11.575556) < 1e-4, text
+    assert all(got[100 + i] == (None, None) for i in range(len(NO_ANGLES)))
+    south = spark.createDataFrame([("33°51'S 151°12'E",), ("-33.85° 151.2°",), ("W 70°40' S 33°27'",)], "text string")
+    assert [(round(r.lat, 3), round(r.lon, 3)) for r in jsoncoords.with_angles(south, "text").collect()] == [(-33.85, 151.2), (-33.85, 151.2), (-33.45, -70.667)]
 
 
 def test_dms_format(spark):
@@ -66,6 +76,18 @@ def test_messy_json(spark):
     assert (r["$.site"].z, r["$.arr"].z, r["$.utm"].epsg) == (520.0, 521.3, 25832)
 
 
+def test_json_shapes(spark):
+    """Repeated names, own names, texts in arrays, heights with a comma, comments inside texts, and values at the top."""
+    docs = ['{"lat": 1, "lat": 48.1, "lon": 11.5, "ele": "47,5"}', '{"Breitengrad": 48.1, "l": 11.5}', '["48.1 11.5", "n", true, {"x": null}]', '{"a": "// 48.1", "b": "48.1; 11.5; 520"}', '"48.1 11.5"',
+            '{"lat": "200,5", "lon": "400,5"}', '[48.1, 11.5', '{"a": {"b": [[11.5, 48.1]]}}', '{"p": {"lat": 48.1}, "lon": 11.5}', "[NaN, 1]", '{"e": 691607.86, "n": 5334760.39, "z": 4}']
+    rows = spark.createDataFrame(list(enumerate(docs)), "id long, json string")
+    options = jsoncoords.Options(extra={"lat": ["BREITENGRAD"], "lon": ["L"]})
+    got = {r.id: (r.path, r.kind, round(r.lat, 1), round(r.lon, 1), r.z) for r in jsoncoords.find_coordinates(rows, options=options).collect()}
+    assert got == {
+        0: ("$", "geo", 48.1, 11.5, 47.5), 1: ("$", "geo", 48.1, 11.5, None), 2: ("$[0]", "bare", 48.1, 11.5, None), 3: ("$.b", "bare", 48.1, 11.5, 520.0), 4: ("$", "bare", 48.1, 11.5, None),
+        7: ("$.a.b[0]", "bare", 48.1, 11.5, None), 10: ("$", "named", 48.1, 11.6, 4.0)}
+
+
 def test_assumed_system(spark):
     found = jsoncoords.find_coordinates(spark.createDataFrame([(1, '{"p": [4468517.54, 5333330.45]}')], "id long, json string"), options=jsoncoords.Options(assume_epsg=31468))
     r = found.first()

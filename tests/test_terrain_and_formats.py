@@ -24,6 +24,83 @@ def test_bilinear(spark):
     assert {r.id: r.value for r in raster.bilinear(at, gap, g).collect()}[2] == 10.0
 
 
+def test_bilinear_of_repeated_rows(spark):
+    g = Grid(2, 2, 100.0, 200.0, 1.0)
+    cells = spark.createDataFrame([(0, 0, 10.0), (0, 1, 20.0), (1, 0, 30.0), (1, 1, 40.0)], "row long, col long, value double")
+    at = spark.createDataFrame([(1, 101.0, 199.5), (1, 101.0, 199.5), (1, 101.0, 199.5), (1, 100.5, 199.5), (2, 101.4, 198.9), (2, 101.4, 198.9), (None, 5.0, None)], "id int, x double, y double")
+    got = sorted((r.id or 0, round(r.value, 9) if r.value is not None else -1) for r in raster.bilinear(at, cells, g).collect())
+    assert got == [(0, -1), (1, 10.0), (1, 15.0), (1, 15.0), (1, 15.0), (2, 31.0), (2, 31.0)]
+
+
+def test_tiles_are_sampled_on_their_own(spark):
+    cells = spark.createDataFrame([(e, n, r, c, e * 1000.0 + n * 100 + r * 10 + c) for e in (0, 1) for n in (0, 2) for r in (0, 1) for c in (0, 1)], "east_km int, north_km int, row long, col long, value double")
+    at = spark.createDataFrame([(1, 500.0, 500.0), (2, 999.0, 250.0), (3, 1001.0, 250.0), (4, 1500.0, 2500.0), (5, 500.0, 1500.0)], "id int, x double, y double")
+    got = {r.id: (r.east_km, r.north_km, r.value) for r in raster.tiled(at, cells, 1, 500.0).collect()}
+    # Half way between four centres; at the edge the tile's own outermost centres.
+    assert got == {1: (0, 0, 5.5), 2: (0, 0, 11.0), 3: (1, 0, 1010.0), 4: (1, 2, 1205.5), 5: (0, 1, None)}
+    assert raster.mosaic(cells, 1, 500.0, Grid(4, 2, 0.0, 1000.0, 500.0)).orderBy("row", "col").select("value").toPandas().value.tolist() == [0, 1, 1000, 1001, 10, 11, 1010, 1011]
+
+
+def test_rays_over_gaps_and_hills(spark):
+    """The coarse comparison loses no hit: against marching every step in Python."""
+    import random
+
+    g, rng = Grid(50, 40, 0.0, 40.0, 1.0), random.Random(5)
+    height = {(r, c): 5 * math.sin(r / 5) + 4 * math.cos(c / 4) for r in range(40) for c in range(50) if not (20 < r < 24 and 30 < c < 35)}
+    cells = spark.createDataFrame([(r, c, v) for (r, c), v in height.items()], "row long, col long, value double")
+
+    def ground(x, y):
+        if not (0 <= x <= 50 and 0 <= y <= 40):
+            return None
+        fr, fc = min(max(40 - y - 0.5, 0), 39), min(max(x - 0.5, 0), 49)
+        r0, c0 = math.floor(fr), math.floor(fc)
+        near = [(min(r0 + a, 39), min(c0 + b, 49), (fr - r0 if a else 1 - fr + r0) * (fc - c0 if b else 1 - fc + c0)) for a in (0, 1) for b in (0, 1)]
+        values = [height.get((r, c)) for r, c, _ in near]
+        return sum(v * w for v, (_, _, w) in zip(values, near)) if None not in values else height.get((round(fr), round(fc)))
+
+    rays, wanted = [], {}
+    for i in range(60):
+        d = [rng.gauss(0, 1), rng.gauss(0, 1), rng.gauss(-0.3, 0.4)]
+        size = math.sqrt(sum(v * v for v in d))
+        x, y, z, dx, dy, dz = rng.uniform(5, 45), rng.uniform(5, 35), rng.uniform(10, 20), *(v / size for v in d)
+        rays.append((i, x, y, z, dx, dy, dz))
+        for k in range(1, int(80 / 0.75) + 2):
+            h = ground(x + dx * k * 0.75, y + dy * k * 0.75)
+            if h is None:
+                break
+            if z + dz * k * 0.75 <= h:
+                wanted[i] = k
+                break
+    frame = spark.createDataFrame(rays, "ray_id int, x double, y double, z double, dx double, dy double, dz double")
+    hits = {r.ray_id: r for r in sensors.hit_ground(frame, cells, g, 80.0).filter("hit_x is not null").collect()}
+    assert hits.keys() == wanted.keys() and len(wanted) > 10
+    for i, k in wanted.items():
+        along = math.dist((hits[i].hit_x, hits[i].hit_y), rays[i][1:3])
+        flat = math.hypot(*rays[i][4:6])
+        assert (k - 0.5) * 0.75 * flat - 1e-6 <= along <= k * 0.75 * flat + 1e-6
+
+
+def test_flight_coverage(spark):
+    cells, g = ridge(spark)
+    s = spark.createDataFrame([(1, 0.0, 500040.0, 5400100.0, 130.0, 0.0, 0.0, 0.0), (1, 2.0, 500060.0, 5400100.0, 130.0, 0.0, 0.0, 0.0), (2, 0.0, 500150.0, 5400050.0, 130.0, 0.0, 0.0, 0.0), (2, 1.0, 500150.0, 5400050.0, 130.0, 0.0, 0.0, 0.0)],
+                              "id int, t double, x double, y double, z double, yaw double, pitch double, roll double")
+    seen = sensors.flight_coverage(s, lambda p: sensors.cylinder_rays(p, 9, 5.0), cells, g, 500.0, 1.0).collect()
+    assert len(seen) == len({tuple(r) for r in seen}) and {r.id for r in seen} == {1, 2}
+    assert {r.col // 10 for r in seen if r.id == 1} >= {3, 4, 5, 6} and {r.col // 10 for r in seen if r.id == 2} <= {14, 15}
+
+
+def test_quaternions_between_samples(spark):
+    turn = lambda c: trajectory.rotation(F.col(c), F.lit(0.0), F.lit(0.0))
+    s = spark.createDataFrame([(1, 4.0, 0.0, 350.0), (1, 14.0, 100.0, 10.0), (1, 24.0, 100.0, 20.0)], "id int, t double, x double, yaw double")
+    s = s.withColumns({c: F.lit(0.0) for c in ("y", "z", "pitch", "roll")}).withColumn("q", F.when(F.col("t") < 20, turn("yaw")))
+    times = spark.createDataFrame([(1, 9.0), (1, 19.0)], "id int, t double")
+    got = {r.t: r for r in trajectory.with_euler(trajectory.poses_at(s, times).withColumnRenamed("yaw", "y0"), yaw="yaw2", pitch="p2", roll="r2").collect()}
+    assert abs((got[9.0].yaw2 + 180) % 360 - 180) < 1e-6 and got[19.0].q is None and got[19.0].y0 == 15
+    seen = trajectory.viewer_poses(s, spark.createDataFrame([(1, 5.0), (1, 15.0), (1, -1.0)], "id int, t double"))
+    facts = {r.t: r for r in trajectory.with_euler(seen).collect()}
+    assert abs((facts[5.0].yaw + 180) % 360 - 180) < 1e-6 and abs(facts[15.0].yaw - 15) < 1e-6 and facts[-1.0].x == 0
+
+
 def test_xyz(spark):
     text = spark.createDataFrame([(f"{729002.5 + 5 * c} {5433007.5 - 5 * r} {r * 3 + c}",) for r in range(2) for c in range(3) if (r, c) != (1, 1)] + [("bad line",)], "value string")
     cells, g = raster.from_points(formats.parse_xyz(text))
