@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoloom.llm.common import table
+from geoloom.llm.common import bounded, table
 
 #: The control strings of the template.
 OPEN, AFTER_ROLE, CLOSE, ESCAPE = "### ", ": ", "</turn>", "\\"
@@ -93,14 +93,14 @@ def _render(batches):
     for batch in batches:
         roles, texts = batch.column("role").to_pylist(), batch.column("text").to_pylist()
         pieces = [render_turn(r or "", t or "") for r, t in zip(roles, texts)]
-        yield pa.RecordBatch.from_arrays([batch.column("conv_id"), pa.array(pieces, pa.string()), batch.column("place")], ["conv_id", "piece", "place"])
+        yield pa.RecordBatch.from_arrays([batch.column("conv_id"), pa.array(pieces, pa.string()), batch.column("place"), pa.array([r or "" for r in roles], pa.string())], ["conv_id", "piece", "place", "role"])
 
 
 def format_turns(conversations: DataFrame) -> DataFrame:
-    """One row per turn: conv_id, place (a sort key of the turn in its conversation), piece (its part of the formatted text)."""
-    rows = conversations.select("conv_id", "role", "text", F.col("turn").alias("place"))
+    """One row per turn: conv_id, place and role (they and the text order the turns), piece (its part of the formatted text)."""
+    rows = bounded(conversations).select("conv_id", "role", "text", F.col("turn").alias("place"))
     kind = {f.name: f.dataType.simpleString() for f in rows.schema}
-    return rows.mapInArrow(_render, f"conv_id {kind['conv_id']}, piece string, place {kind['place']}")
+    return rows.mapInArrow(_render, f"conv_id {kind['conv_id']}, piece string, place {kind['place']}, role string")
 
 
 def _fold(batches):
@@ -139,7 +139,10 @@ def _fold_schema(kind) -> pa.Schema:
 def read_back(formatted: DataFrame) -> DataFrame:
     """Per conversation, from the formatted turns alone: counts and digests of its turns and of the text under the loss mask."""
     kind = formatted.schema["conv_id"].dataType.simpleString()
-    ordered = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "place", "piece")
+    # Of turns with one number the text decides as it reads without escapes and without what ends a turn.
+    plain = F.regexp_replace("piece", r"(?s)\\(.)", "$1")
+    said = F.substring(plain, F.lit(1), F.length(plain) - len(CLOSE) - 1)
+    ordered = formatted.repartition("conv_id").withColumn("said", said).sortWithinPartitions("conv_id", "place", "role", "said").drop("said")
     return ordered.mapInArrow(_fold, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 

@@ -5,9 +5,10 @@ window is 13 consecutive words of an item (a shorter item is one window). The au
 windows as strings with a space on either side; a text, normalised alike, is scanned once. Matches
 become intervals of words and, through the words' offsets, spans of the original text.
 
-The windows are broadcast up to SHARD_CHARS. A larger benchmark is split by a hash of its item ids
-into shards below that bound, and the text passes one automaton after another in the same stage,
-without a shuffle; intervals and items add up.
+The windows of a benchmark are broadcast up to SHARD_CHARS. A larger benchmark is cut into pieces of
+items that share no window, and the pieces are dealt to shards, each below that bound. The texts pass
+one shard's automaton after another, written to the shared folder in between, so a worker never holds
+two; intervals and items add up.
 
 Cases: a null text has no words; an item with a null id, or without words, never matches; repeated
 items count once; an empty benchmark matches nothing; texts of any length are scanned whole; columns
@@ -25,16 +26,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from geoloom.llm.common import bounded, give_back, table
+from geoloom.llm.common import LOWER, UPPER, bounded, cut, give_back, table
 
 WINDOW = 13
 #: Characters of windows in one automaton (a node takes about 60 bytes), and so in one broadcast.
 SHARD_CHARS = 3_000_000
+#: Words of a piece of an item, and how often shards are made smaller until all keep the bound.
+PIECE, TRIES = 400, 24
 #: Rows handled between two output batches.
 ROWS_OUT = 512
 
 #: Fixed value: the words of benchmark and documents.
-WORDS = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+WORDS, SQL_WORDS = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+"), r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 _pair = lambda a, b: T.ArrayType(T.StructType([T.StructField(a, T.IntegerType()), T.StructField(b, T.IntegerType())]))
 ADDED = T.StructType([
@@ -55,6 +58,20 @@ def windows(text: str | None) -> list[str]:
     return [f" {' '.join(words[i : i + WINDOW])} " for i in range(max(1, len(words) - WINDOW + 1))]
 
 
+def _pieces(batches):
+    """Items in pieces of up to PIECE words that begin 12 words before the last one ends, with the characters of their windows."""
+    for batch in batches:
+        rows = []
+        for item, text in zip(batch.column("item").to_pylist(), batch.column("text").to_pylist()):
+            words = WORDS.findall(lowered(text))
+            for k, begin in enumerate(range(0, max(1, len(words) - WINDOW + 1), PIECE - WINDOW + 1)):
+                part = words[begin : begin + PIECE]
+                if part:
+                    rows.append((item, k, " ".join(part), WINDOW * sum(len(w) + 1 for w in part)))
+        kinds = (pa.string(), pa.int32(), pa.string(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["item", "piece", "text", "size"])
+
+
 def automaton(items: list[tuple[str, str]]):
     """Of (item id, text) pairs: each window leads to (its words, the items that have it)."""
     holders: dict[str, dict[str, None]] = {}
@@ -132,16 +149,24 @@ def find_contamination(
     names = ADDED.fieldNames()
     keep = [c for c in (docs.columns if keep is None else keep) if c not in names]
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text")).dropna()
-    # Bound on the windows' characters: each word is in 13 windows at most.
-    size = items.agg(F.coalesce(F.sum(F.length("text") + 2), F.lit(0))).first()[0] * WINDOW
-    shards = max(1, -(-size // shard_chars))
+    pieces, _ = cut(items.mapInArrow(_pieces, "item string, piece int, text string, size long"), "pieces")
+    shards = max(1, -(-pieces.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0] // shard_chars))
+    own_shard = lambda: F.pmod(F.xxhash64("item", "piece"), F.lit(shards))
+    for _ in range(TRIES):
+        # A shard of one piece cannot be made smaller.
+        full = pieces.groupBy(own_shard().alias("k")).agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).filter((F.col("size") > shard_chars) & (F.col("n") > 1))
+        if full.isEmpty():
+            break
+        shards *= 2
     rows = bounded(docs).select(*dict.fromkeys([*keep, text_col]))
     for k in range(shards):
-        own = [tuple(r) for r in items.filter(F.pmod(F.xxhash64("item"), F.lit(shards)) == k).collect()]
+        own = [tuple(r) for r in pieces.filter(own_shard() == k).select("item", "text").collect()]
         last = k + 1 == shards
         out = keep if last else [*dict.fromkeys([*keep, text_col])]
         schema = T.StructType([*(docs.schema[c] for c in out), *ADDED.fields])
         rows = rows.mapInArrow(_scanner(spark.sparkContext.broadcast(own), text_col, out, k > 0), schema)
+        if not last:
+            rows, _ = cut(rows, "scanned")
     return rows
 
 
@@ -160,5 +185,18 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"op7_decontamination": op7_decontamination}
 
-#: Needs every 13-gram of every document as a row, so it has no SQL; tests compare with brute force.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op7_decontamination": rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{SQL_WORDS}') AS w FROM documents),
+i AS (SELECT DISTINCT item_id, regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{SQL_WORDS}') AS w FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
+win AS (SELECT DISTINCT item_id::VARCHAR AS item, least({WINDOW}, len(w)) AS n, array_to_string(w[p : p + least({WINDOW}, len(w)) - 1], ' ') AS g FROM i, unnest(range(1, greatest(len(w) - {WINDOW} + 1, least(len(w), 1)) + 1)) AS r(p)),
+grams AS (SELECT DISTINCT n, g FROM win), sizes AS (SELECT DISTINCT n FROM grams),
+seen AS (SELECT doc_id, n, p, array_to_string(w[p : p + n - 1], ' ') AS g FROM d, sizes, unnest(range(1, len(w) - n + 2)) AS r(p)),
+hits AS (SELECT doc_id, p, n, g FROM seen SEMI JOIN grams USING (n, g)),
+hit AS (SELECT doc_id, count(DISTINCT p + k) AS n_hit FROM hits, unnest(range(n)) AS r(k) GROUP BY doc_id),
+held AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hits JOIN win USING (n, g)) AS h GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN held USING (doc_id)
+"""
+}

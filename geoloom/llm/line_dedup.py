@@ -33,12 +33,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from geoloom.llm.common import bounded, cut, give_back, table
+from geoloom.llm.common import bounded, cut, give_back, remove, table
 
 LONG = 5
 SIMILAR, LEAD = 0.8, 3
-#: Depths and bound of `leaves`, a finer split.
-DEPTHS, LEAF_LINES = (3, 8, 24), 256
 #: Dropped lines are broadcast up to this count (24 bytes each); beyond it they are joined to the documents' lines.
 BROADCAST_LINES = 1_000_000
 ROWS_OUT, MEMO_TOKENS = 1024, 200_000
@@ -112,23 +110,6 @@ def distinct_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return rows.groupBy("key", "n", "print").agg(F.count(F.lit(1)).alias("docs"), F.min("id").alias("first"), F.max("id").alias("last"))
 
 
-def leaves(lines: DataFrame, leaf_lines: int = LEAF_LINES, broadcast_leaves: int = BROADCAST_LINES) -> DataFrame:
-    """lines with `leaf`: by token count and leading tokens, as deep as it takes to stay within leaf_lines."""
-    at = lambda depth: F.xxhash64(F.lit(depth), "n", F.substring("print", 1, 2 * depth))
-    every = lines.select(F.explode(F.array(*map(at, DEPTHS))).alias("node"))
-    # The nodes that hold too many lines, of all depths at once: few rows whatever the lines.
-    crowded, _ = cut(every.groupBy("node").agg(F.count(F.lit(1)).alias("lines")).filter(F.col("lines") > leaf_lines).select("node"), "crowded")
-    few = crowded.count()
-    if not few:
-        return lines.withColumn("leaf", at(DEPTHS[0]))
-    out, leaf = lines, F.xxhash64("key", "n")
-    for depth in reversed(DEPTHS):
-        full = crowded.select(F.col("node").alias(f"node{depth}"))
-        out = out.withColumn(f"at{depth}", at(depth)).join(F.broadcast(full) if few <= broadcast_leaves else full, F.col(f"at{depth}") == F.col(f"node{depth}"), "left")
-        leaf = F.when(F.col(f"node{depth}").isNull(), F.col(f"at{depth}")).otherwise(leaf)
-    return out.withColumn("leaf", leaf).select(*lines.columns, "leaf")
-
-
 def bands(n: int) -> list[slice]:
     """Of lines of n tokens with the same leading ones: parts of the positions, of which similar lines share one."""
     wrong = n - math.ceil(SIMILAR * n - 1e-9)
@@ -189,15 +170,19 @@ def _templates(batches):
 def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """key, n and home of each masked line whose template several documents have; home is the smallest of them."""
     kind = docs.schema[id_col].dataType.simpleString()
-    lines, _ = cut(distinct_lines(docs, id_col, text_col), "lines")
+    spark = docs.sparkSession
+    lines, lines_path = cut(distinct_lines(docs, id_col, text_col), "lines")
     leaf = F.xxhash64("n", F.substring("print", 1, 2 * LEAD))
     ordered = lines.filter(F.col("n") >= LONG).withColumn("leaf", leaf).repartition("leaf").sortWithinPartitions("leaf", "n", "first", "key")
     placed = ordered.mapInArrow(_templates, f"key long, n int, first {kind}, last {kind}, template long, leaf long")
-    placed, _ = cut(placed, "templates")
+    placed, placed_path = cut(placed, "templates")
     spread = placed.groupBy("leaf", "n", "template").agg(F.min("first").alias("home"), F.max("last").alias("end")).filter("home < end")
     long = placed.join(spread, ["leaf", "n", "template"]).select("key", "n", "home")
     short = lines.filter((F.col("n") < LONG) & (F.col("first") < F.col("last"))).select("key", "n", F.col("first").alias("home"))
-    return long.unionByName(short)
+    found, _ = cut(long.unionByName(short), "recurring")
+    for path in (lines_path, placed_path):
+        remove(spark, path)
+    return found
 
 
 def _dropper(shared, text_col: str, id_col: str, keep: list[str]):
@@ -233,7 +218,7 @@ def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keep = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "__drop")]
     docs = bounded(docs).select(*(F.col(f"`{c}`") for c in keep))
     schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
-    found, _ = cut(recurring_lines(docs, id_col, text_col), "recurring")
+    found = recurring_lines(docs, id_col, text_col)
     if found.count() <= broadcast_lines:
         shared = spark.sparkContext.broadcast([(r["key"], r["home"]) for r in found.select("key", "home").collect()])
         return docs.mapInArrow(_dropper(shared, text_col, id_col, keep), schema)

@@ -6,7 +6,7 @@ into segments; every segment has a table, which is looked up with the segment it
 Hamming ball of radius 1 around it (only bits that are 0 are tried, the partner tries the others).
 What meets is verified by the complete distance and then by the shingles themselves.
 
-A segment is wide enough for the number of texts (two bits more than log2), so that chance meetings
+A segment is wide enough for the number of texts (two bits less than log2), so that chance meetings
 per text do not grow with the corpus; there are as many segments as it takes to find a pair at the
 limit with probability RECALL, and closer pairs nearly always. The fingerprint grows accordingly.
 
@@ -30,18 +30,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoloom.llm.common import bounded, cut, give_back
+from geoloom.llm.common import bounded, cut, give_back, remove
 from geoloom.llm.components import components
 
 SHINGLE, SEED = 5, 42
 #: 0.8, as a fraction.
 PART, WHOLE = 4, 5
-#: Probability with which a pair at the limit meets in some table.
-RECALL = 0.99
+#: Probability with which a pair at the limit meets in some table; tables at least.
+RECALL, TABLES = 0.97, 12
 #: How many standard deviations beyond the expected distance at the limit are verified by shingles.
 MARGIN = 3.0
 #: Texts that meet in one value and are compared one by one; texts of a block.
-DENSE, BLOCK = 24, 256
+DENSE, BLOCK = 128, 256
 #: Keys and ids are broadcast up to this count; beyond it they are joined.
 BROADCAST_ROWS = 1_000_000
 MEMO_WORDS, CHUNK = 200_000, 1 << 14
@@ -97,14 +97,14 @@ class Plan:
     """Width and number of segments for so many texts, and the distance up to which pairs are verified."""
 
     def __init__(self, texts: int):
-        self.width = min(40, max(12, math.ceil(math.log2(max(texts, 1))) + 2))
+        self.width = min(40, max(12, math.ceil(math.log2(max(texts, 1))) - 2))
         shared = 2 * PART / (WHOLE + PART)
         self.flip = math.acos(shared) / math.pi
         stay = 1 - self.flip
         meet = stay**self.width + self.width * self.flip * stay ** (self.width - 1)
-        self.tables = math.ceil(math.log(1 - RECALL) / math.log(1 - meet))
+        self.tables = max(TABLES, math.ceil(math.log(1 - RECALL) / math.log(1 - meet)))
         self.words = -(-self.tables * self.width // 64)
-        self.limit, self.limit_first = self.within(64 * self.words), self.within(64)
+        self.limit, self.limit_first = self.within(64 * self.words), self.within(32)
 
     def within(self, bits: int) -> int:
         return math.floor(bits * self.flip + MARGIN * math.sqrt(bits * self.flip * (1 - self.flip)))
@@ -153,7 +153,7 @@ def _probes(plan: Plan):
                 flat = batch.column("print").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
                 own = [plan.keys(x) for x in np.ascontiguousarray(flat)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("node"), batch.column("n"), pa.array(flat[:, 0], pa.int64()), _lists(own), _lists([plan.ball(x) for x in own])],
+                    [batch.column("node"), batch.column("n"), pa.array(np.ascontiguousarray(flat[:, 0]).view(np.int32)[::2], pa.int32()), _lists(own), _lists([plan.ball(x) for x in own])],
                     ["node", "n", "sign", "own", "ball"])
         give_back()
 
@@ -241,7 +241,7 @@ def _between(rows: DataFrame, facts: DataFrame, plan: Plan, block: int) -> DataF
 
 def _links(nodes: DataFrame, texts: DataFrame, plan: Plan, dense: int, block: int, bound: int) -> DataFrame:
     """Edges (u, v) that connect all verified pairs of nodes (node, n, print, first)."""
-    probes, _ = cut(nodes.select("node", "n", "print").mapInArrow(_probes(plan), "node long, n int, sign long, own array<long>, ball array<long>"), "probes")
+    probes, made = cut(nodes.select("node", "n", "print").mapInArrow(_probes(plan), "node long, n int, sign int, own array<long>, ball array<long>"), "probes")
     filed = probes.select(F.explode("own").alias("key"), F.col("node").alias("v"), F.col("n").alias("m"), F.col("sign").alias("other"))
     crowded, _ = cut(filed.groupBy("key").agg(F.count(F.lit(1)).alias("many")).filter(F.col("many") > dense).select("key"), "crowded")
     some = not crowded.isEmpty()
@@ -249,9 +249,10 @@ def _links(nodes: DataFrame, texts: DataFrame, plan: Plan, dense: int, block: in
     asked = probes.select(F.explode("own").alias("key"), "node", "n", "sign", F.lit(True).alias("same")).unionByName(
         probes.select(F.explode("ball").alias("key"), "node", "n", "sign", F.lit(False).alias("same")))
     sparse = filed.join(full, "key", "left_anti") if some else filed
-    near = F.bit_count(F.col("sign").bitwiseXOR(F.col("other"))) <= plan.limit_first
+    # As a long without the sign's extension, which would be counted.
+    near = F.bit_count(F.col("sign").bitwiseXOR(F.col("other")).cast("long").bitwiseAND(F.lit(0xFFFFFFFF))) <= plan.limit_first
     met = asked.join(sparse, "key").filter(near & _sized("n", "m") & (~F.col("same") | (F.col("node") < F.col("v"))))
-    pairs, _ = cut(met.select(F.least("node", "v").alias("u"), F.greatest("node", "v").alias("v")).distinct(), "pairs")
+    pairs, pairs_path = cut(met.select(F.least("node", "v").alias("u"), F.greatest("node", "v").alias("v")).distinct(), "pairs")
     wanted = pairs.select(F.explode(F.array("u", "v")).alias("node"))
     if some:
         group, _ = cut(asked.join(full, "key", "left_semi").select("key", "node").distinct(), "dense")
@@ -261,7 +262,8 @@ def _links(nodes: DataFrame, texts: DataFrame, plan: Plan, dense: int, block: in
     ids, _ = cut(nodes.join(wanted.distinct(), "node").select(F.col("first").alias("id")).distinct(), "wanted")
     chosen = texts.join(_small(ids, bound), texts["id"].eqNullSafe(ids["id"]), "left_semi").select("text")
     items = chosen.mapInArrow(_items, "node long, items array<long>").dropDuplicates(["node"])
-    facts, _ = cut(items.join(nodes.select("node", "print"), "node"), "facts")
+    facts, facts_path = cut(items.join(nodes.select("node", "print"), "node"), "facts")
+    remove(nodes.sparkSession, made)
     edges = _verified(pairs, facts, plan)
     if some:
         found, _ = cut(_verified(star, facts, plan).unionByName(edges), "edges")
@@ -270,6 +272,9 @@ def _links(nodes: DataFrame, texts: DataFrame, plan: Plan, dense: int, block: in
         split = group.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a < b").select("key")
         rest, _ = cut(group.join(split, "key"), "rest")
         edges = found if rest.isEmpty() else found.unionByName(_between(rest, facts, plan, block))
+    edges, _ = cut(edges, "links")
+    for path in (pairs_path, facts_path):
+        remove(nodes.sparkSession, path)
     return edges
 
 

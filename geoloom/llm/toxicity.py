@@ -7,7 +7,9 @@ preceding words, not occurrences, keeps copies of one text from looking like a p
 one word between two fixed strings that both dictionaries end with (so zstd neither stores it raw nor
 stops matching before its end); its distance is its compressed length with the ordinary dictionary
 less that with the toxic one. A text's distance is the largest over the windows of the whole text;
-thresholds on it are calibrated as the share of toxic texts at each distance, made monotone.
+thresholds on it are calibrated as the share of toxic texts at each distance, made monotone. The
+distances that they are calibrated on come from dictionaries made without the texts measured: the
+sample is dealt to FOLDS parts, and each is measured with the dictionaries of the others.
 
 Cases: a null or empty text has no windows and gets the lowest distance; a null id counts as the text
 `null` in the split and is scored; texts and words of any length are scored whole; repeated rows are
@@ -29,8 +31,10 @@ from pyspark.sql import types as T
 
 from geoloom.llm.common import bounded, give_back, table
 
-#: Bounds of the sample that is fitted on: rows of either class, and characters of one row.
-SAMPLE_TOXIC, SAMPLE_ORDINARY, SAMPLE_CHARS = 1500, 3000, 20_000
+#: Bounds of the sample that is fitted on: rows of either class; of a longer row SPREAD stretches of SAMPLE_CHARS characters, evenly spread over it.
+SAMPLE_TOXIC, SAMPLE_ORDINARY, SAMPLE_CHARS, SPREAD = 1500, 3000, 20_000, 8
+#: Parts of the sample for the calibration.
+FOLDS = 4
 #: Words in the ordinary dictionary; bytes of the segments tried.
 ORDINARY_WORDS, SEGMENT_MIN, SEGMENT_MAX = 8000, 4, 10
 #: A toxic segment needs this log-likelihood gain, and this many times the ordinary rate.
@@ -143,21 +147,28 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     totals = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     pick = lambda y, n: known.filter(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(n)
     sample = pick(1, SAMPLE_TOXIC).unionByName(pick(0, SAMPLE_ORDINARY))
+    length, text = F.length("text"), F.col("text")
+    step = (length - SAMPLE_CHARS) / F.lit(float(SPREAD - 1))
+    spread = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(SPREAD - 1)), lambda k: F.substring(text, F.floor(k * step).cast("int") + 1, F.lit(SAMPLE_CHARS))), " ")
+    short = F.when(length > SPREAD * SAMPLE_CHARS, spread).otherwise(text)
     rows = (
-        docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-        .filter(F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS))
-        .join(F.broadcast(sample), "id").select("id", "y", "text").dropDuplicates(["id", "y"]).collect()
+        docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.col("text").isNotNull())
+        .join(F.broadcast(sample), "id").select("id", "y", short.alias("text"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(FOLDS)).alias("fold")).dropDuplicates(["id", "y"]).collect()
     )
     rows.sort(key=lambda r: (r["id"], r["y"]))
-    toxic, ordinary = ([r["text"] for r in rows if r["y"] == y] for y in (1, 0))
-    contents = dictionaries(toxic, ordinary)
-    own = Distance(*contents)
+    texts = [[[r["text"] for r in rows if r["y"] == y and r["fold"] == k] for k in range(FOLDS)] for y in (0, 1)]
     counts = np.zeros((2, TOP + 1))
-    for y, texts in ((1, toxic), (0, ordinary)):
-        for text in texts:
-            counts[y, own.of_text(text)] += totals[y] / len(texts)
+    for k in range(FOLDS):
+        others = [[t for j, part in enumerate(parts) if j != k for t in part] for parts in texts]
+        own = Distance(*dictionaries(others[1], others[0]))
+        for y in (0, 1):
+            for text in texts[y][k]:
+                counts[y, own.of_text(text)] += 1
+    sizes = np.maximum(counts.sum(axis=1), 1)
+    counts *= (np.array([totals.get(y, 0) for y in (0, 1)]) / sizes)[:, None]
     shares = counts[1] / np.maximum(counts.sum(axis=0) + 1.0, 1e-9)
-    return (*contents, np.maximum.accumulate(shares).tolist())
+    every = [[t for part in parts for t in part] for parts in texts]
+    return (*dictionaries(every[1], every[0]), np.maximum.accumulate(shares).tolist())
 
 
 def _scored(fitted, text_col: str, keep: list[str]):

@@ -4,8 +4,9 @@ Headers are shuffled by payload digest; of captures with one payload the smalles
 response and the others become revisit records that refer to it. The deduplicated archive is
 written with fresh headers by Spark's text sink: a WARC file is its records, each ended by two line
 breaks, which is the sink's line separator. Files are committed by Spark, so a lost executor leaves
-no half-written archive. On reading, every response's digest is computed anew from its payload and
-revisits are joined to the originals by digest.
+no half-written archive. Reading is a stream, too: the text source cuts a file at the same two line
+breaks, and a parser puts records together again, one at a time. Every response's digest is computed
+anew from its payload and revisits are joined to the originals by digest.
 
 Cases: a null payload is empty; a null url leaves out the target header; line breaks in a url are
 percent-encoded; a null id is written as `null` and sorts last; rows that repeat the id and payload
@@ -16,17 +17,20 @@ table gives an empty archive and result; other columns are ignored.
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoloom.llm.common import new_path, table
+from geoloom.llm.common import bounded, cut, new_path, table
 
-#: Records in one file at most; a file is read as one value, so this bounds a task's memory.
+#: Records in one file at most. Files are read as streams, so their size bounds no memory.
 RECORDS_PER_FILE = 1_000
+#: Payloads that several records have are broadcast by digest (about 60 bytes each) up to this count; beyond it they are joined.
+BROADCAST_GROUPS = 200_000
+#: Fixed value: what ends a record, and a head.
+BREAKS = b"\r\n\r\n"
 
 #: Digits of base 32 as Spark's conv() writes them, and as RFC 4648 does.
 CONV_DIGITS, BASE32_DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -43,15 +47,16 @@ def base32_sha1(payload: Column) -> Column:
     return F.translate(F.concat(*digits), CONV_DIGITS, BASE32_DIGITS)
 
 
-def mark_revisits(records: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """records (id, url, payload binary) with digest, bytes, and `original`: the id of the response with the same payload."""
-    records = records.withColumn("digest", base32_sha1(F.col("payload"))).withColumn("bytes", F.octet_length("payload").cast("long"))
+def mark_revisits(records: DataFrame, min_bytes: int = 0, broadcast_groups: int = BROADCAST_GROUPS) -> DataFrame:
+    """id, url and payload (binary) of records with digest, bytes, and `original`: the id of the response with the same payload."""
+    records = records.select("id", "url", "payload").withColumns({"digest": base32_sha1(F.col("payload")), "bytes": F.octet_length("payload").cast("long")})
     first = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"))).alias("first")
-    # Only headers are aggregated, with one row per digest and task before the shuffle.
-    originals = records.groupBy("digest", "bytes").agg(first).select("digest", "bytes", F.col("first.id").alias("original"))
-    return records.join(originals, ["digest", "bytes"]).withColumn(
-        "revisit", (F.col("bytes") >= min_bytes) & ~F.col("id").eqNullSafe(F.col("original"))
-    )
+    # Only headers are aggregated, with one row per digest and task before the shuffle. Payloads that stand once need no join.
+    groups = records.groupBy("digest", "bytes").agg(first, F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "bytes", F.col("first.id").alias("original"), F.lit(True).alias("shared"))
+    groups, _ = cut(groups, "originals")
+    groups = F.broadcast(groups) if groups.count() <= broadcast_groups else groups
+    marked = records.join(groups, ["digest", "bytes"], "left").withColumn("original", F.when(F.col("shared"), F.col("original")).otherwise(F.col("id"))).drop("shared")
+    return marked.withColumn("revisit", (F.col("bytes") >= min_bytes) & ~F.col("id").eqNullSafe(F.col("original")))
 
 
 def _name(id_: Column) -> Column:
@@ -84,40 +89,63 @@ def write_warc(marked: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z",
      .option("maxRecordsPerFile", records_per_file).text(path))
 
 
-def parse_warc(data: bytes):
-    """Yields (headers with lower-case names, block) of each record."""
-    at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode("utf-8").split("\r\n")
+def parse_warc(chunks):
+    """Yields (headers with lower-case names, block) of each record of a stream; holds one record and one chunk."""
+    data, chunks = bytearray(), iter(chunks)
+
+    def filled(until) -> bool:
+        """Reads on until `until` holds; false at the end of the stream."""
+        while not until():
+            more = next(chunks, None)
+            if more is None:
+                return False
+            data.extend(more)
+        return True
+
+    while filled(lambda: data):
+        if not filled(lambda: BREAKS in data):
+            raise ValueError("a WARC record without an end of its head")
+        end = data.index(BREAKS)
+        lines = data[:end].decode("utf-8").split("\r\n")
         if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no WARC record at byte {at}")
+            raise ValueError(f"no WARC record where one should begin: {lines[0][:40]!r}")
         headers = {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-        start, size = end + 4, int(headers["content-length"])
-        yield headers, data[start : start + size]
-        at = start + size + 4
+        start, size = end + len(BREAKS), int(headers["content-length"])
+        if not filled(lambda: len(data) >= start + size + len(BREAKS)):
+            raise ValueError("a WARC record is cut off")
+        yield headers, bytes(data[start : start + size])
+        del data[: start + size + len(BREAKS)]
 
 
 def _read_files(batches):
+    """The pieces between line breaks, in order, are the stream again with the breaks put back."""
     schema = pa.schema([("id", pa.string()), ("record_type", pa.string()), ("digest", pa.string()), ("bytes", pa.int64()), ("refers_to", pa.string()), ("intact", pa.bool_())])
     name = lambda x: None if (x := x[len(RECORD_ID) + 1 : -1]) == "null" else x
-    for batch in batches:
-        for data in batch.column(0):
-            rows = []
-            for headers, block in parse_warc(gzip.decompress(data.as_py())):
-                kind, said = headers["warc-type"], headers["warc-payload-digest"].removeprefix("sha1:")
-                payload = block[block.index(b"\r\n\r\n") + 4 :]
-                whole = kind == "response"
-                found = base64.b32encode(hashlib.sha1(payload).digest()).decode() if whole else said
-                to = headers.get("warc-refers-to")
-                rows.append((name(headers["warc-record-id"]), kind, found, len(payload) if whole else None, name(to) if to else None, found == said))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*rows), schema)] if rows else [pa.array([], t.type) for t in schema], schema=schema)
+    chunks = (x.as_py() + BREAKS for batch in batches for x in batch.column(0))
+    rows = []
+
+    def made():
+        out = pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*rows), schema)], schema=schema)
+        rows.clear()
+        return out
+
+    for headers, block in parse_warc(chunks):
+        kind, said = headers["warc-type"], headers["warc-payload-digest"].removeprefix("sha1:")
+        payload = block[block.index(BREAKS) + len(BREAKS) :]
+        whole = kind == "response"
+        found = base64.b32encode(hashlib.sha1(payload).digest()).decode() if whole else said
+        to = headers.get("warc-refers-to")
+        rows.append((name(headers["warc-record-id"]), kind, found, len(payload) if whole else None, name(to) if to else None, found == said))
+        if len(rows) == 1024:
+            yield made()
+    if rows:
+        yield made()
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """One row per record: id, record_type, digest (of a response: of its payload as read), bytes, refers_to, intact."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
-    return files.select("content").mapInArrow(_read_files, READ_SCHEMA)
+    pieces = spark.read.option("lineSep", BREAKS.decode()).option("pathGlobFilter", "part-*").text(path)
+    return bounded(pieces).select(F.col("value").cast("binary")).mapInArrow(_read_files, READ_SCHEMA)
 
 
 def resolve_revisits(records: DataFrame) -> DataFrame:

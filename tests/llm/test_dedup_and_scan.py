@@ -147,11 +147,12 @@ def brute_contamination(text, items):
     return len(words), len(hit), sorted(who)
 
 
-@pytest.mark.parametrize("shard", [contamination.SHARD_CHARS, 2000])
-def test_contamination(spark, shard):
+@pytest.mark.parametrize("shard, piece", [(contamination.SHARD_CHARS, contamination.PIECE), (6000, 20)])
+def test_contamination(spark, monkeypatch, shard, piece):
+    monkeypatch.setattr(contamination, "PIECE", piece)
     rng = random.Random(4)
     word = lambda: rng.choice(["ab", "b", "Ab", "é", "x1", "ñu", "cd", "ef"])
-    items = [(i, " ".join(word() for _ in range(rng.randint(1, 30)))) for i in range(12)] + [(50, ""), (51, None), (52, "b"), (3, "again the same")]
+    items = [(i, " ".join(word() for _ in range(rng.randint(1, 60)))) for i in range(12)] + [(50, ""), (51, None), (52, "b"), (3, "again the same")]
     texts = [None, "", "...", "B", "bb", "Ab"]
     for _ in range(40):
         parts = [" ".join(word() for _ in range(rng.randint(0, 20)))]

@@ -6,13 +6,11 @@ import hashlib
 import math
 import random
 import zlib
-from collections import Counter
-
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from geoloom.llm import chat, context_mixing, line_dedup, toxicity, url_filter, warc
+from geoloom.llm import chat, line_dedup, toxicity, url_filter, warc
 from geoloom.llm.common import new_path
 
 # --- WARC
@@ -21,7 +19,7 @@ from geoloom.llm.common import new_path
 def archive(spark, rows, min_bytes=0, per_file=1000):
     frame = spark.createDataFrame([(i, u, None if p is None else p.encode(), "x") for i, u, p in rows], "id long, url string, payload binary, digest string")
     path = new_path(spark, "warc-test")
-    frame = frame.drop("digest").withColumn("payload", F.coalesce("payload", F.lit("").cast("binary")))
+    frame = frame.withColumn("payload", F.coalesce("payload", F.lit("").cast("binary")))
     warc.write_warc(warc.mark_revisits(frame, min_bytes), path, records_per_file=per_file)
     return path
 
@@ -45,8 +43,19 @@ def test_warc_files_are_plain_warc(spark, tmp_path):
     path = archive(spark, [(1, "http://x/", "one"), (2, "http://y/", "one")])
     data = b"".join(gzip.decompress(r.content) for r in spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).collect())
     assert data.count(b"WARC/1.1\r\n") == 2 and data.endswith(b"\r\n\r\n")
-    kinds = sorted(h["warc-type"] for h, _ in warc.parse_warc(data))
+    kinds = sorted(h["warc-type"] for h, _ in warc.parse_warc([data]))
     assert kinds == ["response", "revisit"]
+    assert [*warc.parse_warc(data[i : i + 1] for i in range(len(data)))] == [*warc.parse_warc([data])]
+    with pytest.raises(ValueError):
+        list(warc.parse_warc([data[:-6]]))
+
+
+@pytest.mark.parametrize("bound", [0, 10**6])
+def test_revisits_with_clashing_columns(spark, bound):
+    rows = [(1, "u", b"a", "x", 5), (2, "u", b"a", "y", 6), (3, "u", b"b", "z", 7), (None, "u", b"a", None, None)]
+    frame = spark.createDataFrame(rows, "id long, url string, payload binary, original string, n int").withColumn("first", F.lit(1)).withColumn("digest", F.lit("q"))
+    got = sorted((r.id or 0, r.original, r.revisit) for r in warc.mark_revisits(frame, broadcast_groups=bound).collect())
+    assert got == [(0, 1, True), (1, 1, False), (2, 1, True), (3, 3, False)]
 
 
 def test_warc_empty_repeated_and_null_id(spark):
@@ -70,7 +79,7 @@ def test_turns_survive():
 
 def test_conversations(spark):
     said = r"\### Assistant: </turn> ok"
-    rows = [(1, 2, "assistant", "b" * 300000), (1, 1, "user", said), (1, None, None, None), (2, 1, "assistant", said), (2, 1, "assistant", said), (None, 0, "user", "x")]
+    rows = [(1, 2, "assistant", "b" * 300000), (1, 1, "user", said), (1, None, None, None), (2, 1, "assistant", said), (2, 1, "assistant", said), (None, 0, "user", "x"), *((1, 3, r, t) for r, t in (("a 1", "x!"), ("a", "x"), ("a", "x!"), ("a", "### x"), ("a", "A"), ("a", "A\\")))]
     frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("place", F.lit(1)).withColumn("piece", F.lit("p"))
     got = {r.conv_id: r for r in chat.read_back(chat.format_turns(frame)).collect()}
     for conv in (1, 2, None):
@@ -148,6 +157,39 @@ def test_toxicity_held_out_accuracy(spark):
     assert toxicity.score_toxicity(docs.limit(0), labels).count() == 0
 
 
+def test_toxicity_by_brute_force(spark):
+    """Scores of whole texts, window by window without a memo, and the calibration by rows left out."""
+    rows = insults(random.Random(8), 300, 0.25)
+    frame = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    ordinary, toxic, shares = toxicity.fit(frame, labels)
+    own = toxicity.Distance(ordinary, toxic)
+    assert shares == sorted(shares) and 0 <= shares[0] and shares[-1] <= 1
+
+    def distance(text):
+        best = 0
+        for w in text.encode().lower().split():
+            shown = toxicity.BEFORE + b" " + w.strip(toxicity.MARKS) + b" " + toxicity.AFTER
+            best = max(best, len(own.pair[0].compress(shown)) - len(own.pair[1].compress(shown)))
+        return min(best, toxicity.TOP)
+
+    got = {r.doc_id: r.score for r in toxicity.score_toxicity(frame, labels, keep=["doc_id"]).collect()}
+    assert got == {i: shares[distance(t)] for i, t, _ in rows}
+    held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    wrong = [i for i, t, y in rows if held(i) and (got[i] >= toxicity.THRESHOLD) != bool(y)]
+    assert len(wrong) <= 0.05 * sum(held(i) for i, _, _ in rows)
+
+
+def test_long_labelled_rows_take_part(spark):
+    """A text beyond the bound is sampled all over, not left out."""
+    filler = " ".join("".join(random.Random(k).choices("abcdefgh", k=6)) for k in range(40_000))
+    long = [f"{filler} {' '.join(f'pfrunk x{k}y' for k in range(400))}" for _ in range(8)]
+    rows = [(i, t, 1) for i, t in enumerate(long)] + [(100 + i, " ".join(random.Random(i).choices(filler.split()[:3000], k=60)), 0) for i in range(60)]
+    frame = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    _, toxic, _ = toxicity.fit(frame, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    assert len(long[0]) > toxicity.SPREAD * toxicity.SAMPLE_CHARS and b"pfru" in toxic
+
+
 # --- lines
 
 PASSAGE = " ".join(f"shared{chr(97 + i % 26)}{'x' * (i // 26)}" for i in range(60))
@@ -171,15 +213,6 @@ def test_lines(spark, bound):
     assert line_dedup.drop_lines(frame.limit(0)).count() == 0
 
 
-def test_crowded_leaves_are_cut_deeper(spark):
-    begin = "the same three words and then"
-    rows = [(i, f"{begin} {' '.join(random.Random(i).choices(['p', 'q', 'r', 's'], k=12))}") for i in range(300)]
-    lines = line_dedup.distinct_lines(spark.createDataFrame(rows, "doc_id long, text string"))
-    for bound in (10**6, 0):
-        sizes = {r["leaf"]: r["n"] for r in line_dedup.leaves(lines, 50, bound).groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).collect()}
-        assert sum(sizes.values()) == lines.count() and max(sizes.values()) <= 50
-
-
 def test_many_variants_of_one_template_are_dropped(spark):
     rng = random.Random(12)
     word = lambda: "".join(rng.choices("abcdefgh", k=6))
@@ -203,6 +236,59 @@ def test_short_lines_take_part(spark):
     assert {r.doc_id: r.text for r in line_dedup.drop_lines(copies).collect()} == {1: "7\n12 13", 2: "12 14"}
 
 
+def cut_line(line):
+    """Tokens as the template tree sees them."""
+    words = line.split()
+    tokens = tuple("<*>" if any(c in "0123456789" for c in w) else w for w in words)
+    return tuple(words) if all(t == "<*>" for t in tokens) else tokens
+
+
+def brute_lines(texts):
+    """The template tree in plain Python, with real tokens instead of their prints and every template compared."""
+    docs, groups, home = {}, {}, {}
+    for i, text in texts.items():
+        for tokens in dict.fromkeys(map(cut_line, (text or "").split("\n"))):
+            if tokens:
+                docs.setdefault(tokens, []).append(i)
+    for tokens, ids in docs.items():
+        key = (len(tokens), tokens[:3]) if len(tokens) >= line_dedup.LONG else tokens
+        groups.setdefault(key, []).append((min(ids), line_dedup.line_keys([" ".join(tokens).encode()])[0], tokens, max(ids)))
+    for rows in groups.values():
+        templates = []
+        for first, _, tokens, last in sorted(rows):
+            scores = [sum(f and a == b for a, b, f in zip(tokens, t[0], t[1])) / len(tokens) for t in templates]
+            if scores and max(scores) >= line_dedup.SIMILAR:
+                best = templates[scores.index(max(scores))]
+                best[1] = [f and a == b for a, b, f in zip(tokens, best[0], best[1])]
+            else:
+                best = [tokens, [True] * len(tokens), []]
+                templates.append(best)
+            best[2].append((first, last, tokens))
+        for _, _, lines in templates:
+            low, high = min(x[0] for x in lines), max(x[1] for x in lines)
+            home |= {tokens: low for _, _, tokens in lines if low < high}
+    return {i: "\n".join(x for x in (text or "").split("\n") if not cut_line(x) or home.get(cut_line(x), i) == i) for i, text in texts.items()}
+
+
+@pytest.mark.parametrize("n", [60, 600])
+def test_lines_by_brute_force(spark, n):
+    """At two sizes, with one template that a third of all documents vary."""
+    rng = random.Random(n)
+    word = lambda: rng.choice(["alpha", "beta", "gamma", "delta", "x1", "77", "omega"])
+    base = [[f"{chr(97 + i)}{chr(97 + k)}q" for k in range(rng.randint(1, 24))] for i in range(8)]
+
+    def line():
+        words = list(rng.choice(base)) if rng.random() < 0.7 else [word() for _ in range(rng.randint(1, 8))]
+        for _ in range(rng.randint(0, 3)):
+            words[rng.randrange(len(words))] = word()
+        return " ".join(words)
+
+    hot = "the gate of the town was seen by all the visitors from {} who came on the day of the {} fair"
+    texts = {i: "\n".join([line() for _ in range(rng.randint(0, 6))] + ([hot.format(f"place{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}", word())] if i % 3 == 0 else [])) for i in range(n)}
+    got = {r.doc_id: r.text for r in line_dedup.drop_lines(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == brute_lines(texts)
+
+
 def test_bands_lose_no_template():
     rng = random.Random(13)
     for n in (10, 11, 14, 15, 19, 20, 33):
@@ -223,64 +309,6 @@ def test_a_template_generalises():
     assert [leaf.place(1, line), leaf.place(2, near), leaf.place(3, far)] == [1, 1, 3]
 
 
-# --- language model
-
-
-def corpus(rng, n):
-    """Texts in two languages, which word counts alone cannot tell apart."""
-    lexicons = [["".join(rng.choices(letters, k=rng.randint(2, 6))) for _ in range(80)] for letters in ("abcdeé", "mnopqü")]
-    return [" ".join(rng.choice(lexicons[i % 2]).title() for _ in range(rng.randint(0, 60))) for i in range(n)]
-
-
-def test_base_scores_and_model(spark, monkeypatch):
-    monkeypatch.setattr(context_mixing, "HEAD", 40)
-    rng = random.Random(9)
-    texts = [*corpus(rng, 120), None, "", "unseen wörds only\t\x0b", "z" * 40_000]
-    rows = list(enumerate(texts)) + [(3, texts[3])]
-    got = context_mixing.score_texts(spark.createDataFrame(rows, "doc_id long, text string").withColumn("g", F.lit(1))).collect()
-    assert len(got) == len(rows)
-    tokens = lambda t: [*(t or "").encode().lower().split(), b""]
-    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
-    counts = Counter(w for i, t in rows if not held(i) for w in tokens(t))
-    n, v = sum(counts.values()), len(counts)
-    total = Counter()
-    for r in got:
-        t = tokens(texts[r.doc_id])
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held(r.doc_id), len(t), sum(counts[w] > 0 for w in t), n)
-        assert math.isclose(r.base_score, sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in t), rel_tol=1e-9)
-        assert r.score < 0 and math.isfinite(r.score)
-        if r.held_out and r.doc_id < 120:
-            total.update(base=r.base_score, score=r.score)
-    assert total["score"] > total["base"]
-
-
-def test_held_out_texts_do_not_matter(spark):
-    texts = corpus(random.Random(4), 60)
-    held = [i for i in range(60) if zlib.crc32(str(i).encode()) % 7 == 2]
-    score = lambda t: {r.doc_id: r.score for r in context_mixing.score_texts(spark.createDataFrame(list(enumerate(t)), "doc_id long, text string")).collect()}
-    a = score(texts)
-    for i in held:
-        texts[i] = "entirely different"
-    b = score(texts)
-    assert held and all(math.isclose(a[i], b[i], rel_tol=1e-12) for i in range(60) if i not in held)
-
-
-def test_bits_are_probabilities():
-    """The two values of every bit add up to one, so all words together cannot exceed one."""
-    words = sorted({b"ab", b"abc", b"b", b"", b"zz"})
-    ones, total = np.zeros(context_mixing.START[-1]), np.zeros(context_mixing.START[-1])
-    n = np.ones(len(words), np.int64)
-    context_mixing.count_bits(words, n * 0, n, ones, total)
-    mixer = context_mixing.Mixer(ones, total)
-    mixer.learn(words, n * 0, n)
-    every = [b"", *(bytes([a]) for a in range(256) if a != 32), *(bytes([97, b]) for b in range(256) if b != 32)]
-    assert 0 < (10 ** mixer.log10(every, np.zeros(len(every), np.int64))).sum() < 1
-
-
-def test_empty_corpus(spark):
-    assert context_mixing.score_texts(spark.createDataFrame([], "doc_id long, text string")).count() == 0
-
-
 # --- pipeline
 
 
