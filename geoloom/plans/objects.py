@@ -53,16 +53,22 @@ def material_missing(spark, sf_dir):
     return rules.missing_names(p, p.filter("p_size > 49").distinct())
 
 
-def _mesh(k: int) -> bytes:
-    corners = [float((k * 7 + i * 13) % 100) for i in range(27)]
-    return struct.pack("<II", 9, 3) + struct.pack("<27f", *corners)
+def _mesh(k):
+    """A binary mesh of nine corners: (k * 7 + i * 13) % 100 as 32-bit floats, behind two counts."""
+    floats = F.array(*(F.lit(struct.pack("<f", v).hex()) for v in range(100)))
+    corners = (F.element_at(floats, ((k * 7 + i * 13) % 100 + 1).cast("int")) for i in range(27))
+    return F.unhex(F.concat(F.lit(struct.pack("<II", 9, 3).hex()), *corners))
 
 
-@query("mesh_clip")
+_C = lambda i: f"((s_suppkey * 7 + (9 * t + {i}) * 13) % 100)"
+
+
+@query("mesh_clip", f"""
+SELECT s_suppkey AS node, count(*) AS n FROM supplier, range(3) AS r(t)
+WHERE ({_C(0)} + {_C(3)} + {_C(6)}) / 3e0 BETWEEN 20 AND 60 AND ({_C(1)} + {_C(4)} + {_C(7)}) / 3e0 BETWEEN 20 AND 60 GROUP BY 1""")
 def mesh_clip(spark, sf_dir):
     """Triangles decoded from binary meshes whose centroid lies in the area, counted by mesh."""
-    make = F.udf(_mesh, "binary")
-    nodes = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("node"), make("s_suppkey").alias("data"))
+    nodes = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("node"), _mesh(F.col("s_suppkey")).alias("data"))
     return rules.in_area(rules.decode_triangles(nodes), (20.0, 20.0, 60.0, 60.0)).groupBy("node").agg(F.count(F.lit(1)).alias("n"))
 
 

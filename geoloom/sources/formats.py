@@ -6,8 +6,10 @@ import io
 import struct
 import zipfile
 import zlib
+from urllib.parse import unquote
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,15 +91,50 @@ def zip_entry(data: bytes, header: int, packed: int, method: int) -> bytes:
     raise ValueError(f"zip method {method} is not supported")
 
 
+#: Last bytes of an archive in which its end record is looked for: the record, its wide form and the longest comment.
+ZIP_TAIL = 22 + 56 + 20 + 0xFFFF
+
+
+def directory_at(tail: bytes, begin: int) -> int:
+    """Where the directory begins in an archive whose last bytes, from `begin` on, are `tail`."""
+    end = tail.rfind(b"PK\x05\x06")
+    if end < 0:
+        raise ValueError("no zip directory")
+    at, = struct.unpack("<I", tail[end + 16 : end + 20])
+    if at == 0xFFFFFFFF:
+        wide = tail.rfind(b"PK\x06\x06", 0, end)
+        at, = struct.unpack("<Q", tail[wide + 48 : wide + 56])
+    return at
+
+
+def read_directory(path: str, length: int) -> list[tuple[str, int, int, int, int]]:
+    """Entries of an archive of which only the end is read, and then the directory, through the file system of the path."""
+    system, place = (fs.LocalFileSystem(), unquote(path[5:])) if path.startswith("file:/") else fs.FileSystem.from_uri(path)
+    with system.open_input_file(place) as f:
+        begin = max(0, length - ZIP_TAIL)
+        f.seek(begin)
+        at = directory_at(f.read(), begin)
+        f.seek(at)
+        return zip_directory(f.read(), at)
+
+
 def _directories(batches):
     for batch in batches:
-        rows = [(p.as_py(), *e) for p, d in zip(batch.column("path"), batch.column("content")) for e in zip_directory(d.as_py())]
+        whole = batch.column("content") if "content" in batch.schema.names else None
+        rows = []
+        for i, (path, length) in enumerate(zip(batch.column("path").to_pylist(), batch.column("length").to_pylist())):
+            found = zip_directory(whole[i].as_py()) if whole is not None else read_directory(path, length)
+            rows += [(path, *e) for e in found]
         kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["path", "name", "packed", "size", "method", "header"])
 
 
-def read_zip_directories(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(_directories, "path string, name string, packed long, size long, method int, header long")
+def read_zip_directories(spark: SparkSession, path: str, whole_bytes: int = 64 << 20) -> DataFrame:
+    """Entries of all archives. Those over whole_bytes are not read whole; their store has to be one that pyarrow reaches, too."""
+    files = spark.read.format("binaryFile").load(path)
+    shape = "path string, name string, packed long, size long, method int, header long"
+    small = files.filter(F.col("length") <= whole_bytes).select("path", "length", "content").mapInArrow(_directories, shape)
+    return small.unionByName(files.filter(F.col("length") > whole_bytes).select("path", "length").mapInArrow(_directories, shape))
 
 
 def read_flight_table(spark: SparkSession, path: str) -> DataFrame:

@@ -156,6 +156,7 @@ def test_zip(spark, tmp_path):
     (tmp_path / "a.zip").write_bytes(raw.getvalue())
     assert formats.read_zipped_xyz(spark, str(tmp_path)).count() == 2
     entries = {r.name: r for r in formats.read_zip_directories(spark, str(tmp_path)).collect()}
+    assert {r.name: r for r in formats.read_zip_directories(spark, str(tmp_path), whole_bytes=1).collect()} == entries
     e = entries["a.xyz"]
     assert formats.zip_entry(raw.getvalue(), e.header, e.packed, e.method) == b"1 2 3\n4 5 6\n"
 
