@@ -178,13 +178,18 @@ def _small(df: DataFrame, bound: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= bound else df
 
 
-def _verified(pairs: DataFrame, facts: DataFrame, plan: Plan) -> DataFrame:
-    """Of pairs (u, v) those within the complete distance that share enough shingles. facts: node, print, items."""
-    of = lambda c: facts.select(F.col("node").alias(c), F.col("print").alias(f"print_{c}"), F.col("items").alias(f"items_{c}"))
-    both = pairs.join(of("u"), "u").join(of("v"), "v")
+def _close(pairs: DataFrame, nodes: DataFrame, plan: Plan) -> DataFrame:
+    """Of pairs (u, v) those within the complete distance."""
+    of = lambda c: nodes.select(F.col("node").alias(c), F.col("print").alias(f"print_{c}"))
     far = F.aggregate(F.zip_with("print_u", "print_v", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
-    met = F.size(F.array_intersect("items_u", "items_v"))
-    return both.filter(far <= plan.limit).withColumn("met", met).filter(F.col("met") * WHOLE >= (F.size("items_u") + F.size("items_v") - F.col("met")) * PART).select("u", "v")
+    return pairs.join(of("u"), "u").join(of("v"), "v").filter(far <= plan.limit).select("u", "v")
+
+
+def _verified(pairs: DataFrame, facts: DataFrame) -> DataFrame:
+    """Of pairs (u, v) those that share enough shingles. facts: node, print, items."""
+    of = lambda c: facts.select(F.col("node").alias(c), F.col("items").alias(f"items_{c}"))
+    both = pairs.join(of("u"), "u").join(of("v"), "v").withColumn("met", F.size(F.array_intersect("items_u", "items_v")))
+    return both.filter(F.col("met") * WHOLE >= (F.size("items_u") + F.size("items_v") - F.col("met")) * PART).select("u", "v")
 
 
 def _similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -252,21 +257,24 @@ def _links(nodes: DataFrame, texts: DataFrame, plan: Plan, dense: int, block: in
     # As a long without the sign's extension, which would be counted.
     near = F.bit_count(F.col("sign").bitwiseXOR(F.col("other")).cast("long").bitwiseAND(F.lit(0xFFFFFFFF))) <= plan.limit_first
     met = asked.join(sparse, "key").filter(near & _sized("n", "m") & (~F.col("same") | (F.col("node") < F.col("v"))))
-    pairs, pairs_path = cut(met.select(F.least("node", "v").alias("u"), F.greatest("node", "v").alias("v")).distinct(), "pairs")
+    # The shingles are fetched for what is within the complete distance only.
+    met = met.select(F.least("node", "v").alias("u"), F.greatest("node", "v").alias("v")).distinct()
+    pairs, pairs_path = cut(_close(met, nodes, plan), "pairs")
     wanted = pairs.select(F.explode(F.array("u", "v")).alias("node"))
     if some:
         group, _ = cut(asked.join(full, "key", "left_semi").select("key", "node").distinct(), "dense")
         pivots = group.groupBy("key").agg(F.min("node").alias("pivot"))
-        star, _ = cut(group.join(pivots, "key").filter("node <> pivot").select(F.col("pivot").alias("u"), F.col("node").alias("v")).distinct(), "star")
+        star = group.join(pivots, "key").filter("node <> pivot").select(F.col("pivot").alias("u"), F.col("node").alias("v")).distinct()
+        star, _ = cut(_close(star, nodes, plan), "star")
         wanted = wanted.unionByName(group.select("node"))
     ids, _ = cut(nodes.join(wanted.distinct(), "node").select(F.col("first").alias("id")).distinct(), "wanted")
     chosen = texts.join(_small(ids, bound), texts["id"].eqNullSafe(ids["id"]), "left_semi").select("text")
     items = chosen.mapInArrow(_items, "node long, items array<long>").dropDuplicates(["node"])
     facts, facts_path = cut(items.join(nodes.select("node", "print"), "node"), "facts")
     remove(nodes.sparkSession, made)
-    edges = _verified(pairs, facts, plan)
+    edges = _verified(pairs, facts)
     if some:
-        found, _ = cut(_verified(star, facts, plan).unionByName(edges), "edges")
+        found, _ = cut(_verified(star, facts).unionByName(edges), "edges")
         roots = components(found)
         group = group.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("comp"))
         split = group.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a < b").select("key")
