@@ -12,6 +12,6 @@ class _Pipeline:
 
 
 def modules() -> list:
-    from geoloom.llm import bpe, chat, contamination, context_mixing, exact_dedup, line_dedup, simhash, toxicity, url_filter, warc
+    from geoloom.llm import bpe, chat, contamination, context_mixing, divergence, exact_dedup, line_dedup, merkle, sharding, simhash, toxicity, url_filter, warc
 
-    return [warc, context_mixing, simhash, chat, toxicity, exact_dedup, contamination, url_filter, line_dedup, bpe, _Pipeline()]
+    return [warc, context_mixing, simhash, chat, toxicity, exact_dedup, contamination, url_filter, line_dedup, bpe, divergence, sharding, merkle, _Pipeline()]
