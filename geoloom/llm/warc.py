@@ -4,9 +4,11 @@ Headers are shuffled by payload digest; of captures with one payload the smalles
 response and the others become revisit records that refer to it. The deduplicated archive is
 written with fresh headers by Spark's text sink: a WARC file is its records, each ended by two line
 breaks, which is the sink's line separator. Files are committed by Spark, so a lost executor leaves
-no half-written archive. Reading is a stream, too: the text source cuts a file at the same two line
-breaks, and a parser puts records together again, one at a time. Every response's digest is computed
-anew from its payload and revisits are joined to the originals by digest.
+no half-written archive. Reading is a stream, too: the text source cuts a file at every line feed,
+and a parser puts records together again by their lengths, one at a time. A separator of one byte
+can't overlap with a payload's last bytes, and every file ends in one, so the pieces with a line feed
+behind each are the file. Every response's digest is computed anew from its payload and revisits are
+joined to the originals by digest.
 
 Cases: a null payload is empty; a null url leaves out the target header; line breaks in a url are
 percent-encoded; a null id is written as `null` and sorts last; rows that repeat the id and payload
@@ -29,7 +31,7 @@ from geoloom.llm.common import bounded, cut, new_path, table
 RECORDS_PER_FILE = 1_000
 #: Payloads that several records have are broadcast by digest (about 60 bytes each) up to this count; beyond it they are joined.
 BROADCAST_GROUPS = 200_000
-#: Fixed value: what ends a record, and a head.
+#: Fixed value: what ends a record, and a head. Its last byte is where files are cut for reading.
 BREAKS = b"\r\n\r\n"
 
 #: Digits of base 32 as Spark's conv() writes them, and as RFC 4648 does.
@@ -117,11 +119,17 @@ def parse_warc(chunks):
         del data[: start + size + len(BREAKS)]
 
 
+def _chunks(batches):
+    """The files' bytes: their lines with the line feeds put back, some hundred at a time."""
+    for batch in batches:
+        lines = batch.column(0)
+        for begin in range(0, len(lines), 256):
+            yield b"\n".join([*lines.slice(begin, 256).to_pylist(), b""])
+
+
 def _read_files(batches):
-    """The pieces between line breaks, in order, are the stream again with the breaks put back."""
     schema = pa.schema([("id", pa.string()), ("record_type", pa.string()), ("digest", pa.string()), ("bytes", pa.int64()), ("refers_to", pa.string()), ("intact", pa.bool_())])
     name = lambda x: None if (x := x[len(RECORD_ID) + 1 : -1]) == "null" else x
-    chunks = (x.as_py() + BREAKS for batch in batches for x in batch.column(0))
     rows = []
 
     def made():
@@ -129,7 +137,7 @@ def _read_files(batches):
         rows.clear()
         return out
 
-    for headers, block in parse_warc(chunks):
+    for headers, block in parse_warc(_chunks(batches)):
         kind, said = headers["warc-type"], headers["warc-payload-digest"].removeprefix("sha1:")
         payload = block[block.index(BREAKS) + len(BREAKS) :]
         whole = kind == "response"
@@ -144,7 +152,7 @@ def _read_files(batches):
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """One row per record: id, record_type, digest (of a response: of its payload as read), bytes, refers_to, intact."""
-    pieces = spark.read.option("lineSep", BREAKS.decode()).option("pathGlobFilter", "part-*").text(path)
+    pieces = spark.read.option("lineSep", "\n").option("pathGlobFilter", "part-*").text(path)
     return bounded(pieces).select(F.col("value").cast("binary")).mapInArrow(_read_files, READ_SCHEMA)
 
 
