@@ -39,6 +39,21 @@ def test_warc_round_trip(spark, min_bytes):
         assert (got[i].record_type, got[i].bytes, got[i].refers_to) == ("revisit" if revisit else "response", len(data), str(first) if revisit else None)
 
 
+@pytest.mark.parametrize("per_file", [1, 1000])
+def test_payloads_that_end_in_line_breaks(spark, per_file):
+    ends = ["", "\r\n", "\r", "\n", "\r\n\r\n", "\r\n\r\n\r\n", "\n\r", "\r\r\n"]
+    payloads = [body + end for end in ends for body in ("<html>a</html>", "", "\r\nb")]
+    rows = [*enumerate(payloads), *((100 + i, p) for i, p in enumerate(payloads))]
+    got = {int(r.id): r for r in warc.resolve_revisits(warc.read_warc(spark, archive(spark, [(i, "u", p) for i, p in rows], per_file=per_file))).collect()}
+    assert len(got) == len(rows) and all(r.intact for r in got.values())
+    for i, p in rows:
+        first = payloads.index(p)
+        assert (got[i].bytes, got[i].refers_to) == (len(p), None if i == first else str(first))
+    for p in ("x\r\n", "\r", "\r\n\r\n\r\n"):
+        (one,) = warc.read_warc(spark, archive(spark, [(1, "u", p)])).collect()
+        assert one.intact and one.bytes == len(p)
+
+
 def test_warc_files_are_plain_warc(spark, tmp_path):
     path = archive(spark, [(1, "http://x/", "one"), (2, "http://y/", "one")])
     data = b"".join(gzip.decompress(r.content) for r in spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).collect())
@@ -289,6 +304,38 @@ def test_lines_by_brute_force(spark, n):
     assert got == brute_lines(texts)
 
 
+def test_lines_without_a_common_token_stay(spark):
+    texts = {1: "agw acd awx aaj ave alw", 2: "ald amn azc bab bmc bnc", 3: "agw acd awx bab bmc bnc"}
+    got = {r.doc_id: r.text for r in line_dedup.drop_lines(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == texts
+
+
+def test_many_distinct_tokens(spark):
+    """10^5 distinct tokens: more than 16 bits could tell apart; some leaves have many lines."""
+    rng, digits = random.Random(5), "abcdefghijklmnopqrstuvwxyz"
+    token = lambda k: "".join(digits[k // 26**p % 26] for p in range(4))
+    order = rng.sample(range(26**4), 100_000)
+    lines = [" ".join(token(k) for k in order[j : j + 20]) for j in range(0, 100_000, 20)]
+    lines += [" ".join(["one", "two", "three", *x.split()[: 3 + j % 5]]) for j, x in enumerate(lines)]
+    lines += [" ".join([*x.split()[:19], "other"]) for x in lines[:500]]
+    texts = {i: "\n".join(lines[i::300]) for i in range(300)}
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want = brute_lines(texts)
+    for bound in (10**6, 0):
+        assert {r.doc_id: r.text for r in line_dedup.drop_lines(frame, broadcast_lines=bound, broadcast_leaves=bound).collect()} == want
+    assert sum(len(x) for x in want.values()) < sum(len(x) for x in texts.values())
+
+
+def test_lines_whose_leaf_keys_are_equal(spark, monkeypatch):
+    known = line_dedup._templates
+    rows = [(1, b"a b c d e f"), (2, b"x y z d e f"), (3, b"a b c d e g")]
+    import pyarrow as pa
+    batch = pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows]), pa.array([0] * 3), pa.array([6] * 3, pa.int32()), pa.array([7] * 3), pa.array([x for _, x in rows]), pa.array([1, 2, 3]), pa.array([1, 2, 3])],
+                                       ["high", "low", "n", "leaf", "line", "first", "last"])
+    (out,) = known([batch])
+    assert out.column("template_high").to_pylist() == [1, 2, 1]
+
+
 def test_bands_lose_no_template():
     rng = random.Random(13)
     for n in (10, 11, 14, 15, 19, 20, 33):
