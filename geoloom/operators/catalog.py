@@ -105,13 +105,17 @@ def prefer(*sources: DataFrame) -> DataFrame:
 _GRID = "STRUCT<features: ARRAY<STRUCT<properties: MAP<STRING, STRING>>>>"
 
 
-def page_grid(pages: DataFrame, column: str = "value") -> DataFrame:
-    """label and id of the tiles in a GeoJSON text that a page holds between single quotes; of one label the last counts."""
+def page_grid(pages: DataFrame, column: str = "value", order: str | None = None) -> DataFrame:
+    """label and id of the tiles in a GeoJSON text that a page holds between single quotes; of one label the last counts.
+
+    order is the column that pages are ordered by; without it they are ordered by their texts.
+    """
     json = F.regexp_extract(F.col(column), r"(?s)(\{[^{']*\"FeatureCollection\"[^']*)", 1)
-    f = pages.select(F.from_json(json, _GRID).alias("g")).select(F.posexplode("g.features").alias("i", "f"))
+    page = F.col(order) if order else F.xxhash64(column)
+    f = pages.select(page.alias("page"), F.from_json(json, _GRID).alias("g")).select("page", F.posexplode("g.features").alias("i", "f"))
     of = lambda k: F.try_element_at(F.col("f.properties"), F.lit(k))
-    rows = f.select("i", of("label").alias("label"), of("id").try_cast("long").alias("id")).dropna()
-    return rows.groupBy("label").agg(F.max_by("id", "i").alias("id"))
+    rows = f.select("page", "i", of("label").alias("label"), of("id").try_cast("long").alias("id")).dropna(subset=["label", "id"])
+    return rows.groupBy("label").agg(F.max_by("id", F.struct("page", "i", "id")).alias("id"))
 
 
 def item_block(name: Column) -> Column:
@@ -145,19 +149,24 @@ def package_archives(pages: DataFrame, host: str, part: str, fallback: str, colu
     return both.join(F.broadcast(least), "__spare", "left_semi").select("url")
 
 
-def category_archives(pages: DataFrame, root: str, host: str, depth: int = 32) -> DataFrame:
+def category_archives(pages: DataFrame, root: str, host: str) -> DataFrame:
     """url of the zip files below a category. pages: path and value, the JSON of a folder: its folders and its downloads.
 
-    Folders are visited level by level; each level is one join of the folders found with the pages.
+    A folder's path is its parent's and its name, which has no slash. So its path names all folders on
+    the way to it, and it is reached, at any depth, if each of them is listed by the one before: two
+    joins instead of a walk. A folder that is listed several times counts once.
     """
     shape = "STRUCT<navigation: ARRAY<STRUCT<name: STRING>>, searchresult: STRUCT<downloads: ARRAY<STRUCT<fileExtension: STRING, downloadLink: STRUCT<uri: STRING>>>>>"
     read = pages.select("path", F.from_json("value", shape).alias("p"))
-    now, found = pages.sparkSession.createDataFrame([(root,)], "path string"), None
-    for _ in range(depth):
-        level = now.join(read, "path")
-        files = level.select(F.inline("p.searchresult.downloads")).filter(F.lower("fileExtension") == "zip").select(F.col("downloadLink.uri").alias("uri")).filter("uri <> ''")
-        found = files if found is None else found.unionByName(files)
-        now = level.select("path", F.inline("p.navigation")).filter("name <> ''").select(F.concat_ws("/", "path", "name").alias("path"))
-        if now.isEmpty():
-            break
-    return found.select(F.when(F.col("uri").startswith("http"), F.col("uri")).otherwise(F.concat(F.lit(host), F.col("uri"))).alias("url"))
+    inner = read.select("path", F.inline("p.navigation")).filter("name <> ''").select("path", F.concat_ws("/", "path", "name").alias("inner"))
+    steps_ = inner.filter((F.col("path") == root) | F.startswith("path", F.lit(root + "/"))).join(read.select(F.col("path").alias("inner")), "inner", "left_semi").distinct()
+    reached = pages.sparkSession.createDataFrame([(root,)], "path string").join(read.select("path"), "path", "left_semi").distinct()
+    names = F.split(F.substring(F.col("inner"), len(root) + 2, 1 << 30), "/")
+    # Of each listed folder the folders on the way to it; it is reached if all of them are listed.
+    way = steps_.select("inner", F.explode(F.transform(F.sequence(F.lit(1), F.size(names)), lambda k: F.concat_ws("/", F.lit(root), F.slice(names, 1, k)))).alias("at"))
+    listed = steps_.select(F.col("inner").alias("at")).distinct()
+    whole = way.join(listed, "at", "left_anti").select("inner").distinct()
+    below = listed.withColumnRenamed("at", "path").join(whole.withColumnRenamed("inner", "path"), "path", "left_anti")
+    folders = reached.unionByName(below)
+    files = read.join(folders, "path", "left_semi").select(F.inline("p.searchresult.downloads")).filter(F.lower("fileExtension") == "zip").select(F.col("downloadLink.uri").alias("uri")).filter("uri <> ''")
+    return files.select(F.when(F.col("uri").startswith("http"), F.col("uri")).otherwise(F.concat(F.lit(host), F.col("uri"))).alias("url"))

@@ -1,4 +1,9 @@
-"""Which reference system a pair of numbers is in: every plausible reading, ranked by confidence."""
+"""Which reference system a pair of numbers is in: every plausible reading, ranked by confidence.
+
+The UTM systems share one projection, of which zones and prefixes only move the easting or turn the
+longitude, and a pair can be in one strip only. So all of them are one projection of a row, and so
+are the Gauß-Krüger strips with their datum shift; the expressions stay small enough to be compiled.
+"""
 
 from __future__ import annotations
 
@@ -33,7 +38,7 @@ def _readings(a: str, b: str):
 
 
 def detection_stages(a: str = "a", b: str = "b", region=GERMANY):
-    """Stages that add lat{i}, lon{i}, conf{i} of every reading i (conf null: not plausible), and the list of readings."""
+    """The same readings written out one by one, which the SQL checks use: stages that add lat{i}, lon{i}, conf{i} of every reading i (conf null: not plausible), and the list of readings."""
     stages, readings = [], []
     for swapped, lat, lon in ((False, a, b), (True, b, a)):
         i = len(readings)
@@ -52,12 +57,54 @@ def detection_stages(a: str = "a", b: str = "b", region=GERMANY):
     return stages, readings
 
 
+def _slots(a: str, b: str, region) -> tuple[steps.Stages, list[dict[str, str]]]:
+    """Stages that evaluate each family of systems once, and the readings: i (the place that breaks ties), epsg, lat, lon, conf and swapped in SQL.
+
+    A pair at the very end of two strips at once is read in the first of them.
+    """
+    readings = _readings(a, b)
+    first = next(i for i, r in enumerate(readings) if r[0] == 4647)
+    plain, swapped, gk, web = readings[:2], readings[2:4], readings[first + 2 : first + 6], readings[-1]
+    prefixed = readings[first : first + 2]
+    pick = lambda rows: "CASE " + " ".join(f"WHEN {when} THEN {value}" for when, value in rows) + " END"
+    strips = [(plain[0], "0"), (swapped[0], "1"), (prefixed[0], "2"), (prefixed[1], "3")]
+    zone = {"2": "32e6", "3": "33e6"}
+    one = geodesy.TransverseMercator(geodesy.GRS80, 0.0, 0.9996, 500_000.0)
+    bessel = geodesy.TransverseMercator(geodesy.BESSEL, 0.0, 1.0, 500_000.0)
+    stages = [
+        {"t_uk": pick([(r[4], k) for r, k in strips]), "t_gz": pick([(r[4], str(r[0] - 31464)) for r in gk])},
+        {"t_ux": pick([(f"t_uk = {k}", f"{r[1]} - {zone[k]}" if k in zone else r[1]) for r, k in strips]), "t_uy": pick([(f"t_uk = {k}", r[2]) for r, k in strips]),
+         "t_gx": f"CASE WHEN t_gz IS NOT NULL THEN {gk[0][1]} - t_gz * 1e6 END", "t_gy": f"CASE WHEN t_gz IS NOT NULL THEN {gk[0][2]} END",
+         "t_mx": f"CASE WHEN {web[4]} THEN {web[1]} END", "t_my": f"CASE WHEN {web[4]} THEN {web[2]} END"},
+        *one.inverse("t_ux", "t_uy", "t_ulat", "t_ud", "u"),
+        {"t_lon32": "9e0 + t_ud", "t_lon33": "15e0 + t_ud"},
+        *bessel.inverse("t_gx", "t_gy", "t_blat", "t_bd", "g"),
+        {"t_blon": "t_gz * 3e0 + t_bd"},
+        *geodesy.to_ecef("t_blat", "t_blon", geodesy.BESSEL, "t_d"), *geodesy.shift("t_d", "t_w", False), *geodesy.from_ecef("t_w", geodesy.WGS84, "t_glat", "t_glon"),
+        *geodesy.to_geo(3857, "t_mx", "t_my", "t_mlat", "t_mlon"),
+        {"t_f32": region_fit("t_ulat", "t_lon32", region), "t_f33": region_fit("t_ulat", "t_lon33", region), "t_fg": region_fit("t_glat", "t_glon", region), "t_fm": region_fit("t_mlat", "t_mlon", region)},
+    ]
+    base = lambda turned: f"CASE WHEN {turned} THEN {geodesy.num(BASE - SWAP_COST)} ELSE {geodesy.num(BASE)} END"
+    made = lambda when, fit, turned: f"CASE WHEN {when} AND {fit} > 0e0 THEN {geodesy.num(REGION_WEIGHT)} * {fit} + {base(turned)} END"
+    out = []
+    for turned, lat, lon in (("false", a, b), ("true", b, a)):
+        more = f" AND abs({a} - {b}) > 1e-9" if turned == "true" else ""
+        out.append({"i": str(len(out)), "epsg": "4326", "lat": lat, "lon": lon, "swapped": turned, "conf": f"CASE WHEN abs({lat}) <= 90e0 AND abs({lon}) <= 180e0{more} THEN {geodesy.num(REGION_WEIGHT)} * {region_fit(lat, lon, region)} + {base(turned)} END"})
+    for z, alone in ((32, "2"), (33, "3")):
+        at = z - 32
+        out.append({"i": f"CASE t_uk WHEN 0 THEN {2 + at} WHEN 1 THEN {4 + at} ELSE {6 + at} END", "epsg": f"CASE WHEN t_uk = {alone} THEN {prefixed[at][0]} ELSE {25800 + z} END", "lat": "t_ulat", "lon": f"t_lon{z}",
+                    "swapped": "t_uk = 1", "conf": made(f"t_uk IN (0, 1, {alone})", f"t_f{z}", "t_uk = 1")})
+    out.append({"i": "t_gz + 6", "epsg": "31464 + t_gz", "lat": "t_glat", "lon": "t_glon", "swapped": "false", "conf": made("t_gz IS NOT NULL", "t_fg", "false")})
+    out.append({"i": "12", "epsg": "3857", "lat": "t_mlat", "lon": "t_mlon", "swapped": "false", "conf": made("t_mx IS NOT NULL", "t_fm", "false")})
+    return stages, out
+
+
 def detect(df: DataFrame, a: str = "a", b: str = "b", region=GERMANY) -> DataFrame:
     """df with `guesses`: array of (epsg, lat, lon, confidence, swapped), best first; ties keep the fixed order."""
-    stages, readings = detection_stages(a, b, region)
-    wide = steps.apply(df, stages, drop="none_")
-    guess = [F.struct((-F.col(f"t_conf{i}")).alias("order"), F.lit(i).alias("i"), F.lit(e).alias("epsg"), F.col(f"t_lat{i}").alias("lat"), F.col(f"t_lon{i}").alias("lon"),
-                      F.col(f"t_conf{i}").alias("confidence"), F.lit(s).alias("swapped")) for i, (e, s) in enumerate(readings)]
+    stages, slots = _slots(a, b, region)
+    wide = steps.apply(df, [*stages, {f"t_conf{k}": s["conf"] for k, s in enumerate(slots)}], drop="none_")
+    guess = [F.struct((-F.col(f"t_conf{k}")).alias("order"), F.expr(s["i"]).cast("int").alias("i"), F.expr(s["epsg"]).cast("int").alias("epsg"), F.expr(s["lat"]).alias("lat"), F.expr(s["lon"]).alias("lon"),
+                      F.col(f"t_conf{k}").alias("confidence"), F.expr(s["swapped"]).alias("swapped")) for k, s in enumerate(slots)]
     ranked = F.array_sort(F.filter(F.array(*guess), lambda g: g["confidence"].isNotNull()))
     picked = F.transform(ranked, lambda g: F.struct(g["epsg"].alias("epsg"), g["lat"].alias("lat"), g["lon"].alias("lon"), g["confidence"].alias("confidence"), g["swapped"].alias("swapped")))
     return wide.withColumn("guesses", picked).select(*df.columns, "guesses")

@@ -5,7 +5,8 @@ its containers: one row per object or array with the plain values it holds. Ever
 relational: named pairs, arrays of numbers and written coordinates are picked from those rows, and the
 ranked detection decides which reference system a pair is in.
 
-Members that make up a pair are not looked at again. Documents that are no JSON give nothing.
+Members that make up a pair are not looked at again. Documents that are no JSON, or are nested deeper than Python's
+parser goes, give nothing.
 """
 
 from __future__ import annotations
@@ -134,7 +135,7 @@ def _unfold(batches):
             try:
                 # An object is the tuple of its (name, value) pairs, repeated names included.
                 rows += [(i, *c) for c in _containers(json.loads(text or "", object_pairs_hook=tuple))]
-            except (ValueError, OverflowError):
+            except (ValueError, OverflowError, RecursionError):
                 continue
         kinds = [batch.column("id").type, pa.string(), pa.string(), _MEMBERS]
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["id", "path", "shape", "members"])

@@ -124,16 +124,21 @@ def blocks_of_points(points: DataFrame, blocks: DataFrame, cell: float) -> DataF
     return points.join(first, "id", "left")
 
 
-def placemarks(texts: DataFrame, epsg: int = 25832, column: str = "value") -> DataFrame:
-    """name and ring (in the given system) of a KML's placemarks that have a name and three points or more."""
+def placemarks(texts: DataFrame, epsg: int = 25832, column: str = "value", id_col: str | None = None) -> DataFrame:
+    """name and ring (in the given system) of a KML's placemarks that have a name and three points or more.
+
+    rank is the placemark's place in its text. id_col names the texts, and is returned, too; without it
+    every row is a text of its own.
+    """
     plain = F.regexp_replace(F.regexp_replace(F.col(column), r'\sxmlns(:\w+)?="[^"]*"', ""), r"<(/?)\w+:", "<$1")
-    marks = texts.select(F.posexplode(F.regexp_extract_all(plain, F.lit(r"(?s)<Placemark\b.*?</Placemark>"), F.lit(0))).alias("rank", "mark"))
+    own = F.col(id_col) if id_col else F.monotonically_increasing_id()
+    found = F.regexp_extract_all(plain, F.lit(r"(?s)<Placemark\b.*?</Placemark>"), F.lit(0))
     name = F.trim(F.xpath_string("mark", F.lit("//name")))
     points = F.filter(F.split(F.trim(F.xpath_string("mark", F.lit("//coordinates"))), r"\s+"), lambda p: F.size(F.split(p, ",")) >= 2)
-    rows = marks.select("rank", name.alias("name"), F.posexplode(points).alias("i", "p")).filter("name <> ''")
-    rows = rows.select("rank", "name", "i", F.split("p", ",")[0].try_cast("double").alias("lon"), F.split("p", ",")[1].try_cast("double").alias("lat"))
+    rows = texts.select(own.alias("__text"), F.posexplode(found).alias("rank", "mark")).select("__text", "rank", name.alias("name"), F.posexplode(points).alias("i", "p")).filter("name <> ''")
+    rows = rows.select("__text", "rank", "name", "i", F.split("p", ",")[0].try_cast("double").alias("lon"), F.split("p", ",")[1].try_cast("double").alias("lat"))
     at = steps.apply(rows, geodesy.from_geo(epsg, "lat", "lon", "x", "y"))
-    # The points of one placemark's ring.
-    rings = at.groupBy("rank", "name").agg(F.array_sort(F.collect_list(F.struct("i", "x", "y"))).alias("r"))
-    rings = rings.filter(F.size("r") >= 3)
-    return rings.select("rank", "name", geometry.open_ring(F.transform("r", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))).alias("ring"))
+    # The points of one placemark's ring: bounded by the placemark's text.
+    rings = at.groupBy("__text", "rank", "name").agg(F.array_sort(F.collect_list(F.struct("i", "x", "y"))).alias("r")).filter(F.size("r") >= 3)
+    ring = geometry.open_ring(F.transform("r", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))).alias("ring")
+    return rings.select(*([F.col("__text").alias(id_col)] if id_col else []), "rank", "name", ring)

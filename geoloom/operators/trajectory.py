@@ -2,6 +2,10 @@
 
 Angles are in degrees; yaw turns clockwise from north, pitch raises the nose, roll banks right.
 Quaternions are structs of x, y, z, w.
+
+A track is worked in stretches of time of some PER_STRETCH rows, so that one with a third of all
+samples is spread over tasks. What a stretch needs of its neighbours, the last sample before it and
+the first one behind it, comes from one row per stretch.
 """
 
 from __future__ import annotations
@@ -10,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 POSE = ["x", "y", "z", "yaw", "pitch", "roll"]
+#: Rows in a stretch on average, and frames that one row unfolds into at most.
+PER_STRETCH = 50_000
 
 
 def turn_between(a: Column, b: Column, t: Column) -> Column:
@@ -22,15 +28,37 @@ def frames(samples: DataFrame, step: float, key: str = "id") -> DataFrame:
     if step <= 0:
         raise ValueError("the step must be positive")
     ends = samples.groupBy(key).agg(F.min("t").alias("t0"), F.max("t").alias("t1"))
-    n = F.floor((F.col("t1") - F.col("t0")) / step)
-    return ends.select(key, "t0", F.explode(F.sequence(F.lit(0).cast("long"), n)).alias("i")).select(key, (F.col("t0") + F.col("i") * step).alias("t"))
+    part = F.lit(PER_STRETCH).cast("long")
+    runs = ends.withColumn("n", F.floor((F.col("t1") - F.col("t0")) / step)).select(key, "t0", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("n") / part))).alias("run"))
+    each = F.sequence(F.col("run") * part, F.least(F.col("n"), (F.col("run") + 1) * part - 1))
+    return runs.select(key, "t0", F.explode(each).alias("i")).select(key, (F.col("t0") + F.col("i") * step).alias("t"))
+
+
+def _stretched(rows: DataFrame, key: str, per: int) -> DataFrame:
+    """rows with `__part`, the stretch of the track's time that t is in; a track's stretches are of equal length. Rows without a time are in the first."""
+    spans = rows.groupBy(key).agg(F.min("t").alias("__t0"), F.max("t").alias("__t1"), F.ceil(F.count(F.lit(1)) / per).alias("__n"))
+    place = F.floor((F.col("t") - F.col("__t0")) / (F.col("__t1") - F.col("__t0")) * F.col("__n"))
+    many = (F.col("__n") > 1) & (F.col("__t1") > F.col("__t0"))
+    both = rows.join(spans.withColumnRenamed(key, "__key"), F.col(key).eqNullSafe(F.col("__key")))
+    return both.withColumn("__part", F.coalesce(F.when(many, F.least(place, F.col("__n") - 1)), F.lit(0).cast("long"))).drop("__key", "__t0", "__t1", "__n")
+
 
+def _beside(rows: DataFrame, key: str) -> DataFrame:
+    """rows (with __part and a struct s, null in rows that are no samples) with before and after: the samples next to the row's stretch."""
+    ends = rows.groupBy(key, "__part").agg(F.max_by("s", F.when(F.col("s").isNotNull(), F.col("t"))).alias("last"), F.min_by("s", F.when(F.col("s").isNotNull(), F.col("t"))).alias("first"))
+    order = Window.partitionBy(key)
+    before = F.last("last", ignorenulls=True).over(order.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    after = F.last("first", ignorenulls=True).over(order.orderBy(F.desc("__part")).rowsBetween(Window.unboundedPreceding, -1))
+    ends = ends.select(F.col(key).alias("__key"), F.col("__part").alias("__at"), before.alias("before"), after.alias("after"))
+    return rows.join(ends, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__part") == F.col("__at"))).drop("__key", "__at")
 
-def poses_at(samples: DataFrame, times: DataFrame, key: str = "id") -> DataFrame:
+
+def poses_at(samples: DataFrame, times: DataFrame, key: str = "id", per: int = PER_STRETCH) -> DataFrame:
     """Pose of each (key, t) of times: between the two samples around it, the end samples beyond the ends.
 
-    Samples and times are merged and ordered per track; each time takes the sample before it from the
-    order by time and the one after it from the reverse order, each carried along row by row. Where
+    Samples and times are merged and ordered in stretches of a track; each time takes the sample before
+    it from the order by time and the one after it from the reverse order, each carried along row by
+    row, or from the stretches beside. A field that one of the two samples has not is null. Where
     samples have a quaternion `q`, the pose has one, too: between the two on the shorter great arc,
     null unless both samples have it.
     """
@@ -38,10 +66,13 @@ def poses_at(samples: DataFrame, times: DataFrame, key: str = "id") -> DataFrame
     named = F.struct("t", *own)
     both = samples.select(key, "t", F.lit(0).alias("kind"), named.alias("s")).unionByName(
         times.select(key, "t", F.lit(1).alias("kind"), F.lit(None).cast(samples.select(named.alias("s")).schema["s"].dataType).alias("s")))
-    so_far = lambda *order: F.last("s", ignorenulls=True).over(Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    found = both.withColumn("a", so_far("t", "kind")).withColumn("b", so_far(F.desc("t"), F.desc("kind"))).filter("kind = 1")
-    a = lambda c: F.coalesce(F.col(f"a.{c}"), F.col(f"b.{c}"))
-    b = lambda c: F.coalesce(F.col(f"b.{c}"), F.col(f"a.{c}"))
+    both = _stretched(both, key, per)
+    so_far = lambda *order: F.last("s", ignorenulls=True).over(Window.partitionBy(key, "__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    found = both.withColumn("a", so_far("t", "kind")).withColumn("b", so_far(F.desc("t"), F.desc("kind")))
+    found = _beside(found, key).filter("kind = 1").select(key, "t", F.coalesce("a", "before").alias("a"), F.coalesce("b", "after").alias("b"))
+    # Beyond the ends the one sample is both.
+    found = found.select(key, "t", F.coalesce("a", "b").alias("a"), F.coalesce("b", "a").alias("b"))
+    a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
     span = b("t") - a("t")
     part = F.when(span > 0, (F.col("t") - a("t")) / span).otherwise(0.0)
     line = lambda c: (a(c) + (b(c) - a(c)) * part).alias(c)
@@ -64,18 +95,27 @@ def timed_by_row(samples: DataFrame, order: str, interval: float, key: str = "id
     return samples.withColumn("t", (F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1) * F.lit(float(interval)))
 
 
-def length(samples: DataFrame, key: str = "id") -> DataFrame:
-    w = Window.partitionBy(key).orderBy("t")
-    d = lambda c: F.coalesce(F.col(c) - F.lag(c).over(w), F.lit(0.0))
-    steps = samples.select(key, F.sqrt(d("x") ** 2 + d("y") ** 2 + d("z") ** 2).alias("d"))
-    return steps.groupBy(key).agg(F.sum("d").alias("length"))
+def _steps(samples: DataFrame, key: str, per: int) -> DataFrame:
+    """samples with __part and __d: the distance from the sample before, 0 for a track's first one. A position that is not known is no distance away."""
+    rows = _stretched(samples, key, per).withColumn("s", F.struct("x", "y", "z"))
+    inside = F.lag("s").over(Window.partitionBy(key, "__part").orderBy("t"))
+    rows = _beside(rows.withColumn("p", inside), key).withColumn("p", F.coalesce("p", "before"))
+    d = lambda c: F.coalesce(F.col(c) - F.col(f"p.{c}"), F.lit(0.0))
+    return rows.withColumn("__d", F.sqrt(d("x") ** 2 + d("y") ** 2 + d("z") ** 2)).select(*samples.columns, "__part", "__d")
+
+
+def length(samples: DataFrame, key: str = "id", per: int = PER_STRETCH) -> DataFrame:
+    return _steps(samples.select(key, "t", "x", "y", "z"), key, per).groupBy(key).agg(F.sum("__d").alias("length"))
 
 
-def cumulative(samples: DataFrame, key: str = "id") -> DataFrame:
-    """samples with the distance travelled so far."""
-    w = Window.partitionBy(key).orderBy("t")
-    d = lambda c: F.coalesce(F.col(c) - F.lag(c).over(w), F.lit(0.0))
-    return samples.withColumn("__d", F.sqrt(d("x") ** 2 + d("y") ** 2 + d("z") ** 2)).withColumn("travelled", F.sum("__d").over(w)).drop("__d")
+def cumulative(samples: DataFrame, key: str = "id", per: int = PER_STRETCH) -> DataFrame:
+    """samples with the distance travelled so far: that of the stretches before, and of the stretch itself."""
+    rows = _steps(samples, key, per)
+    before = Window.partitionBy(key).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    done = rows.groupBy(key, "__part").agg(F.sum("__d").alias("d")).select(F.col(key).alias("__key"), F.col("__part").alias("__at"), F.coalesce(F.sum("d").over(before), F.lit(0.0)).alias("done"))
+    so_far = F.sum("__d").over(Window.partitionBy(key, "__part").orderBy("t"))
+    both = rows.withColumn("__d", so_far).join(done, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__part") == F.col("__at")))
+    return both.select(*samples.columns, (F.col("done") + F.col("__d")).alias("travelled"))
 
 
 def quaternion(x, y, z, w) -> Column:

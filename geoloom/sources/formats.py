@@ -211,9 +211,14 @@ def newest_per_tile(items: DataFrame, keys: list[str], when: str = "taken", tie:
     return same.groupBy(*keys).agg(F.min_by(F.struct(*[c for c in items.columns if c not in keys]), F.col(tie)).alias("__i")).select(*keys, "__i.*")
 
 
-def url_index(texts: DataFrame, pattern: str, column: str = "value") -> DataFrame:
-    """east_km, north_km and url from a page, by a pattern with the groups url, east, north; the last one of a tile counts."""
-    pos = texts.select(F.posexplode(F.regexp_extract_all(F.col(column), F.lit(pattern), F.lit(0))).alias("i", "hit"))
+def url_index(texts: DataFrame, pattern: str, column: str = "value", order: str | None = None) -> DataFrame:
+    """east_km, north_km and url from pages, by a pattern with the groups url, east, north; the last one of a tile counts.
+
+    order is the column that pages are ordered by, the last page counting most; without it pages are
+    ordered by their texts.
+    """
+    page = F.col(order) if order else F.xxhash64(column)
+    pos = texts.select(page.alias("page"), F.posexplode(F.regexp_extract_all(F.col(column), F.lit(pattern), F.lit(0))).alias("i", "hit"))
     get = lambda g: F.regexp_extract("hit", pattern, g)
-    rows = pos.select("i", get(1).alias("url"), get(2).cast("int").alias("east_km"), get(3).cast("int").alias("north_km"))
-    return rows.groupBy("east_km", "north_km").agg(F.max_by("url", "i").alias("url"))
+    rows = pos.select("page", "i", get(1).alias("url"), get(2).cast("int").alias("east_km"), get(3).cast("int").alias("north_km"))
+    return rows.groupBy("east_km", "north_km").agg(F.max_by("url", F.struct("page", "i", "url")).alias("url"))

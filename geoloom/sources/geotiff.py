@@ -1,14 +1,21 @@
-"""GeoTIFF rasters as DataFrames: each file is decoded where Spark read its bytes, in blocks of rows."""
+"""GeoTIFF rasters: headers, blocks (strips or tiles) and their decoding, from bytes or from parts of a file.
+
+`rasters` reads and writes them as a data source. read_cells decodes whole files where Spark read
+their bytes.
+"""
 
 from __future__ import annotations
 
 import struct
 import zlib
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from geoloom.sources.files import Held
+
 # TIFF tags, compressions and field types that are understood.
 WIDTH, HEIGHT, BITS, COMPRESSION, STRIP_AT, ROWS_PER_STRIP, STRIP_BYTES, PREDICTOR = 256, 257, 258, 259, 273, 278, 279, 317
 TILE_WIDTH, TILE_HEIGHT, TILE_AT, TILE_BYTES, SAMPLE_FORMAT, SCALE, TIEPOINT, GEO_KEYS, NO_DATA = 322, 323, 324, 325, 339, 33550, 33922, 34735, 42113
@@ -16,6 +23,8 @@ PLAIN, LZW, DEFLATE, OLD_DEFLATE = 1, 5, 8, 32946
 FIELD = {1: "B", 2: "s", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d"}
 SAMPLES = {(3, 32): "f4", (1, 8): "u1", (1, 16): "u2", (1, 32): "u4", (2, 16): "i2", (2, 32): "i4"}
 PROJECTED_CRS = 3072
+#: Cells of a part of a block at most, where a block's parts can be read on their own.
+PART_CELLS = 1 << 20
 
 
 def lzw(data: bytes) -> bytes:
@@ -55,28 +64,28 @@ def _unpack(data: bytes, compression: int) -> bytes:
     raise ValueError(f"TIFF compression {compression} is not supported")
 
 
-def tags(data: bytes) -> tuple[str, dict[int, tuple]]:
-    """Byte order and the values of the first directory's tags."""
-    order = {b"II": "<", b"MM": ">"}.get(data[:2])
-    if order is None or struct.unpack(order + "H", data[2:4])[0] != 42:
+def tags(source) -> tuple[str, dict[int, tuple]]:
+    """Byte order and the values of the first directory's tags. source: bytes, or a file that is read in parts."""
+    source = Held(source) if isinstance(source, (bytes, bytearray, memoryview)) else source
+    head = source.read(0, 8)
+    order = {b"II": "<", b"MM": ">"}.get(head[:2])
+    if order is None or len(head) < 8 or struct.unpack(order + "H", head[2:4])[0] != 42:
         raise ValueError("not a classic TIFF")
-    at = struct.unpack(order + "I", data[4:8])[0]
-    found = {}
-    for k in range(struct.unpack(order + "H", data[at : at + 2])[0]):
-        tag, kind, count = struct.unpack(order + "HHI", data[at + 2 + 12 * k : at + 10 + 12 * k])
+    at = struct.unpack(order + "I", head[4:8])[0]
+    count, = struct.unpack(order + "H", source.read(at, 2))
+    directory, found = source.read(at + 2, 12 * count), {}
+    for k in range(count):
+        tag, kind, n = struct.unpack(order + "HHI", directory[12 * k : 12 * k + 8])
         letter = FIELD.get(kind)
         if letter is None:
             continue
-        size = struct.calcsize(letter) * count
-        place = at + 10 + 12 * k if size <= 4 else struct.unpack(order + "I", data[at + 10 + 12 * k : at + 14 + 12 * k])[0]
-        raw = data[place : place + size]
-        found[tag] = (raw.rstrip(b"\0").decode("latin-1"),) if letter == "s" else struct.unpack(f"{order}{count}{letter}", raw)
+        size, inline = struct.calcsize(letter) * n, directory[12 * k + 8 : 12 * k + 12]
+        raw = inline[:size] if size <= 4 else source.read(struct.unpack(order + "I", inline)[0], size)
+        found[tag] = (raw.rstrip(b"\0").decode("latin-1"),) if letter == "s" else struct.unpack(f"{order}{n}{letter}", raw)
     return order, found
 
 
-def metadata(data: bytes) -> dict:
-    """Size, georeference, NoData and EPSG (where the GeoKey is inline) of a raster."""
-    _, t = tags(data)
+def _described(t: dict[int, tuple]) -> dict:
     sx, sy, _ = t[SCALE]
     if abs(sx - sy) > 1e-9 * abs(sx):
         raise ValueError("pixels are not square")
@@ -87,39 +96,81 @@ def metadata(data: bytes) -> dict:
             "nodata": float(t[NO_DATA][0]) if t.get(NO_DATA, ("",))[0].strip() else -9999.0, "epsg": epsg}
 
 
-def decode(data: bytes) -> tuple[dict, np.ndarray]:
-    """Metadata and the height x width samples as float32, NoData as NaN."""
-    order, t = tags(data)
-    meta = metadata(data)
-    w, h, compression, predictor = meta["width"], meta["height"], t.get(COMPRESSION, (1,))[0], t.get(PREDICTOR, (1,))[0]
-    kind = SAMPLES.get((t.get(SAMPLE_FORMAT, (1,))[0], t.get(BITS, (8,))[0]))
-    if kind is None:
-        raise ValueError("this sample format is not supported")
-    kind = np.dtype(kind).newbyteorder(order)
+def metadata(source) -> dict:
+    """Size, georeference, NoData and EPSG (where the GeoKey is inline) of a raster."""
+    return _described(tags(source)[1])
+
+
+@dataclass(frozen=True)
+class Block:
+    """Where a strip, a tile or a part of one lies in the file, its first cell, its size as stored, and the rows and columns that belong to the raster."""
+
+    at: int
+    size: int
+    row: int
+    col: int
+    shape: tuple[int, int]
+    rows: int
+    cols: int
+
 
-    def block(at, size, rows, cols):
-        raw = np.frombuffer(_unpack(data[at : at + size], compression), kind, rows * cols).reshape(rows, cols)
-        if predictor == 2:
-            lane = np.dtype(f"u{kind.itemsize}").newbyteorder(order)
+@dataclass(frozen=True)
+class Layout:
+    """What is needed to decode a raster's blocks."""
+
+    meta: dict
+    kind: str
+    compression: int
+    predictor: int
+
+    def decode(self, data: bytes, block: Block) -> np.ndarray:
+        """The block's cells as float32, NoData as NaN."""
+        kind = np.dtype(self.kind)
+        raw = np.frombuffer(_unpack(data, self.compression), kind, block.shape[0] * block.shape[1]).reshape(block.shape)
+        if self.predictor == 2:
+            lane = np.dtype(f"u{kind.itemsize}").newbyteorder(self.kind[0])
             raw = np.cumsum(raw.view(lane).astype(lane.newbyteorder("=")), axis=1, dtype=f"u{kind.itemsize}").view(kind.newbyteorder("="))
-        elif predictor != 1:
-            raise ValueError(f"TIFF predictor {predictor} is not supported")
-        return raw.astype(np.float32)
+        cells = raw[: block.rows, : block.cols].astype(np.float32)
+        cells[cells == np.float32(self.meta["nodata"])] = np.nan
+        return cells
+
 
-    grid = np.empty((h, w), np.float32)
+def layout(source) -> tuple[Layout, list[Block]]:
+    """How a raster is stored, and its blocks in order. Strips that are neither packed nor chained by a predictor are cut into parts."""
+    order, t = tags(source)
+    meta = _described(t)
+    w, h = meta["width"], meta["height"]
+    code = SAMPLES.get((t.get(SAMPLE_FORMAT, (1,))[0], t.get(BITS, (8,))[0]))
+    if code is None:
+        raise ValueError("this sample format is not supported")
+    found = Layout(meta, order + code, t.get(COMPRESSION, (1,))[0], t.get(PREDICTOR, (1,))[0])
+    if found.predictor not in (1, 2):
+        raise ValueError(f"TIFF predictor {found.predictor} is not supported")
+    blocks = []
     if TILE_AT in t:
         tw, th = t[TILE_WIDTH][0], t[TILE_HEIGHT][0]
         across = -(-w // tw)
         for k, (at, size) in enumerate(zip(t[TILE_AT], t[TILE_BYTES])):
             r, c = k // across * th, k % across * tw
-            grid[r : r + th, c : c + tw] = block(at, size, th, tw)[: h - r, : w - c]
+            blocks.append(Block(at, size, r, c, (th, tw), min(th, h - r), min(tw, w - c)))
     else:
         rows = min(t.get(ROWS_PER_STRIP, (h,))[0], h)
+        part = max(1, PART_CELLS // w) if found.compression == PLAIN else rows
         for k, (at, size) in enumerate(zip(t[STRIP_AT], t[STRIP_BYTES])):
-            n = min(rows, h - k * rows)
-            grid[k * rows : k * rows + n] = block(at, size, n, w)
-    grid[grid == np.float32(meta["nodata"])] = np.nan
-    return meta, grid
+            n, wide = min(rows, h - k * rows), w * np.dtype(code).itemsize
+            for r in range(0, n, part):
+                m = min(part, n - r)
+                blocks.append(Block(at + r * wide, size if part == rows else min(size - r * wide, m * wide), k * rows + r, 0, (m, w), m, w))
+    return found, blocks
+
+
+def decode(data: bytes) -> tuple[dict, np.ndarray]:
+    """Metadata and the height x width samples as float32, NoData as NaN."""
+    stored, blocks = layout(data)
+    grid = np.empty((stored.meta["height"], stored.meta["width"]), np.float32)
+    for b in blocks:
+        grid[b.row : b.row + b.rows, b.col : b.col + b.cols] = stored.decode(data[b.at : b.at + b.size], b)
+    return stored.meta, grid
 
 
 CELLS = "path string, row long, col long, value float"
@@ -174,3 +225,32 @@ def encode(grid: np.ndarray, origin_x: float, origin_y: float, pixel: float, nod
     places = struct.pack("<3d", pixel, pixel, 0.0) + struct.pack("<6d", 0, 0, 0, origin_x, origin_y, 0)
     body = np.where(np.isnan(grid), np.float32(nodata), grid).astype("<f4").tobytes()
     return head + places + text.ljust(start - gap, b"\0") + body
+
+
+def encode_tiled(grid: np.ndarray, origin_x: float, origin_y: float, pixel: float, nodata: float = -9999.0, epsg: int | None = None, side: int = 256, packed: bool = True) -> list[bytes]:
+    """The parts of a file of float32 tiles, deflated if packed; NaN becomes NoData. The directory stands behind the tiles."""
+    h, w = grid.shape
+    filled, body, places, sizes, at = np.where(np.isnan(grid), np.float32(nodata), grid).astype("<f4"), [], [], [], 8
+    for r in range(0, h, side):
+        for c in range(0, w, side):
+            tile = np.full((side, side), np.float32(nodata), "<f4")
+            part = filled[r : r + side, c : c + side]
+            tile[: part.shape[0], : part.shape[1]] = part
+            data = zlib.compress(tile.tobytes(), 6) if packed else tile.tobytes()
+            data += b"\0" * (len(data) % 2)
+            body.append(data)
+            places.append(at)
+            sizes.append(len(data))
+            at += len(data)
+    keys = [1, 1, 0, 1, PROJECTED_CRS, 0, 1, epsg] if epsg else []
+    values = [(WIDTH, 4, [w]), (HEIGHT, 4, [h]), (BITS, 3, [32]), (COMPRESSION, 3, [DEFLATE if packed else PLAIN]), (262, 3, [1]), (277, 3, [1]), (TILE_WIDTH, 3, [side]), (TILE_HEIGHT, 3, [side]),
+              (TILE_AT, 4, places), (TILE_BYTES, 4, sizes), (SAMPLE_FORMAT, 3, [3]), (SCALE, 12, [pixel, pixel, 0.0]), (TIEPOINT, 12, [0.0, 0.0, 0.0, origin_x, origin_y, 0.0]),
+              *([(GEO_KEYS, 3, keys)] if keys else []), (NO_DATA, 2, f"{nodata:g}".encode() + b"\0")]
+    behind, directory = b"", struct.pack("<H", len(values))
+    begin = at + 2 + 12 * len(values) + 4
+    for tag, kind, v in values:
+        raw = v if kind == 2 else struct.pack(f"<{len(v)}{FIELD[kind]}", *v)
+        inline = raw.ljust(4, b"\0") if len(raw) <= 4 else struct.pack("<I", begin + len(behind))
+        behind += b"" if len(raw) <= 4 else raw + b"\0" * (len(raw) % 2)
+        directory += struct.pack("<HHI", tag, kind, len(v)) + inline
+    return [b"II" + struct.pack("<HI", 42, at), *body, directory + struct.pack("<I", 0) + behind]
