@@ -21,6 +21,66 @@ FILES = {
 }
 SURFACES = ["dom1", "dom20", "bdom"]
 
+# Addresses of datasets whose tiles have one file each: the file (%d: kilometres east, then north), and the folders it lies in.
+ADDRESSES = {
+    ("be", "dgm1"): ("DGM1_%d_%d.zip", ["https://gdi.berlin.de/data/dgm1/atom/"]),
+    ("be", "dom1"): ("DOM1_%d_%d.zip", ["https://gdi.berlin.de/data/dom/atom/"]),
+    ("be", "dop20rgbi"): ("dop20rgbi_33_%d_%d_2_be_2026.jp2", ["https://gdi.berlin.de/data/oi_dop2026/atom/"]),
+    ("be", "lod2"): ("LoD2_%d_%d.zip", ["https://gdi.berlin.de/data/a_lod2/atom/"]),
+    ("bb", "dgm1"): ("dgm_33%03d-%04d.zip", ["https://data.geobasis-bb.de/geobasis/daten/dgm/tif/"]),
+    ("bb", "dgm1_xyz"): ("dgm_33%03d-%04d.zip", ["https://data.geobasis-bb.de/geobasis/daten/dgm/xyz/"]),
+    ("bb", "bdom"): ("bdom_33%03d-%04d.zip", ["https://data.geobasis-bb.de/geobasis/daten/bdom/tif/"]),
+    ("bb", "dop20rgbi"): ("dop_33%03d-%04d.zip", ["https://data.geobasis-bb.de/geobasis/daten/dop/rgbi_tif/"]),
+    ("bb", "lod2"): ("lod2_33%03d-%04d.zip", ["https://data.geobasis-bb.de/geobasis/daten/3d_gebaeude/lod2_gml/"]),
+    ("bw", "dgm1"): ("dgm1_32_%d_%d_2_bw.zip", ["https://opengeodata.lgl-bw.de/data/dgm/"]),
+    ("bw", "dom1"): ("dom1_32_%d_%d_2_bw.zip", ["https://opengeodata.lgl-bw.de/data/dom1/"]),
+    ("bw", "dop20rgb"): ("dop20rgb_32_%d_%d_2_bw.zip", ["https://opengeodata.lgl-bw.de/data/dop20/"]),
+    ("bw", "dop20rgbi"): ("dop20rgbi_32_%d_%d_2_bw.zip", ["https://opengeodata.lgl-bw.de/data/dop20/"]),
+    ("bw", "lod2"): ("LoD2_32_%d_%d_2_bw.zip", ["https://opengeodata.lgl-bw.de/data/lod2/"]),
+    ("mv", "dgm1"): ("dgm1_33_%03d_%04d_2_gtiff.tif", ["https://www.geodaten-mv.de/dienste/dgm_download?index=4&dataset=ca268792-s2q1-4a39-b34c-9ec5bf9a4469&file="]),
+    ("mv", "dom1"): ("dom1_33_%03d_%04d_2_gtiff.tif", ["https://www.geodaten-mv.de/dienste/dom_download?index=4&dataset=us214578-a1n5-4v12-v31c-5tg2az3a2164&file="]),
+    ("mv", "dop20rgbi"): ("dop20rgbi_33_%03d_%04d_2_mv.tif", ["https://www.geodaten-mv.de/dienste/dop20_download?index=0&dataset=f94d17fa-b29b-41f7-a4b8-6e10f1aae38e&file="]),
+    ("mv", "lod2"): ("lod2_33_%03d_%04d_2_gml.zip", ["https://www.geodaten-mv.de/dienste/gebaeude_download?index=0&dataset=8397b554-5cb9-4274-8be8-c20490d9a6e8&file="]),
+    ("nw", "lod2"): ("LoD2_32_%d_%d_1_NW.gml", ["https://www.opengeodata.nrw.de/produkte/geobasis/3dg/lod2_gml/lod2_gml/"]),
+    ("rp", "lod2"): ("LoD2_32_%d_%d_2_RP.gml", ["https://geobasis-rlp.de/data/geb3dlo/current/gml/"]),
+    ("sn", "dgm1"): ("dgm1_33%03d_%04d_2_sn_tiff.zip", ["https://geocloud.landesvermessung.sachsen.de/public.php/dav/files/JCcXyifaNdLDnxZ/"]),
+    ("sn", "dom1"): ("dom1_33%03d_%04d_2_sn_tiff.zip", ["https://geocloud.landesvermessung.sachsen.de/public.php/dav/files/S6wwnFwX7882sZm/"]),
+    ("sn", "dop20rgb"): ("dop20rgb_33%03d_%04d_2_sn_tiff.zip", ["https://geocloud.landesvermessung.sachsen.de/public.php/dav/files/QQFLq6nkoSnqB5g/"]),
+    ("sn", "dop20rgbi"): ("dop20rgbi_33%03d_%04d_2_sn_tiff.zip", ["https://geocloud.landesvermessung.sachsen.de/public.php/dav/files/sX3GPcdBMGrfXT9/"]),
+    ("sn", "lod2"): ("lod2_33%03d_%04d_2_sn_citygml.zip", ["https://geocloud.landesvermessung.sachsen.de/public.php/dav/files/AyJqXpJAZJXomCb/"]),
+    ("th", "lod2"): ("LoD2_32_%d_%d_2_TH.zip", ["https://geoportal.geoportal-th.de/3dgebaeude/LoD2/"]),
+}
+# Datasets whose tiles lie in different files of two surveys, the newer one first; the first gives the file its name.
+SURVEYS = {
+    ("th", "dgm1"): ["https://geoportal.geoportal-th.de/hoehendaten/DGM/dgm_2020-2025/dgm1_32_%d_%d_1_th_2020-2025.zip", "https://geoportal.geoportal-th.de/hoehendaten/DGM/dgm_2014-2019/dgm1_%d_%d_1_th_2014-2019.zip"],
+    ("th", "dom1"): ["https://geoportal.geoportal-th.de/hoehendaten/DOM/dom_2020-2025/dom1_32_%d_%d_1_th_2020-2025.zip", "https://geoportal.geoportal-th.de/hoehendaten/DOM/dom_2014-2019/dom1_%d_%d_1_th_2014-2019.zip"],
+}
+# How a tile's entry is named in a state's archives; %s is the dataset.
+ENTRIES = {"hh": "%s_32_%d_%d_1_hh.tif", "he": "%s_32_%d_%d_1_he.tif", "sl": "%s_32_%d_%d_1_SL.tif", "hb": "%s_32%03d_%04d_1_hb.xyz"}
+
+
+def delivery_cell(east_km: Column, north_km: Column) -> tuple[Column, Column]:
+    """The 2 km cell with odd eastings and even northings that holds a tile."""
+    return F.when(east_km % 2 != 0, east_km).otherwise(east_km - 1), F.when(north_km % 2 == 0, north_km).otherwise(north_km - 1)
+
+
+def state_jobs(tiles_: DataFrame, state: str, dataset: str) -> DataFrame:
+    """east_km, north_km, file and mirrors of each tile in a state whose addresses follow from the tile alone."""
+    e, n = F.col("east_km").cast("int"), F.col("north_km").cast("int")
+    e, n = delivery_cell(e, n) if state == "bw" else (e, n)
+    if (state, dataset) in SURVEYS:
+        urls = [F.format_string(u, e, n) for u in SURVEYS[state, dataset]]
+        return tiles_.select("east_km", "north_km", F.element_at(F.split(urls[0], "/"), -1).alias("file"), F.array(*urls).alias("mirrors"))
+    if (state, dataset) not in ADDRESSES:
+        raise KeyError(f"{state} has no addresses of {dataset}")
+    pattern, folders = ADDRESSES[state, dataset]
+    file = F.format_string(pattern, e, n)
+    return tiles_.select("east_km", "north_km", file.alias("file"), F.array(*(F.concat(F.lit(d), file) for d in folders)).alias("mirrors"))
+
+
+def entry_name(state: str, dataset: str, east_km: Column, north_km: Column) -> Column:
+    return F.format_string(ENTRIES[state], F.lit(dataset), east_km.cast("int"), north_km.cast("int"))
+
 
 def states(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(STATES, "state string, zone int, grid_km int, datasets array<string>")

@@ -119,6 +119,15 @@ def best_reading(df: DataFrame, a: str = "a", b: str = "b", region=GERMANY) -> D
     return found.select(*df.columns, F.size("guesses").alias("n_guesses"), F.inline_outer(F.slice("guesses", 1, 1)))
 
 
+#: Confidence below which a reading has to be looked at.
+DOUBTFUL = 0.6
+
+
+def with_doubt(df: DataFrame, confidence: str = "confidence") -> DataFrame:
+    """df with doubtful: whether the confidence is low, or there is none."""
+    return df.withColumn("doubtful", F.coalesce(F.col(confidence), F.lit(0.0)) < DOUBTFUL)
+
+
 def interpret(df: DataFrame, epsg: int, x: str, y: str, region=GERMANY) -> DataFrame:
     """lat, lon and confidence under a given system; null where the place is beyond the region."""
     stages = [*geodesy.to_geo(epsg, x, y, "lat", "lon"), {"t_fit": region_fit("lat", "lon", region)}, {"confidence": "CASE WHEN t_fit > 0e0 THEN 0.5e0 + 0.45e0 * t_fit END"}]

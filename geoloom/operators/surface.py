@@ -8,8 +8,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from geoloom.operators import raster
 from geoloom.operators.raster import Grid
 
+#: Cells on a side of a baked picture at most, and where its light comes from. The share of an overlay's colour.
+BAKED, LIGHT, TINT = 2048, (-0.45, 0.8, 0.4), 0.5
+
 
 def stride(grid: Grid, most: int) -> int:
     """The smallest step that leaves at most `most` vertices (one at least)."""
@@ -43,3 +47,25 @@ def triangles(spark, grid: Grid, most: int) -> DataFrame:
     d = a + across + 1
     pair = F.array(*(F.struct((F.col("id") * 2 + k).alias("triangle"), a.alias("a"), b.alias("b"), c.alias("c")) for k, (b, c) in enumerate(((a + 1, d), (d, a + across)))))
     return squares.select(F.inline(pair))
+
+
+def colours(cells: DataFrame, grid: Grid, overlays: list[tuple[DataFrame, tuple[int, int, int]]] = (), most: int = BAKED) -> DataFrame:
+    """(row, col, r, g, b) of a picture of the terrain: colours by height, shaded, with overlays (cells and a colour of 0 to 255) mixed in, in their order.
+
+    Of a grid that is larger than `most` on a side every n-th cell is taken, n being the smallest that does.
+    Gaps count as the lowest height.
+    """
+    n = 1
+    while grid.width // n > most or grid.height // n > most:
+        n += 1
+    low, high = cells.agg(F.min("value"), F.max("value")).first()
+    low, high = (0.0, 0.0) if low is None else (float(low), float(high))
+    whole = grid.cells(cells.sparkSession).join(cells.select("row", "col", "value"), ["row", "col"], "left").withColumn("value", F.coalesce("value", F.lit(low)))
+    shaded = raster.hillshade(whole, grid.pixel, LIGHT).filter((F.col("row") % n == 0) & (F.col("col") % n == 0))
+    shaded = shaded.filter((F.col("row") < grid.height // n * n) & (F.col("col") < grid.width // n * n))
+    base = raster.height_colour((F.col("value") - low) / max(0.001, high - low))
+    out = shaded.select("row", "col", *((c * F.col("shade")).alias(k) for c, k in zip(base, "rgb")))
+    for mask, tint in overlays:
+        marked = out.join(mask.select("row", "col").distinct().withColumn("__in", F.lit(True)), ["row", "col"], "left")
+        out = marked.select("row", "col", *(F.when(F.col("__in"), F.col(k) + (t / 255.0 - F.col(k)) * TINT).otherwise(F.col(k)).alias(k) for k, t in zip("rgb", tint)))
+    return out.select((F.col("row") / n).cast("long").alias("row"), (F.col("col") / n).cast("long").alias("col"), "r", "g", "b")

@@ -4,6 +4,6 @@ from __future__ import annotations
 
 
 def modules() -> list:
-    from geoloom.plans import checks, objects, points, regions, terrain
+    from geoloom.plans import checks, objects, points, regions, scenes, terrain
 
-    return [points, terrain, objects, regions, checks]
+    return [points, terrain, objects, regions, checks, scenes]

@@ -88,24 +88,38 @@ def texture_grid(spark, sf_dir):
     return s.select(F.col("s_suppkey").alias("id"), across.alias("across"), along.alias("along"))
 
 
-#: 90 by 16 cells; 200 vertices at most leave every third one.
-SURFACE, MOST = Grid(90, 16, 500_000.0, 5_400_000.0, 10.0), 200
+#: Cells across of a surface made from orders, and vertices that are left of it at most.
+WIDE, MOST = 90, 2000
+_SURFACE = f"""c AS (SELECT o_orderkey // {WIDE} AS r, o_orderkey % {WIDE} AS c, o_totalprice AS h FROM orders), g AS (SELECT max(r) + 1 AS rows FROM c),
+s AS (SELECT rows, (SELECT min(i) FROM range(1, 100000) AS t(i) WHERE ({WIDE - 1} // i + 1) * ((rows - 1) // i + 1) <= {MOST}) AS n FROM g),
+v AS (SELECT (r // n) * ({WIDE - 1} // n + 1) + c // n AS vertex, 500000e0 + c * 10e0 AS x, 5400000e0 - r * 10e0 AS y, h AS height, round(c / {WIDE - 1}e0, 6) AS u, round(1 - r / greatest(rows - 1, 1)::DOUBLE, 6) AS v FROM c, s WHERE r % n = 0 AND c % n = 0)"""
 
 
-@query("surface_vertices", """
-SELECT (r // 3) * 30 + c // 3 AS vertex, 500000e0 + c * 10e0 AS x, 5400000e0 - r * 10e0 AS y, h AS height, round(c / 89e0, 6) AS u, round(1 - r / 15e0, 6) AS v
-FROM (SELECT o_orderkey % 1440 // 90 AS r, o_orderkey % 90 AS c, max(o_totalprice) AS h FROM orders GROUP BY 1, 2) WHERE r % 3 = 0 AND c % 3 = 0""")
+def _surface(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    top = orders.agg(F.max("o_orderkey")).first()[0] or 0
+    return orders.selectExpr(f"o_orderkey div {WIDE} AS row", f"o_orderkey % {WIDE} AS col", "o_totalprice AS value"), Grid(WIDE, top // WIDE + 1, 500_000.0, 5_400_000.0, 10.0)
+
+
+@query("surface_vertices", f"WITH {_SURFACE} SELECT * FROM v")
 def surface_vertices(spark, sf_dir):
-    cells = table(spark, sf_dir, "orders").selectExpr("o_orderkey % 1440 div 90 AS row", "o_orderkey % 90 AS col", "o_totalprice AS value")
-    found = surface.vertices(cells.groupBy("row", "col").agg(F.max("value").alias("value")), SURFACE, MOST)
+    found = surface.vertices(*_surface(spark, sf_dir), MOST)
     return found.select("vertex", "x", "y", "height", F.round("u", 6).alias("u"), F.round("v", 6).alias("v"))
 
 
-@query("surface_triangles", """
-WITH q AS (SELECT i, (i // 29) * 30 + i % 29 AS a FROM range(145) AS t(i))
-SELECT i * 2 AS triangle, a, a + 1 AS b, a + 31 AS c FROM q UNION ALL SELECT i * 2 + 1, a, a + 31, a + 30 FROM q""")
+@query("surface_triangles", f"""
+WITH {_SURFACE}, t AS (SELECT {WIDE - 1} // n + 1 AS across, (rows - 1) // n + 1 AS along FROM s),
+q AS (SELECT i, across, (i // (across - 1)) * across + i % (across - 1) AS a FROM (SELECT across, unnest(range((across - 1) * (along - 1))) AS i FROM t)),
+k AS (SELECT i * 2 AS triangle, a, a + 1 AS b, a + across + 1 AS c FROM q UNION ALL SELECT i * 2 + 1, a, a + across + 1, a + across FROM q)
+SELECT triangle, a, b, c, round((va.height + vb.height + vc.height) / 3, 4) AS height FROM k JOIN v AS va ON va.vertex = a JOIN v AS vb ON vb.vertex = b JOIN v AS vc ON vc.vertex = c""")
 def surface_triangles(spark, sf_dir):
-    return surface.triangles(spark, SURFACE, MOST)
+    """Triangles of the thinned orders that have all corners, with their mean height."""
+    cells, grid = _surface(spark, sf_dir)
+    found = surface.triangles(spark, grid, MOST)
+    heights = surface.vertices(cells, grid, MOST).select("vertex", "height")
+    for corner in "abc":
+        found = found.join(heights.select(F.col("vertex").alias(corner), F.col("height").alias(f"h_{corner}")), corner)
+    return found.select("triangle", "a", "b", "c", F.round((F.col("h_a") + F.col("h_b") + F.col("h_c")) / 3, 4).alias("height"))
 
 
 @query("crs_every_system", " UNION ALL ".join(

@@ -145,14 +145,27 @@ def json_coordinates(spark, sf_dir):
     return found.select("id", "path", "kind", "epsg", F.round("lat", 5).alias("lat"), F.round("lon", 5).alias("lon"), "z")
 
 
-@query("catalog_datasets", "SELECT * FROM (VALUES " + ", ".join(f"('{s}', {z}, {g}, {i}, '{d}')" for s, z, g, ds in catalog.STATES for i, d in enumerate(ds)) + ") AS t(state, zone, grid_km, rank, dataset)")
+_STATES = "(VALUES " + ", ".join(f"({i}, '{s}', {z}, {g})" for i, (s, z, g, _) in enumerate(catalog.STATES)) + ") AS s(i, state, zone, grid_km)"
+_DATASETS = "(VALUES " + ", ".join(f"('{s}', {i}, '{d}')" for s, _, _, ds in catalog.STATES for i, d in enumerate(ds)) + ") AS d(state, rank, dataset)"
+_SURFACES = "(VALUES " + ", ".join(f"('{s}', {next((repr(x) for x in catalog.SURFACES if x in ds), 'NULL')})" for s, _, _, ds in catalog.STATES) + ") AS f(state, surface)"
+
+
+def _by_state(spark, sf_dir):
+    """Suppliers dealt to the states in their order."""
+    names = F.array(*(F.lit(s) for s, *_ in catalog.STATES))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", F.get(names, (F.col("s_suppkey") % len(catalog.STATES)).cast("int")).alias("state"))
+
+
+@query("catalog_datasets", f"SELECT s_suppkey, s.state, zone, grid_km, rank, dataset FROM supplier JOIN {_STATES} ON s_suppkey % {len(catalog.STATES)} = s.i JOIN {_DATASETS} ON s.state = d.state")
 def catalog_datasets(spark, sf_dir):
-    return catalog.datasets(spark)
+    """The datasets of the state that each supplier is dealt to, in order of preference."""
+    return _by_state(spark, sf_dir).join(catalog.datasets(spark), "state").select("s_suppkey", "state", "zone", "grid_km", "rank", "dataset")
 
 
-@query("catalog_surface", "SELECT * FROM (VALUES " + ", ".join(f"('{s}', {next((repr(x) for x in catalog.SURFACES if x in ds), 'NULL')})" for s, _, _, ds in catalog.STATES) + ") AS t(state, surface)")
+@query("catalog_surface", f"SELECT s_suppkey, s.state, surface FROM supplier JOIN {_STATES} ON s_suppkey % {len(catalog.STATES)} = s.i JOIN {_SURFACES} ON s.state = f.state")
 def catalog_surface(spark, sf_dir):
-    return catalog.surface_dataset(spark)
+    """The surface model of the state that each supplier is dealt to."""
+    return _by_state(spark, sf_dir).join(catalog.surface_dataset(spark), "state").select("s_suppkey", "state", "surface")
 
 
 @query("catalog_jobs", """
@@ -174,15 +187,16 @@ def catalog_newest_per_tile(spark, sf_dir):
 
 
 @query("catalog_url_index", """
-SELECT (500 + s_suppkey % 40)::INT AS east_km, 5700 AS north_km, 'dgm1_32_' || (500 + s_suppkey % 40) || '_5700_1_nw_' || (2000 + max(s_suppkey % 90)) || '.tif' AS url
-FROM supplier GROUP BY s_suppkey % 40""")
+SELECT (500 + s_suppkey % 400)::INT AS east_km, (5700 + s_suppkey * 3 % 8)::INT AS north_km,
+ 'dgm1_32_' || (500 + s_suppkey % 400) || '_' || (5700 + s_suppkey * 3 % 8) || '_1_nw_' || (2000 + max_by(s_suppkey * 7 % 90, s_suppkey)) || '.tif' AS url FROM supplier GROUP BY s_suppkey % 400, s_suppkey * 3 % 8""")
 def catalog_url_index(spark, sf_dir):
-    names = F.concat(F.lit("<a href=\"dgm1_32_"), (F.col("tile") + 500).cast("string"), F.lit("_5700_1_nw_"), (F.col("k") + 2000).cast("string"), F.lit(".tif\">"))
-    # One page of 360 links at most: so many pairs of remainders there are.
-    files = table(spark, sf_dir, "supplier").selectExpr("s_suppkey % 40 AS tile", "s_suppkey % 90 AS k").distinct()
-    page = files.select("k", names.alias("a")).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "a"))), lambda s: s["a"]), "\n").alias("value"))
-    return formats.url_index(page, r"(dgm1_32_(\d{3})_(\d{4})_1_nw_\d{4}\.tif)")
+    """Pages of 50 suppliers' links each; of one tile the last page's last link counts."""
+    k, e, n = F.col("s_suppkey"), F.col("s_suppkey") % 400 + 500, F.col("s_suppkey") * 3 % 8 + 5700
+    text = lambda c: c.cast("string")
+    link = F.concat(F.lit("<a href=\"dgm1_32_"), text(e), F.lit("_"), text(n), F.lit("_1_nw_"), text(k * 7 % 90 + 2000), F.lit(".tif\">"))
+    links = table(spark, sf_dir, "supplier").select(F.floor(k / 50).alias("page"), k.alias("k"), link.alias("a"))
+    pages = links.groupBy("page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "a"))), lambda s: s["a"]), "\n").alias("value"))
+    return formats.url_index(pages, r"(dgm1_32_(\d{3})_(\d{4})_1_nw_\d{4}\.tif)", order="page")
 
 
 @query("numbers_parse", """

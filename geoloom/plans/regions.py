@@ -142,10 +142,19 @@ def scene_s_path(spark, sf_dir):
     return scene.s_path(_areas(spark, sf_dir)).select("id", "i", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"), "alt")
 
 
-@query("scene_regions", "SELECT * FROM (VALUES ('muc-sued-4x2', 4, 11.53e0, 48.117e0), ('muc-marienplatz-50m', 4, 11.575e0, 48.137e0), ('muc-sued-10x4', 4, 11.45e0, 48.08e0), ('allgaeu-forggensee', 5, 10.71481653953351e0, 47.55479949436138e0)) AS t(name, n, min_lon, min_lat)")
+_REGIONS = "(VALUES ('muc-sued-4x2', 4, 11.53e0, 48.117e0), ('muc-marienplatz-50m', 4, 11.575e0, 48.137e0), ('muc-sued-10x4', 4, 11.45e0, 48.08e0), ('allgaeu-forggensee', 5, 10.71481653953351e0, 47.55479949436138e0)) AS r(name, n, min_lon, min_lat)"
+
+
+@query("scene_regions", f"""
+SELECT name, n, min_lon, min_lat, count(p.id) AS near FROM {_REGIONS} LEFT JOIN {POINTS} ON floor(p.lon * 2) = floor(min_lon * 2) AND floor(p.lat * 2) = floor(min_lat * 2) GROUP BY ALL""")
 def scene_regions(spark, sf_dir):
+    """The named regions, with the customers in the half degree in which each begins."""
     low = lambda c: F.array_min(F.transform("ring", lambda p: p[c]))
-    return scene.regions(spark).select("name", F.size("ring").alias("n"), low("x").alias("min_lon"), low("y").alias("min_lat"))
+    found = scene.regions(spark).select("name", F.size("ring").alias("n"), low("x").alias("min_lon"), low("y").alias("min_lat"))
+    half = lambda c: F.floor(F.col(c) * 2)
+    near = points(spark, sf_dir).groupBy(half("lon").alias("i"), half("lat").alias("j")).agg(F.count(F.lit(1)).alias("near"))
+    both = found.withColumns({"i": half("min_lon"), "j": half("min_lat")}).join(near, ["i", "j"], "left")
+    return both.select("name", "n", "min_lon", "min_lat", F.coalesce("near", F.lit(0)).alias("near"))
 
 
 # --- boxes and blocks

@@ -9,23 +9,29 @@ from geoloom.operators import masks, raster, sensors, trajectory
 from geoloom.operators.raster import Grid
 from geoloom.plans.points import table
 
-GRID = Grid(100, 150, 500_000.0, 5_400_000.0, 10.0)
-CELLS = ("(SELECT o_orderkey % 15000 // 100 AS row, o_orderkey % 100 AS col, max(CASE WHEN o_orderkey % 97 <> 0 THEN (o_orderkey * 7919 % 1000) * 0.1e0 END) AS value, "
+#: Rows of the grid: as many as the orders need at 100 cells a row.
+ROWS = "(SELECT max(o_orderkey) // 100 + 1 FROM orders)"
+CELLS = ("(SELECT o_orderkey // 100 AS row, o_orderkey % 100 AS col, max(CASE WHEN o_orderkey % 97 <> 0 THEN (o_orderkey * 7919 % 1000) * 0.1e0 END) AS value, "
          "o_orderkey % 5 AS class_id FROM orders GROUP BY 1, 2, 4)")
-SPOTS = "(SELECT c_custkey AS id, 499990e0 + (c_custkey * 37 % 10200) * 0.1e0 AS x, 5398480e0 + (c_custkey * 53 % 15400) * 0.1e0 AS y FROM customer)"
+SPOTS = f"(SELECT c_custkey AS id, 499990e0 + (c_custkey * 37 % 10200) * 0.1e0 AS x, 5400020e0 - (c_custkey * 53 % ({ROWS} * 100 + 400)) * 0.1e0 AS y FROM customer)"
 
 QUERIES, ORACLE_SQL = {}, {}
 
 
+def grid(spark, sf_dir) -> Grid:
+    top = table(spark, sf_dir, "orders").agg(F.max("o_orderkey")).first()[0] or 0
+    return Grid(100, top // 100 + 1, 500_000.0, 5_400_000.0, 10.0)
+
+
 def cells(spark, sf_dir) -> DataFrame:
-    """Orders dealt to the cells of GRID by their keys; a cell holds the highest of its values."""
+    """Orders dealt to the cells of the grid by their keys; a cell holds the highest of its values."""
     o = table(spark, sf_dir, "orders").selectExpr(
-        "o_orderkey % 15000 div 100 AS row", "o_orderkey % 100 AS col", "CASE WHEN o_orderkey % 97 <> 0 THEN (o_orderkey * 7919 % 1000) * 0.1e0 END AS value", "o_orderkey % 5 AS class_id")
+        "o_orderkey div 100 AS row", "o_orderkey % 100 AS col", "CASE WHEN o_orderkey % 97 <> 0 THEN (o_orderkey * 7919 % 1000) * 0.1e0 END AS value", "o_orderkey % 5 AS class_id")
     return o.groupBy("row", "col", "class_id").agg(F.max("value").alias("value")).select("row", "col", "value", "class_id")
 
 
 def spots(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "customer").selectExpr("c_custkey AS id", "499990e0 + (c_custkey * 37 % 10200) * 0.1e0 AS x", "5398480e0 + (c_custkey * 53 % 15400) * 0.1e0 AS y")
+    return table(spark, sf_dir, "customer").selectExpr("c_custkey AS id", "499990e0 + (c_custkey * 37 % 10200) * 0.1e0 AS x", f"5400020e0 - (c_custkey * 53 % {grid(spark, sf_dir).height * 100 + 400}) * 0.1e0 AS y")
 
 
 def query(name: str, sql: str | None = None):
@@ -41,9 +47,9 @@ def query(name: str, sql: str | None = None):
 def bilinear_sql(source: str, key: str = "id", x: str = "x", y: str = "y") -> str:
     """SELECT of key and value: bilinear samples at the source's points."""
     return f"""(WITH c AS (SELECT * FROM {CELLS} AS c0),
-s AS (SELECT {key}, least(greatest((5400000e0 - {y}) / 10 - 0.5, 0), 149) AS fr, least(greatest(({x} - 500000e0) / 10 - 0.5, 0), 99) AS fc FROM {source} AS s0
-      WHERE {x} BETWEEN 500000 AND 501000 AND {y} BETWEEN 5398500 AND 5400000),
-k AS (SELECT *, floor(fr)::BIGINT AS r0, floor(fc)::BIGINT AS c0, least(floor(fr)::BIGINT + 1, 149) AS r1, least(floor(fc)::BIGINT + 1, 99) AS c1 FROM s)
+s AS (SELECT {key}, least(greatest((5400000e0 - {y}) / 10 - 0.5, 0), {ROWS} - 1) AS fr, least(greatest(({x} - 500000e0) / 10 - 0.5, 0), 99) AS fc FROM {source} AS s0
+      WHERE {x} BETWEEN 500000 AND 501000 AND {y} BETWEEN 5400000 - {ROWS} * 10 AND 5400000),
+k AS (SELECT *, floor(fr)::BIGINT AS r0, floor(fc)::BIGINT AS c0, least(floor(fr)::BIGINT + 1, {ROWS} - 1) AS r1, least(floor(fc)::BIGINT + 1, 99) AS c1 FROM s)
 SELECT {key}, CASE WHEN a.value IS NOT NULL AND b.value IS NOT NULL AND d.value IS NOT NULL AND e.value IS NOT NULL
   THEN a.value * (1 - (fr - r0)) * (1 - (fc - c0)) + b.value * (1 - (fr - r0)) * (fc - c0) + d.value * (fr - r0) * (1 - (fc - c0)) + e.value * (fr - r0) * (fc - c0)
   ELSE n.value END AS value
@@ -53,22 +59,23 @@ LEFT JOIN c AS e ON e.row = r1 AND e.col = c1 LEFT JOIN c AS n ON n.row = round_
 
 @query("raster_bilinear", f"SELECT p.id, round(v.value, 6) AS value FROM {SPOTS} AS p LEFT JOIN {bilinear_sql(SPOTS)} AS v USING (id)")
 def raster_bilinear(spark, sf_dir):
-    return raster.bilinear(spots(spark, sf_dir), cells(spark, sf_dir), GRID).select("id", F.round("value", 6).alias("value"))
+    return raster.bilinear(spots(spark, sf_dir), cells(spark, sf_dir), grid(spark, sf_dir)).select("id", F.round("value", 6).alias("value"))
 
 
 @query("raster_class_at", f"""
-SELECT p.id, c.class_id FROM {SPOTS} AS p LEFT JOIN {CELLS} AS c ON x BETWEEN 500000 AND 501000 AND y BETWEEN 5398500 AND 5400000
- AND c.row = least(floor((5400000e0 - y) / 10)::BIGINT, 149) AND c.col = least(floor((x - 500000e0) / 10)::BIGINT, 99)""")
+SELECT p.id, c.class_id FROM {SPOTS} AS p LEFT JOIN {CELLS} AS c ON x BETWEEN 500000 AND 501000 AND y BETWEEN 5400000 - {ROWS} * 10 AND 5400000
+ AND c.row = least(floor((5400000e0 - y) / 10)::BIGINT, {ROWS} - 1) AND c.col = least(floor((x - 500000e0) / 10)::BIGINT, 99)""")
 def raster_class_at(spark, sf_dir):
-    return raster.nearest(spots(spark, sf_dir), cells(spark, sf_dir), GRID, value="class_id").select("id", F.col("value").alias("class_id"))
+    return raster.nearest(spots(spark, sf_dir), cells(spark, sf_dir), grid(spark, sf_dir), value="class_id").select("id", F.col("value").alias("class_id"))
 
 
-_T = "(SELECT i AS id, 500105e0 + (i % 40) * 7.5e0 + 3.75e0 AS x, 5399800e0 - (i // 40) * 7.5e0 - 3.75e0 AS y FROM range(1600) AS t(i))"
+_T = f"(SELECT i AS id, 500105e0 + (i % 40) * 7.5e0 + 3.75e0 AS x, 5400000e0 - (i // 40) * 7.5e0 - 3.75e0 AS y FROM (SELECT unnest(range({ROWS} * 40)) AS i))"
 
 
 @query("raster_regrid", f"SELECT id // 40 AS row, id % 40 AS col, round(value, 6) AS value FROM {_T} AS t LEFT JOIN {bilinear_sql(_T)} AS v USING (id)")
 def raster_regrid(spark, sf_dir):
-    return raster.regrid(cells(spark, sf_dir), GRID, Grid(40, 40, 500_105.0, 5_399_800.0, 7.5)).select("row", "col", F.round("value", 6).alias("value"))
+    g = grid(spark, sf_dir)
+    return raster.regrid(cells(spark, sf_dir), g, Grid(40, g.height, 500_105.0, 5_400_000.0, 7.5)).select("row", "col", F.round("value", 6).alias("value"))
 
 
 def _side(dx, dy):
@@ -81,7 +88,7 @@ WITH g AS (SELECT p.id, (e.value - w.value) / 10 AS dx, (n.value - s.value) / 10
 SELECT id, round(degrees(atan(sqrt(dx * dx + dy * dy))), 5) AS slope,
  round(CASE WHEN dx IS NULL OR dy IS NULL THEN NULL WHEN dx = 0 AND dy = 0 THEN 180 ELSE fmod(degrees(atan2(-dx, -dy)) + 360, 360) END, 5) AS aspect FROM g""")
 def raster_slope_aspect(spark, sf_dir):
-    found = raster.slope_aspect(spots(spark, sf_dir), cells(spark, sf_dir), GRID, 5.0)
+    found = raster.slope_aspect(spots(spark, sf_dir), cells(spark, sf_dir), grid(spark, sf_dir), 5.0)
     return found.select("id", F.round("slope", 5).alias("slope"), F.round("aspect", 5).alias("aspect"))
 
 
@@ -92,7 +99,7 @@ _ALONG = f"(SELECT id * 100 + i AS id, i, x0 + (x1 - x0) * (i / 24e0) AS x, y0 +
 @query("raster_profile", f"SELECT id // 100 AS id, i::INT AS i, round(distance, 4) AS distance, round(value, 5) AS value FROM {_ALONG} AS a LEFT JOIN {bilinear_sql(_ALONG)} AS v USING (id)")
 def raster_profile(spark, sf_dir):
     lines = table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS id", "500010e0 + s_suppkey AS x0", "5398510e0 + s_suppkey AS y0", "500900e0 - s_suppkey AS x1", "5399900e0 - s_suppkey AS y1")
-    return raster.profile(lines, cells(spark, sf_dir), GRID, 25).select("id", "i", F.round("distance", 4).alias("distance"), F.round("value", 5).alias("value"))
+    return raster.profile(lines, cells(spark, sf_dir), grid(spark, sf_dir), 25).select("id", "i", F.round("distance", 4).alias("distance"), F.round("value", 5).alias("value"))
 
 
 @query("raster_hillshade", f"""
@@ -102,7 +109,7 @@ n AS (SELECT row, col, lag(v, 1, v) OVER (PARTITION BY row ORDER BY col) - lead(
 SELECT row, col, round(0.35 + 0.65 * least(greatest((nx * -0.5 + 20 * 0.7 + nz * 0.5) / sqrt(0.99) / sqrt(nx * nx + 400 + nz * nz), 0), 1), 6) AS shade FROM n""")
 def raster_hillshade(spark, sf_dir):
     filled = cells(spark, sf_dir).select("row", "col", F.coalesce("value", F.lit(0.0)).alias("value"))
-    return raster.hillshade(filled, GRID.pixel).select("row", "col", F.round("shade", 6).alias("shade"))
+    return raster.hillshade(filled, 10.0).select("row", "col", F.round("shade", 6).alias("shade"))
 
 
 @query("raster_statistics", f"SELECT class_id, count(value) AS n_valid, min(value) AS lowest, max(value) AS highest, round(avg(value), 6) AS mean FROM {CELLS} AS c GROUP BY 1")
@@ -122,23 +129,23 @@ for _name, _op, _sql in (("union", masks.union, "UNION"), ("intersect", masks.in
     query(f"mask_{_name}", f"SELECT * FROM {_A} AS a {_sql} SELECT * FROM {_B} AS b")(lambda spark, sf_dir, op=_op: op(*_ab(spark, sf_dir)))
 
 
-@query("mask_invert", f"SELECT i // 100 AS row, i % 100 AS col FROM range(15000) AS t(i) EXCEPT SELECT * FROM {_A} AS a")
+@query("mask_invert", f"SELECT i // 100 AS row, i % 100 AS col FROM (SELECT unnest(range({ROWS} * 100)) AS i) EXCEPT SELECT * FROM {_A} AS a")
 def mask_invert(spark, sf_dir):
-    return masks.invert(_ab(spark, sf_dir)[0], GRID)
+    return masks.invert(_ab(spark, sf_dir)[0], grid(spark, sf_dir))
 
 
 @query("mask_dilate", f"""
 SELECT DISTINCT row + dr AS row, col + dc AS col FROM (SELECT row, col FROM {CELLS} AS c WHERE value > 99) AS a, range(-3, 4) AS r(dr), range(-3, 4) AS q(dc)
-WHERE abs(dr) + abs(dc) <= 3 AND row + dr BETWEEN 0 AND 149 AND col + dc BETWEEN 0 AND 99""")
+WHERE abs(dr) + abs(dc) <= 3 AND row + dr BETWEEN 0 AND {ROWS} - 1 AND col + dc BETWEEN 0 AND 99""")
 def mask_dilate(spark, sf_dir):
-    return masks.dilate(cells(spark, sf_dir).filter("value > 99"), GRID, 25.0)
+    return masks.dilate(cells(spark, sf_dir).filter("value > 99"), grid(spark, sf_dir), 25.0)
 
 
 @query("mask_taller_area", f"SELECT count(*) AS cells, count(*) * 100e0 AS area FROM {CELLS} AS c WHERE value IS NOT NULL AND (col % 7) * 1e0 >= 3")
 def mask_taller_area(spark, sf_dir):
     c = cells(spark, sf_dir)
     surface = c.withColumn("value", F.col("value") + (F.col("col") % 7) * 1.0)
-    return masks.area(masks.taller_than(surface, c.withColumn("value", F.col("value") * 1.0), 2.5), GRID)
+    return masks.area(masks.taller_than(surface, c.withColumn("value", F.col("value") * 1.0), 2.5), grid(spark, sf_dir))
 
 
 _TRACK = "(SELECT user_id AS id, epoch(ts) AS t, value * 1e0 AS x, (event_id % 50) * 2e0 AS y, 100e0 + event_id % 7 AS z, (event_id * 47 % 360) * 1e0 AS yaw, (event_id % 30) - 15e0 AS pitch, (event_id * 91 % 360) - 180e0 AS roll FROM events)"

@@ -6,10 +6,12 @@ Paths are plain paths or URIs of a store that pyarrow reaches. `a.zip!name` is a
 from __future__ import annotations
 
 import struct
+import tempfile
 import uuid
 import zlib
 
 from pyarrow import fs
+from pyspark.sql import SparkSession
 
 #: Bytes that a deflated entry is unpacked by, and of a local header in an archive.
 CHUNK, LOCAL_HEADER = 1 << 20, 30
@@ -166,3 +168,17 @@ def clear(folder: str, suffixes: tuple[str, ...]) -> None:
         for x in system.get_file_info(fs.FileSelector(place)):
             if x.type == fs.FileType.File and x.base_name.lower().endswith(suffixes):
                 system.delete_file(x.path)
+
+
+_own: dict[str, str] = {}
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new folder that driver and executors share, below spark.checkpoint.dir. Only a local master may do without that setting."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        found = _own.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="geoloom-files-")
+        _own[spark.sparkContext.applicationId] = found
+    return f"{found.rstrip('/')}/geoloom-{label}-{uuid.uuid4().hex}"

@@ -9,6 +9,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from geoloom.functions import geodesy
+
 
 def png_grey(grid: np.ndarray) -> bytes:
     """An 8-bit greyscale PNG, stretched between the lowest and highest value; gaps are black."""
@@ -26,6 +28,22 @@ def world_file(origin_x: float, origin_y: float, pixel: float) -> str:
     return "\n".join(f"{v:.10g}" for v in (pixel, 0, 0, -pixel)) + f"\n{origin_x + pixel / 2:.4f}\n{origin_y - pixel / 2:.4f}\n"
 
 
+def projection_file(zone: int = 32) -> str:
+    """The text that names a raster's system beside it: ETRS89 / UTM."""
+    return (f'PROJCS["ETRS89 / UTM zone {zone}N",GEOGCS["ETRS89",DATUM["European_Terrestrial_Reference_System_1989",SPHEROID["GRS 1980",6378137,298.257222101]],PRIMEM["Greenwich",0],'
+            f'UNIT["degree",0.0174532925199433]],PROJECTION["Transverse_Mercator"],PARAMETER["latitude_of_origin",0],PARAMETER["central_meridian",{6 * zone - 183}],PARAMETER["scale_factor",0.9996],'
+            f'PARAMETER["false_easting",500000],PARAMETER["false_northing",0],UNIT["metre",1],AUTHORITY["EPSG","{25800 + zone}"]]')
+
+
+def found_features(finds: DataFrame, epsg: int = 25832) -> DataFrame:
+    """One JSON text per coordinate that was found: a point feature that says where it comes from, how it was read, and its place in a system."""
+    at = geodesy.with_projected(finds, epsg, "lat", "lon", "to_x", "to_y") if epsg != 4326 else finds.withColumns({"to_x": F.col("lon"), "to_y": F.col("lat")})
+    names = F.create_map(*(x for code, name in geodesy.NAMES.items() for x in (F.lit(code), F.lit(name))))
+    at = at.select("lat", "lon", "z", F.col("path").alias("sourcePath"), F.col("raw").alias("sourceRaw"), F.col("epsg").alias("detectedEpsg"), F.try_element_at(names, F.col("epsg")).alias("detectedCrs"),
+                   F.round("confidence", 3).alias("confidence"), F.round("to_x", 3).alias(f"epsg{epsg}_x"), F.round("to_y", 3).alias(f"epsg{epsg}_y"))
+    return geojson_features(at, z="z")
+
+
 def geojson_features(df: DataFrame, lat: str = "lat", lon: str = "lon", z: str | None = None, properties: list[str] | None = None) -> DataFrame:
     """One JSON text per row: a point feature with 8 decimals, a height with 3."""
     point = [F.round(lon, 8), F.round(lat, 8)]
