@@ -196,13 +196,17 @@ def test_toxicity_by_brute_force(spark):
 
 
 def test_long_labelled_rows_take_part(spark):
-    """A text beyond the bound is sampled all over, not left out."""
+    """With their whole texts, wherever the pattern stands."""
     filler = " ".join("".join(random.Random(k).choices("abcdefgh", k=6)) for k in range(40_000))
     long = [f"{filler} {' '.join(f'pfrunk x{k}y' for k in range(400))}" for _ in range(8)]
     rows = [(i, t, 1) for i, t in enumerate(long)] + [(100 + i, " ".join(random.Random(i).choices(filler.split()[:3000], k=60)), 0) for i in range(60)]
     frame = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
     _, toxic, _ = toxicity.fit(frame, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
-    assert len(long[0]) > toxicity.SPREAD * toxicity.SAMPLE_CHARS and b"pfru" in toxic
+    assert len(long[0]) > 160_000 and b"pfru" in toxic
+    late = [(i, f"{filler} {filler} " + " ".join(f"zwox x{k}y" for k in range(100)), 1) for i in range(8)]
+    frame = spark.createDataFrame([(i, t) for i, t, _ in late + rows[8:]], "doc_id long, text string")
+    _, toxic, _ = toxicity.fit(frame, spark.createDataFrame([(i, y) for i, _, y in late + rows[8:]], "doc_id long, toxic int"))
+    assert b"zwox" in toxic
 
 
 # --- lines
