@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geoloom.functions import geodesy, steps
-from geoloom.operators import geometry
+from geoloom.operators import geometry, trajectory
 
 # Named test regions (longitude, latitude).
 REGIONS = {
@@ -52,9 +52,9 @@ def local_to_geo(df: DataFrame, epsg: int = 25832) -> DataFrame:
 
 def named_frames(poses: DataFrame, tag: str, kept: Column | None = None, key: str = "id") -> DataFrame:
     """poses with a name: the tag and the frame's place in its track; frames that are not kept leave their numbers unused."""
-    place = (F.row_number().over(Window.partitionBy(key).orderBy("t")) - 1).cast("string")
-    named = poses.withColumn("name", F.concat(F.lit(f"{tag}_"), place)).withColumn("tag", F.lit(tag))
-    return named if kept is None else named.filter(kept)
+    rows = trajectory.placed(poses.withColumn("__kept", F.lit(True) if kept is None else kept), "t", key)
+    named = rows.withColumn("name", F.concat(F.lit(f"{tag}_"), F.col("place").cast("string"))).withColumn("tag", F.lit(tag)).drop("place")
+    return named.filter("__kept").drop("__kept")
 
 
 def drape_weight(altitude: Column) -> Column:

@@ -90,9 +90,21 @@ def viewer_poses(samples: DataFrame, times: DataFrame, key: str = "id") -> DataF
     return poses_at(samples, times, key).select(key, "t", "x", "y", "z", "q")
 
 
-def timed_by_row(samples: DataFrame, order: str, interval: float, key: str = "id") -> DataFrame:
+def placed(rows: DataFrame, order: str, key: str = "id", per: int = PER_STRETCH) -> DataFrame:
+    """rows with place: their place in the track, from 0, by a number or time. A stretch's places begin where those before it end."""
+    timed = rows.select(*(F.col(f"`{c}`") for c in rows.columns if c != "t"), F.struct(*([F.col("t")] if "t" in rows.columns else [F.lit(0).alias("none")])).alias("__own"), F.col(order).try_cast("double").alias("t"), F.col(order).alias("__order"))
+    parts = _stretched(timed, key, per)
+    before = Window.partitionBy(key).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = parts.groupBy(key, "__part").agg(F.count(F.lit(1)).alias("n"))
+    begin = sizes.select(F.col(key).alias("__key"), F.col("__part").alias("__at"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__begin"))
+    inside = F.row_number().over(Window.partitionBy(key, "__part").orderBy("__order")) - 1
+    both = parts.withColumn("__inside", inside).join(begin, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__part") == F.col("__at")))
+    return both.select(*(F.col("__own.t").alias("t") if c == "t" else F.col(f"`{c}`") for c in rows.columns), (F.col("__begin") + F.col("__inside")).alias("place"))
+
+
+def timed_by_row(samples: DataFrame, order: str, interval: float, key: str = "id", per: int = PER_STRETCH) -> DataFrame:
     """samples of each track with t: the place in the order, times the interval."""
-    return samples.withColumn("t", (F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1) * F.lit(float(interval)))
+    return placed(samples, order, key, per).withColumn("t", F.col("place") * F.lit(float(interval))).drop("place")
 
 
 def _steps(samples: DataFrame, key: str, per: int) -> DataFrame:

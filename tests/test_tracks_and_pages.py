@@ -62,6 +62,18 @@ def test_lengths_in_stretches(spark, per):
     assert {r.id: round(r.length, 9) for r in trajectory.length(frame, per=per).collect()} == {k: round(v, 9) for k, v in so_far.items()}
 
 
+@pytest.mark.parametrize("per", [trajectory.PER_STRETCH, 4])
+def test_places_in_stretches(spark, per):
+    rows = [(i, k * k, -float(k)) for i, n in ((1, 40), (2, 3), (None, 5)) for k in range(n)]
+    got = trajectory.timed_by_row(spark.createDataFrame(rows, "id int, k int, t double").repartition(3), "k", 0.5, per=per).collect()
+    assert sorted((r.id or 0, r.k, r.t) for r in got) == sorted((i or 0, k, math.isqrt(k) * 0.5) for i, k, _ in rows)
+    back = trajectory.placed(spark.createDataFrame(rows, "id int, k int, t double"), "t", per=per)
+    assert back.columns == ["id", "k", "t", "place"] and all(r.k == r.t ** 2 for r in back.collect())
+    poses = spark.createDataFrame(rows[:9], "id int, k int, t double")
+    named = scene.named_frames(poses, "p", F.col("k") % 2 == 0)
+    assert sorted(r.name for r in named.collect()) == sorted(f"p_{8 - k}" for k in range(0, 9, 2))
+
+
 def test_long_tracks_unfold_in_parts(spark, monkeypatch):
     monkeypatch.setattr(trajectory, "PER_STRETCH", 10)
     s = spark.createDataFrame([(1, 0.0), (1, 25.0), (2, 3.0), (3, 0.0), (3, 9.5)], "id int, t double")
