@@ -348,12 +348,11 @@ def add_point(points: DataFrame | None, spark: SparkSession, anchor: tuple[float
 def point_set(scene: Scene, sensor: SensorSpec | None, step: float, track: bool, sight: bool) -> DataFrame:
     """The track's frames, and behind them the places the sensor looks at; frames that look past the ground have none and keep their number."""
     frames, (ax, ay), out = _frames(scene, step), scene.anchor, None
-    base = 0
     named = lambda df, tag: df.withColumns({"name": F.concat(F.lit(f"{tag}_"), F.col("k").cast("string")), "tag": F.lit(tag)})
     if track:
         out = named(frames, "trajectory").select(F.col("k").alias("i"), "name", "tag", (F.col("x") - ax).alias("east"), (F.col("y") - ay).alias("north"), F.col("z").alias("up"), "yaw", "pitch", "roll")
-        base = (frames.agg(F.max("k")).first()[0] or 0) + 1
     if sight and sensor is not None:
+        base = (frames.agg(F.max("k")).first()[0] or 0) + 1 if track else 0
         mount = (sensor.mountYawDeg, sensor.mountPitchDeg, sensor.mountRollDeg)
         rays = sensors.cylinder_rays(frames, 1, 0.0).filter("ray = 0") if SHAPES[sensor.type.lower()] == "cylinder" else sensors.boresight(frames, mount)
         hits = sensors.hit_ground(rays.withColumn("ray_id", F.struct("id", "k")), scene.terrain, scene.grid, sensor.maxRangeMeters).filter("hit_x IS NOT NULL")
@@ -374,11 +373,26 @@ class Result:
     scene: Scene | None = None
 
 
-def plan(spark: SparkSession, doc: Document, base: str) -> Result:
-    """The areas and points that the document asks for, as DataFrames; nothing is written. Areas with one name are united."""
+def _once(df: DataFrame, label: str) -> DataFrame:
+    """df, written to the shared folder: what several outputs read is made once."""
+    path = files.scratch(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def plan(spark: SparkSession, doc: Document, base: str, once: bool = False) -> Result:
+    """The areas and points that the document asks for, as DataFrames; no output is written. Areas with one name are united.
+
+    With `once` the heights, the track, areas and points are tables of the shared folder.
+    """
     if found := faults_of(doc):
         raise ValueError("; ".join(found))
     scene, o = build(spark, doc, base), doc.outputs
+    if once:
+        scene.terrain = _once(scene.terrain, "terrain")
+        scene.samples = None if scene.samples is None else _once(scene.samples, "track")
+    if scene.samples is not None and scene.samples.filter("q IS NOT NULL").isEmpty():
+        scene.samples = scene.samples.drop("q")
     out = Result(scene=scene)
     if (o.coverageGeoTiff or o.unityScene) and scene.samples is not None and doc.sensor is not None:
         out.areas["coverage"] = coverage(scene, doc.sensor, o.frameStepSeconds, o.quality)
@@ -388,6 +402,9 @@ def plan(spark: SparkSession, doc: Document, base: str) -> Result:
         out.areas[a.name] = masks.union(out.areas[a.name], mask) if a.name in out.areas else mask
     if scene.samples is not None:
         out.points = point_set(scene, doc.sensor, o.pointStepSeconds, o.includeTrajectory, o.includeBoresight)
+    if once:
+        out.areas = {name: _once(mask, "area") for name, mask in out.areas.items()}
+        out.points = _once(out.points, "points") if out.points is not None and (o.unityPoints or o.unityScene) else out.points
     return out
 
 
@@ -402,7 +419,7 @@ def sensor_facts(s: SensorSpec) -> dict:
 
 def run(spark: SparkSession, doc: Document, base: str) -> Result:
     """Carries a document out."""
-    out, o = plan(spark, doc, base), doc.outputs
+    out, o = plan(spark, doc, base, once=True), doc.outputs
     scene, resolve = out.scene, lambda p: p if "://" in p or p.startswith("/") else f"{base.rstrip('/')}/{p}"
     epsg = 25800 + scene.zone
     out.log.append(f"Map: {scene.grid.width} x {scene.grid.height} cells")
@@ -421,7 +438,7 @@ def run(spark: SparkSession, doc: Document, base: str) -> Result:
         folder, _, name = resolve(o.unityPoints).rpartition("/")
         made = bundle.write_points(out.points, folder, name, bundle.anchor_facts(spark, scene.anchor, scene.zone))
         out.written += [f"{folder}/{r['name']}" for r in made]
-        out.log.append(f"Points: {out.points.count()}")
+        out.log.append(f"Points: {sum(r['bytes'] for r in made)} bytes in {len(made)} files")
     if o.unityScene:
         out.written += bundle.write_bundle(resolve(o.unityScene), scene.terrain, scene.grid, scene.anchor, scene.zone, list(out.areas.items()), scene.samples, out.points, sensor_facts(doc.sensor) if doc.sensor else None)
     return out

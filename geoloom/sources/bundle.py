@@ -78,8 +78,8 @@ def _grids(folder: str, job: str, names: list[str], width: int, height: int, ban
     return run
 
 
-def _lists(folder: str, job: str, name: str, parts: int, head: str):
-    """Writes one JSON file per part: the head, and an array of the rows' texts."""
+def _lists(folder: str, job: str, head: str):
+    """Writes one JSON file per part: the head, and an array of the rows' texts. The files get their names when all are known."""
 
     def run(batches):
         made, now, held = [], None, []
@@ -92,7 +92,7 @@ def _lists(folder: str, job: str, name: str, parts: int, head: str):
         def close():
             if now is not None:
                 temp = files.hidden(folder, job)
-                made.append((now, part_name(name, now, parts), temp, files.write(temp, texts())))
+                made.append((now, "", temp, files.write(temp, texts())))
                 held.clear()
 
         for batch in batches:
@@ -100,8 +100,7 @@ def _lists(folder: str, job: str, name: str, parts: int, head: str):
                 if part != now:
                     close()
                     now = part
-                if text is not None:
-                    held.append(text.encode())
+                held.append(text.encode())
         close()
         yield pa.RecordBatch.from_arrays([pa.array([m[k] for m in made], t) for k, t in enumerate((pa.int64(), pa.string(), pa.string(), pa.int64()))], ["part", "name", "temp", "bytes"])
 
@@ -138,20 +137,27 @@ def anchor_facts(spark: SparkSession, anchor: tuple[float, float], zone: int) ->
     return {"utmEasting": anchor[0], "utmNorthing": anchor[1], "utmZone": zone, "epsg": epsg, "latitude": round(at["lat"], 8), "longitude": round(at["lon"], 8)}
 
 
-def _stage(rows: DataFrame, order: list[str], run) -> list:
-    """Writes parts; returns part, name, temp and bytes of each. Only names come to the driver."""
-    return rows.repartition(*order[:-1] or order).sortWithinPartitions(*order).mapInArrow(run, WRITTEN).collect()
+def _stage(rows: DataFrame, order: list[str], run) -> list[dict]:
+    """Writes parts; returns part, name, temp and bytes of each, in order. Only names come to the driver."""
+    made = rows.repartition(*order[:-1] or order).sortWithinPartitions(*order).mapInArrow(run, WRITTEN).collect()
+    return sorted((r.asDict() for r in made), key=lambda r: (r["name"], r["part"]))
+
+
+def _list_files(texts: DataFrame, order: str, folder: str, job: str, name: str, head: str) -> list[dict]:
+    """Stages the files of a list (text, part and what orders it); one without rows where there are none."""
+    made = _stage(texts, ["part", order], _lists(folder, job, head))
+    if not made:
+        temp = files.hidden(folder, job)
+        made = [{"temp": temp, "bytes": files.write(temp, [head.encode(), b"]}\n"])}]
+    return [r | {"part": k, "name": part_name(name, k, len(made))} for k, r in enumerate(made)]
 
 
 def write_points(points: DataFrame, folder: str, name: str, anchor: dict, job: str | None = None, most: int = MOST_ROWS, publish: bool = True) -> list:
     """Writes points (i, name, tag, east, north, up, yaw, pitch, roll) as JSON."""
     job = job or uuid.uuid4().hex
     texts = point_texts(points).withColumn("part", F.floor(F.col("i") / most))
-    top = texts.agg(F.max("part")).first()[0]
-    if top is None:
-        texts, top = points.sparkSession.createDataFrame([(0, None, 0)], "i long, text string, part long"), 0
     head = json.dumps({"anchor": {**anchor, "frame": FRAME}})[:-1] + ', "points": ['
-    made = _stage(texts, ["part", "i"], _lists(folder, job, name, int(top) + 1, head))
+    made = _list_files(texts, "i", folder, job, name, head)
     if publish:
         files.publish([(r["temp"], f"{folder.rstrip('/')}/{r['name']}") for r in made])
         files.discard(folder, job)
@@ -182,15 +188,14 @@ def write_bundle(folder: str, cells: DataFrame, grid: Grid, anchor: tuple[float,
         anchored = anchor_facts(spark, anchor, zone)
         if samples is not None:
             texts = sample_texts(samples, anchor)
-            t0, t1, n = texts.agg(F.min("t"), F.max("t"), F.count(F.lit(1))).first()
-            count = max(1, -(-n // most_rows)) if n and t1 > t0 else 1
+            t0, t1, n = samples.agg(F.min("t"), F.max("t"), F.count(F.lit(1))).first()
+            count = -(-n // most_rows) if n and t1 > t0 else 1
             part = F.least(F.floor((F.col("t") - F.lit(t0)) / F.lit(t1 - t0) * count), F.lit(count - 1)) if count > 1 else F.lit(0).cast("long")
-            texts = texts.withColumn("part", part) if n else spark.createDataFrame([(0.0, None, 0)], "t double, text string, part long")
-            made += _stage(texts, ["part", "t"], _lists(folder, job, TRACK, count, '{"samples": ['))
-            track_file = part_name(TRACK, 0, count)
+            own = _list_files(texts.withColumn("part", part), "t", folder, job, TRACK, '{"samples": [')
+            made, track_file = made + own, own[0]["name"]
         if points is not None:
             own = write_points(points, folder, POINTS, anchored, job, most_rows, publish=False)
-            made, points_file = made + own, part_name(POINTS, 0, len(own))
+            made, points_file = made + own, own[0]["name"]
         listed = lambda name: [r["name"] for r in sorted(made, key=lambda r: r["part"]) if r["name"] in (name, part_name(name, r["part"], 2))]
         several = lambda name, one: {} if len(listed(name)) < 2 else {one: listed(name)}
         x, y = grid.origin_x + 0.5 * grid.pixel - anchor[0], grid.origin_y - 0.5 * grid.pixel - anchor[1]
