@@ -142,11 +142,14 @@ def plain_shards(rows, dims, shards):
     return out
 
 
-@pytest.mark.parametrize("finish,buckets", [(sharding.FINISH, sharding.BUCKETS), (3, 4000)], ids=["as_it_is", "many_steps"])
-@pytest.mark.parametrize("rows", [
-    [], sample(400), [(7, "w " * 30, "en", "s", 9)] * 150 + sample(80), [(1, "a", "en", "s", 1), (2, None, None, None, None)],
-    [(i, "é" * (40_000 if i == 3 else 5), "en", "s", None) for i in range(60)],
-], ids=["empty", "several", "repeated", "fewer_than_shards", "long"])
+COPIES = [(7, "w " * 30, "en", "s", 9)] * 150
+WHOLE, STEPS = (sharding.FINISH, sharding.BUCKETS), (3, 4000)
+
+
+@pytest.mark.parametrize("rows,finish,buckets", [
+    ([], *WHOLE), (sample(400), *WHOLE), (sample(200), *STEPS), (COPIES + sample(80), *STEPS), ([(1, "a", "en", "s", 1), (2, None, None, None, None)], *WHOLE),
+    ([(i, "é" * (40_000 if i == 3 else 5), "en", "s", None) for i in range(60)], *WHOLE),
+], ids=["empty", "several", "in_many_steps", "repeated", "fewer_than_shards", "long"])
 def test_shards_are_those_of_a_plain_tree(spark, rows, finish, buckets):
     weights = sharding.weighed(docs(spark, rows))
     got = sharding.kd_shards(weights, DIMS, shards=12, finish=finish, buckets=buckets).collect()
