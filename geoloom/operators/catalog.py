@@ -23,6 +23,13 @@ SURFACES = ["dom1", "dom20", "bdom"]
 
 # Addresses of datasets whose tiles have one file each: the file (%d: kilometres east, then north), and the folders it lies in.
 ADDRESSES = {
+    ("by", "dgm1"): ("%d_%d.tif", ["https://download1.bayernwolke.de/a/dgm/dgm1/", "https://download2.bayernwolke.de/a/dgm/dgm1/"]),
+    ("by", "dgm5"): ("%d_%d.zip", ["https://download1.bayernwolke.de/a/dgm/dgm5xyz/", "https://download2.bayernwolke.de/a/dgm/dgm5xyz/"]),
+    ("by", "dom20"): ("32%d_%d_20_DOM.tif", ["https://download1.bayernwolke.de/a/dom20/DOM/", "https://download2.bayernwolke.de/a/dom20/DOM/"]),
+    ("by", "dop20"): ("32%d_%d.tif", ["https://download1.bayernwolke.de/a/dop20/data/", "https://download2.bayernwolke.de/a/dop20/data/"]),
+    ("by", "dop40"): ("32%d_%d.tif", ["https://download1.bayernwolke.de/a/dop40/data/", "https://download2.bayernwolke.de/a/dop40/data/"]),
+    ("by", "lod2"): ("%d_%d.gml", ["https://download1.bayernwolke.de/a/lod2/citygml/", "https://download2.bayernwolke.de/a/lod2/citygml/"]),
+    ("by", "laser"): ("32%d_%d.laz", ["https://download1.bayernwolke.de/a/laser/data/", "https://download2.bayernwolke.de/a/laser/data/"]),
     ("be", "dgm1"): ("DGM1_%d_%d.zip", ["https://gdi.berlin.de/data/dgm1/atom/"]),
     ("be", "dom1"): ("DOM1_%d_%d.zip", ["https://gdi.berlin.de/data/dom/atom/"]),
     ("be", "dop20rgbi"): ("dop20rgbi_33_%d_%d_2_be_2026.jp2", ["https://gdi.berlin.de/data/oi_dop2026/atom/"]),
@@ -55,6 +62,10 @@ SURVEYS = {
     ("th", "dgm1"): ["https://geoportal.geoportal-th.de/hoehendaten/DGM/dgm_2020-2025/dgm1_32_%d_%d_1_th_2020-2025.zip", "https://geoportal.geoportal-th.de/hoehendaten/DGM/dgm_2014-2019/dgm1_%d_%d_1_th_2014-2019.zip"],
     ("th", "dom1"): ["https://geoportal.geoportal-th.de/hoehendaten/DOM/dom_2020-2025/dom1_32_%d_%d_1_th_2020-2025.zip", "https://geoportal.geoportal-th.de/hoehendaten/DOM/dom_2014-2019/dom1_%d_%d_1_th_2014-2019.zip"],
 }
+# Datasets whose tiles have another size in km than their state's.
+GRIDS = {("by", "lod2"): 2, ("th", "lod2"): 2, ("be", "lod2"): 1, ("rp", "dop20rgb"): 2, ("rp", "lod2"): 2}
+# Megabytes of a tile on average, where they are known.
+TILE_MB = {("by", "dgm1"): 4.0, ("by", "dgm5"): 0.8, ("by", "dom20"): 44.0, ("by", "dop20"): 300.0, ("by", "dop40"): 75.0, ("by", "lod2"): 50.0, ("by", "laser"): 800.0}
 # How a tile's entry is named in a state's archives; %s is the dataset.
 ENTRIES = {"hh": "%s_32_%d_%d_1_hh.tif", "he": "%s_32_%d_%d_1_he.tif", "sl": "%s_32_%d_%d_1_SL.tif", "hb": "%s_32%03d_%04d_1_hb.xyz"}
 
@@ -78,6 +89,30 @@ def state_jobs(tiles_: DataFrame, state: str, dataset: str) -> DataFrame:
     return tiles_.select("east_km", "north_km", file.alias("file"), F.array(*(F.concat(F.lit(d), file) for d in folders)).alias("mirrors"))
 
 
+def grid_km(state: str, dataset: str) -> int:
+    """Edge of a dataset's tiles; states that deliver by odd and even kilometres have jobs for each kilometre."""
+    return GRIDS.get((state, dataset)) or (1 if state == "bw" else next(g for s, _, g, _ in STATES if s == state))
+
+
+def area_jobs(areas: DataFrame, state: str, dataset: str) -> DataFrame:
+    """One job per file that any of the areas (min_x, min_y, max_x, max_y) needs: its tile, file, mirrors and megabytes (null where unknown)."""
+    t = tiles.covering_tiles(areas, grid_km(state, dataset)).select("east_km", "north_km")
+    if state == "bw":
+        e, n = delivery_cell(F.col("east_km"), F.col("north_km"))
+        t = t.select(e.alias("east_km"), n.alias("north_km"))
+    return state_jobs(t.distinct(), state, dataset).withColumn("megabytes", F.lit(TILE_MB.get((state, dataset))).cast("double"))
+
+
+def height_dataset(state: str, dataset: str) -> str:
+    """The dataset's own name if the state has heights under it, in any case of letters; a ValueError that names the right ones otherwise."""
+    known = next((d for s, _, _, d in STATES if s == state.lower()), None)
+    if known is None:
+        raise ValueError(f"there is no state {state}")
+    if dataset.lower() not in known:
+        raise ValueError(f"{dataset} holds no heights of {state}; those are {', '.join(known)}")
+    return dataset.lower()
+
+
 def entry_name(state: str, dataset: str, east_km: Column, north_km: Column) -> Column:
     return F.format_string(ENTRIES[state], F.lit(dataset), east_km.cast("int"), north_km.cast("int"))
 

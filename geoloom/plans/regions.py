@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from geoloom.functions import geodesy, steps
+from geoloom.functions import addresses, geodesy, steps
 from geoloom.operators import archive, catalog, geometry, jsoncoords, raster, scene, trajectory
 from geoloom.operators.raster import Grid
 from geoloom.plans.points import POINTS, points, table
@@ -381,6 +381,61 @@ def catalog_stac_jobs(spark, sf_dir):
     return jobs.join(after, "id").select("id", "file", "url", F.col("href").alias("next"))
 
 
+_RAW = [d for s, d in sorted(catalog.ADDRESSES) if s == "by"]
+
+
+def _area_sql(dataset: str) -> str:
+    size, (pattern, folders) = catalog.grid_km("by", dataset), catalog.ADDRESSES["by", dataset]
+    axis = lambda lo, hi: f"unnest(range(floor({lo} / {size * 1000}e0)::BIGINT, ceil({hi} / {size * 1000}e0)::BIGINT))"
+    tiles = f"SELECT DISTINCT (x * {size})::INT AS e, (y * {size})::INT AS n FROM {_AREAS} AS a, {axis('min_x', 'max_x')} AS u(x), {axis('min_y', 'max_y')} AS v(y)"
+    return f"SELECT '{dataset}' AS dataset, e AS east_km, n AS north_km, '{folders[0]}' || printf('{pattern}', e, n) AS first_mirror, '{folders[1]}' || printf('{pattern}', e, n) AS second_mirror, {catalog.TILE_MB['by', dataset]}e0 AS megabytes FROM ({tiles}) AS t"
+
+
+@query("catalog_area_jobs", " UNION ALL ".join(map(_area_sql, _RAW)))
+def catalog_area_jobs(spark, sf_dir):
+    """The files of seven datasets that the areas of all suppliers need, with their sizes."""
+    found = None
+    for dataset in _RAW:
+        own = catalog.area_jobs(_areas(spark, sf_dir), "by", dataset).select(
+            F.lit(dataset).alias("dataset"), "east_km", "north_km", F.get("mirrors", F.lit(0)).alias("first_mirror"), F.get("mirrors", F.lit(1)).alias("second_mirror"), "megabytes")
+        found = own if found is None else found.unionByName(own)
+    return found
+
+
+# Credentials are put into the pages' addresses: none, a user, a password with escapes, one with colons and an @; some lose their scheme.
+_USERS = ["", "anna@", "b%40b:p%3Ass+1@", "c:a:b@c@", "", "d:@"]
+_WRITTEN = f"(SELECT page_id, ' ' || CASE WHEN page_id % 5 = 0 THEN '' ELSE 'https://' END || [{', '.join(repr(u) for u in _USERS)}][page_id % 6 + 1] || split_part(url, '://', 2) || '// ' AS u FROM pages)"
+
+
+@query("address_credentials", f"""
+WITH t AS (SELECT page_id, u, CASE WHEN contains(trim(u), '://') THEN rtrim(trim(u), '/') ELSE 'http://' || rtrim(trim(u), '/') END AS w FROM {_WRITTEN} AS p),
+s AS (SELECT *, strpos(w, '://') + 2 AS k, length(w) - strpos(reverse(w), '@') + 1 AS cut, contains(w, '@') AS named FROM t),
+c AS (SELECT *, substr(w, k + 1, cut - k - 1) AS creds FROM s)
+SELECT page_id, CASE WHEN named THEN substr(w, 1, k) || substr(w, cut + 1) ELSE w END AS address, CASE WHEN named THEN url_decode(split_part(creds, ':', 1)) END AS "user",
+ CASE WHEN named AND contains(creds, ':') THEN url_decode(substr(creds, strpos(creds, ':') + 1)) END AS password,
+ CASE WHEN named THEN substr(w, 1, k) || '***:***@' || substr(w, cut + 1) ELSE w END AS masked, list_last(string_split(w, '/')) AS last FROM c""")
+def address_credentials(spark, sf_dir):
+    """The addresses of all pages with credentials put in, split again, and as they may be logged."""
+    user = F.element_at(F.array(*(F.lit(u) for u in _USERS)), (F.col("page_id") % 6 + 1).cast("int"))
+    scheme = F.when(F.col("page_id") % 5 == 0, F.lit("")).otherwise(F.lit("https://"))
+    pages = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit(" "), scheme, user, F.split_part("url", F.lit("://"), F.lit(2)), F.lit("// ")).alias("u"))
+    whole = addresses.with_scheme(F.col("u"))
+    return pages.select("page_id", addresses.split_credentials(F.col("u")).alias("s"), addresses.masked(whole).alias("masked"), addresses.last_segment(whole).alias("last")).select("page_id", "s.*", "masked", "last")
+
+
+_KINDS = "CASE o_orderkey % 7 WHEN 0 THEN 'SSL' WHEN 1 THEN 'timeout' WHEN 2 THEN 'host' WHEN 3 THEN 'socket' WHEN 4 THEN 'answer' END"
+
+
+@query("transfer_failures", f"""
+WITH o AS (SELECT o_orderpriority AS p, {_KINDS} AS k, CASE WHEN o_orderkey % 3 = 0 THEN 400 + o_custkey % 20 END AS s, 'message ' || o_custkey % 1000 AS t FROM orders)
+SELECT p AS priority, CASE WHEN coalesce(s = 407, FALSE) OR contains(t, '407') THEN 'PROXY_AUTH' WHEN k = 'SSL' THEN 'SSL' WHEN k = 'timeout' THEN 'TIMEOUT' WHEN k = 'host' THEN 'DNS' WHEN k = 'socket' THEN 'PROXY'
+ WHEN s IS NOT NULL THEN 'HTTP' ELSE 'OTHER' END AS code, count(*) AS n FROM o GROUP BY 1, 2""")
+def transfer_failures(spark, sf_dir):
+    """What failed transfers died of, counted by priority."""
+    o = table(spark, sf_dir, "orders").selectExpr("o_orderpriority AS priority", f"{_KINDS} AS kind", "CASE WHEN o_orderkey % 3 = 0 THEN 400 + o_custkey % 20 END AS status", "concat('message ', o_custkey % 1000) AS text")
+    return o.groupBy("priority", addresses.failure_code(F.col("kind"), F.col("status"), F.col("text")).alias("code")).agg(F.count(F.lit(1)).alias("n"))
+
+
 # --- written angles
 
 

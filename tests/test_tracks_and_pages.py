@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from geoloom.functions import addresses
 from geoloom.operators import catalog, jsoncoords, scene, trajectory
 from geoloom.sources import formats
 
@@ -125,3 +126,35 @@ def test_folders_at_any_depth(spark):
     got = catalog.category_archives(spark.createDataFrame(pages, "path string, value string"), "top", "https://h.org")
     assert sorted(r.url for r in got.collect()) == sorted([f"https://h.org/{k}.zip" for k in range(100)] + ["https://h.org/last.zip", "https://other.org/x.zip"])
     assert catalog.category_archives(spark.createDataFrame([], "path string, value string"), "top", "h").count() == 0
+
+
+def test_credentials(spark):
+    cases = {
+        None: (None, None, None, None), "": ("", None, None, ""), "  proxy:8080// ": ("http://proxy:8080", None, None, "  proxy:8080// "),
+        "http://u:p@h/": ("http://h", "u", "p", "http://***:***@h/"), "https://u@h": ("https://h", "u", None, "https://***:***@h"),
+        "http://a%40b:p%3A+%2B:q@c@h:1": ("http://h:1", "a@b", "p:++:q@c", "http://***:***@h:1"), "u:p@h": ("http://h", "u", "p", "u:p@h"),
+        "http://h/x://y": ("http://h/x://y", None, None, "http://h/x://y"), "http://u:%zz@h": ("http://h", "u", "%zz", "http://***:***@h"), "http://:@h": ("http://h", "", "", "http://***:***@h"),
+    }
+    rows = spark.createDataFrame([(k,) for k in cases], "u string")
+    got = rows.select("u", addresses.split_credentials(F.col("u")).alias("s"), addresses.masked(F.col("u")).alias("m")).select("u", "s.*", "m").collect()
+    assert {r.u: tuple(r)[1:] for r in got} == cases
+
+
+def test_failure_codes(spark):
+    rows = [("SSL", None, None), ("ssl", None, "got 407"), ("timeout", 500, "x"), ("host", None, None), ("Socket", None, ""), (None, 404, None), (None, None, None), (None, 407, None)]
+    df = spark.createDataFrame(rows, "k string, s int, t string")
+    assert [r[0] for r in df.select(addresses.failure_code(F.col("k"), F.col("s"), F.col("t"))).collect()] == ["SSL", "PROXY_AUTH", "TIMEOUT", "DNS", "PROXY", "HTTP", "OTHER", "PROXY_AUTH"]
+
+
+def test_jobs_of_areas_and_height_datasets(spark):
+    areas = spark.createDataFrame([(691_500.0, 5_333_200.0, 692_500.0, 5_333_900.0), (691_900.0, 5_333_300.0, 692_100.0, 5_333_400.0)], "min_x double, min_y double, max_x double, max_y double")
+    of = lambda s, d: sorted((r.file, r.megabytes) for r in catalog.area_jobs(areas, s, d).collect())
+    assert of("by", "laser") == [("32691_5333.laz", 800.0), ("32692_5333.laz", 800.0)]
+    assert of("by", "lod2") == [("690_5332.gml", 50.0), ("692_5332.gml", 50.0)]
+    # Both kilometres lie in one odd and even cell each: 691 and, for 692, 691 again.
+    assert of("bw", "dgm1") == [("dgm1_32_691_5332_2_bw.zip", None)]
+    assert catalog.area_jobs(areas.limit(0), "by", "dgm1").count() == 0
+    assert catalog.height_dataset("BY", "DGM5") == "dgm5"
+    for state, dataset in (("sh", "dom1"), ("xx", "dgm1")):
+        with pytest.raises(ValueError):
+            catalog.height_dataset(state, dataset)
