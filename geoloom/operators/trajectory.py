@@ -159,7 +159,7 @@ def rotate(q: Column, vx, vy, vz) -> tuple[Column, Column, Column]:
 
 
 def with_euler(df: DataFrame, q: str = "q", yaw: str = "yaw", pitch: str = "pitch", roll: str = "roll") -> DataFrame:
-    """Angles of a body-to-scene quaternion; roll is 0 when it looks straight up or down."""
+    """Angles of a body-to-scene quaternion, yaw and roll above -180 up to 180; roll is 0 when it looks straight up or down."""
     fx, fy, fz = rotate(F.col(q), 0, 1, 0)
     ux, uy, uz = rotate(F.col(q), 0, 0, 1)
     df = df.withColumns({"t_fx": fx, "t_fy": fy, "t_fz": fz, "t_ux": ux, "t_uy": uy, "t_uz": uz})
@@ -167,9 +167,11 @@ def with_euler(df: DataFrame, q: str = "q", yaw: str = "yaw", pitch: str = "pitc
     rx, ry = F.col("t_fy") / flat, -F.col("t_fx") / flat
     # Up without roll: right x forward.
     upx, upy, upz = ry * F.col("t_fz"), -rx * F.col("t_fz"), rx * F.col("t_fy") - ry * F.col("t_fx")
+    # Half a turn is 180 on whichever side of it rounding has put the arc.
+    half = lambda v: F.when(v < -180.0 + 1e-9, v + 360.0).otherwise(v)
     banked = F.degrees(F.atan2(F.col("t_ux") * rx + F.col("t_uy") * ry, F.col("t_ux") * upx + F.col("t_uy") * upy + F.col("t_uz") * upz))
-    df = df.withColumns({yaw: F.degrees(F.atan2("t_fx", "t_fy")), pitch: F.degrees(F.asin(F.least(F.greatest(F.col("t_fz"), F.lit(-1.0)), F.lit(1.0)))),
-                         roll: F.when(flat < 1e-6, 0.0).otherwise(banked)})
+    df = df.withColumns({yaw: half(F.degrees(F.atan2("t_fx", "t_fy"))), pitch: F.degrees(F.asin(F.least(F.greatest(F.col("t_fz"), F.lit(-1.0)), F.lit(1.0)))),
+                         roll: F.when(flat < 1e-6, 0.0).otherwise(half(banked))})
     return df.drop("t_fx", "t_fy", "t_fz", "t_ux", "t_uy", "t_uz")
 
 
