@@ -74,11 +74,18 @@ def poses_at(samples: DataFrame, times: DataFrame, key: str = "id", per: int = P
     found = found.select(key, "t", F.coalesce("a", "b").alias("a"), F.coalesce("b", "a").alias("b"))
     a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
     span = b("t") - a("t")
-    part = F.when(span > 0, (F.col("t") - a("t")) / span).otherwise(0.0)
+    dot = _dot(a("q"), b("q")) if "q" in own else F.lit(None).cast("double")
+    # Unpacked by generators, so that no angle is put into every field that is made of it.
+    found = found.select(key, "t", "a", "b", F.inline(F.array(F.struct(F.when(span > 0, (F.col("t") - a("t")) / span).otherwise(0.0).alias("__part"), dot.alias("__dot")))))
+    part = F.col("__part")
     line = lambda c: (a(c) + (b(c) - a(c)) * part).alias(c)
     arc = lambda c: turn_between(a(c), b(c), part).alias(c)
-    turned = [F.when(a("q").isNotNull() & b("q").isNotNull(), slerp(a("q"), b("q"), part)).alias("q")] if "q" in own else []
-    return found.select(key, "t", line("x"), line("y"), line("z"), arc("yaw"), line("pitch"), arc("roll"), *turned)
+    if "q" not in own:
+        return found.select(key, "t", line("x"), line("y"), line("z"), arc("yaw"), line("pitch"), arc("roll"))
+    u, v = _arc_weights(F.col("__dot"), part)
+    found = found.select("*", F.inline(F.array(F.struct(u.alias("__u"), v.alias("__v")))))
+    turned = F.when(a("q").isNotNull() & b("q").isNotNull(), quaternion(*(F.col("__u") * a("q")[c] + F.col("__v") * b("q")[c] for c in "xyzw")))
+    return found.select(key, "t", line("x"), line("y"), line("z"), arc("yaw"), line("pitch"), arc("roll"), turned.alias("q"))
 
 
 def viewer_poses(samples: DataFrame, times: DataFrame, key: str = "id") -> DataFrame:
@@ -175,11 +182,19 @@ def with_euler(df: DataFrame, q: str = "q", yaw: str = "yaw", pitch: str = "pitc
     return df.drop("t_fx", "t_fy", "t_fz", "t_ux", "t_uy", "t_uz")
 
 
-def slerp(p: Column, q: Column, t: Column) -> Column:
-    """Along the shorter great arc; nearly equal rotations are mixed in a straight line."""
-    dot = p["x"] * q["x"] + p["y"] * q["y"] + p["z"] * q["z"] + p["w"] * q["w"]
+def _dot(p: Column, q: Column) -> Column:
+    return p["x"] * q["x"] + p["y"] * q["y"] + p["z"] * q["z"] + p["w"] * q["w"]
+
+
+def _arc_weights(dot: Column, t: Column) -> tuple[Column, Column]:
+    """Shares of two rotations between which lies one at t; nearly equal ones are mixed in a straight line."""
     sign, near = F.when(dot < 0, -1.0).otherwise(1.0), F.abs(dot) > 1.0 - 1e-6
     angle = F.acos(F.least(F.abs(dot), F.lit(1.0)))
     a = F.when(near, 1.0 - t).otherwise(F.sin((1.0 - t) * angle) / F.sin(angle))
-    b = F.when(near, t).otherwise(F.sin(t * angle) / F.sin(angle)) * sign
+    return a, F.when(near, t).otherwise(F.sin(t * angle) / F.sin(angle)) * sign
+
+
+def slerp(p: Column, q: Column, t: Column) -> Column:
+    """Along the shorter great arc; nearly equal rotations are mixed in a straight line."""
+    a, b = _arc_weights(_dot(p, q), t)
     return quaternion(*(a * p[c] + b * q[c] for c in "xyzw"))
