@@ -180,8 +180,9 @@ _RING = [(600000, 5300000), (760000, 5310000), (740000, 5480000), (680000, 54000
 def polygon_contains(spark, sf_dir):
     # x and y come out of a generator, so that the filter does not copy the projection into every edge.
     at = geodesy.with_projected(points(spark, sf_dir), 25832).select("id", F.inline(F.array(F.struct("x", "y"))))
-    at = at.withColumn("ring", geometry.ring_from_wkt(F.lit(WKT)))
-    return at.filter(geometry.polygon_contains(F.col("ring"), F.col("x"), F.col("y"))).select("id")
+    # The one polygon is read once: as an expression its text would be parsed for every point.
+    ring = geometry.ring_from_points([(p["x"], p["y"]) for p in spark.range(1).select(geometry.ring_from_wkt(F.lit(WKT)).alias("r")).first()["r"]])
+    return at.filter(geometry.polygon_contains(ring, F.col("x"), F.col("y"))).select("id")
 
 
 def _contains_sql(x, y):

@@ -36,3 +36,10 @@ def test_angles_of_frames_are_worked_out_once(spark):
     assert 0 < plan_of(got).upper().count("ACOS(") <= 4
     for r in got.collect():
         assert abs(r.sine + math.sin(math.radians(r.t * 40))) < 1e-9 and abs(r.cosine - math.cos(math.radians(r.t * 40))) < 1e-9
+
+
+def test_the_polygon_is_read_once(spark, tmp_path):
+    spark.sql("SELECT id AS c_custkey FROM range(400)").write.parquet(f"{tmp_path}/customer.parquet")
+    got = points.polygon_contains(spark, str(tmp_path))
+    assert "regexp_extract" not in plan_of(got)
+    assert 0 < got.count() < 400
