@@ -32,6 +32,8 @@ Z = ["z", "alt", "altitude", "height", "hoehe", "höhe", "ele", "elevation"]
 
 # Lengths of texts that may be a coordinate, and the confidence of named and of written angles.
 TEXT_LENGTHS, NAMED_ANGLES, WRITTEN_ANGLES = (3, 200), 0.95, 0.9
+#: Tasks that documents are dealt to, for each core.
+PER_CORE = 4
 
 
 @dataclass(frozen=True)
@@ -188,7 +190,9 @@ def candidates(containers: DataFrame, names: dict[str, list[str]]) -> DataFrame:
 def find_coordinates(docs: DataFrame, id_col: str = "id", json_col: str = "json", options: Options = Options()) -> DataFrame:
     """id, path, raw, kind, z, epsg, lat, lon and confidence of each find."""
     kind = docs.schema[id_col].dataType.simpleString()
-    unfolded = docs.select(F.col(id_col).alias("id"), tolerant(F.col(json_col)).alias("json")).mapInArrow(_unfold, f"id {kind}, {CONTAINERS}")
+    # Documents are little to read and much to work on: they are dealt to all cores, however few files they come from.
+    spread = docs.select(F.col(id_col).alias("id"), F.col(json_col).alias("json")).repartition(PER_CORE * docs.sparkSession.sparkContext.defaultParallelism)
+    unfolded = spread.select("id", tolerant(F.col("json")).alias("json")).mapInArrow(_unfold, f"id {kind}, {CONTAINERS}")
     ranked = detection.best_reading(candidates(unfolded, options.names()), "a", "b", options.region)
     epsg, lat, lon, conf = (F.col(c) for c in ("epsg", "lat", "lon", "confidence"))
     if options.assume_epsg:

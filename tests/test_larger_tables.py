@@ -43,3 +43,10 @@ def test_the_polygon_is_read_once(spark, tmp_path):
     got = points.polygon_contains(spark, str(tmp_path))
     assert "regexp_extract" not in plan_of(got)
     assert 0 < got.count() < 400
+
+
+def test_documents_of_one_file_are_dealt_to_all_cores(spark):
+    docs = spark.range(0, 40, 1, 1).selectExpr("id", """concat('{"site": {"lat": 48.', id, ', "lon": 11.5}}') AS json""")
+    found = jsoncoords.find_coordinates(docs)
+    assert found.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert sorted(r.id for r in found.collect()) == list(range(40))
