@@ -22,6 +22,8 @@ REGIONS = {
 DRAPE = ((100.0, 0.6), (1000.0, 0.15))
 # The path of an S through a box has so many points, at this height, and swings so far from its middle.
 S_POINTS, S_HEIGHT, S_SWING = 30, 1500.0, 0.4
+#: Parts of a grid cell's points, and tasks that all points are dealt to, for each core, before they are compared with blocks.
+SPREAD, PER_CORE = 8, 4
 
 
 def regions(spark: SparkSession) -> DataFrame:
@@ -110,16 +112,39 @@ def box_union(boxes: DataFrame, epsg: int, others: list[int]) -> DataFrame:
     return same.agg(F.min("x").alias("min_x"), F.min("y").alias("min_y"), F.max("x").alias("max_x"), F.max("y").alias("max_y"), moved.cast("long").alias("n_moved"), unnamed.cast("long").alias("n_unnamed"))
 
 
-def blocks_of_points(points: DataFrame, blocks: DataFrame, cell: float) -> DataFrame:
-    """points with the name of the first block (by `rank`) whose ring holds them, null where none does.
+def blocks_in_cells(blocks: DataFrame, cell: float) -> DataFrame:
+    """The blocks (rank, name, ring and its bounds) that may be the first one of a point in each grid cell (__cx, __cy).
 
-    Points and blocks meet in grid cells, so every block is compared with near points only.
+    Of a cell's blocks those behind the first one that covers the whole cell hold none of its points first, and are left out.
     """
     low, high = (lambda c: F.array_min(F.transform("ring", lambda p: p[c]))), (lambda c: F.array_max(F.transform("ring", lambda p: p[c])))
     dealt = blocks.withColumn("__cx", F.explode(F.sequence(F.floor(low("x") / cell), F.floor(high("x") / cell))))
     dealt = dealt.withColumn("__cy", F.explode(F.sequence(F.floor(low("y") / cell), F.floor(high("y") / cell))))
-    at = points.withColumns({"__cx": F.floor(F.col("x") / cell), "__cy": F.floor(F.col("y") / cell)})
-    met = at.join(dealt.select("__cx", "__cy", "rank", "name", "ring"), ["__cx", "__cy"]).filter(geometry.polygon_contains(F.col("ring"), F.col("x"), F.col("y")))
+    dealt = dealt.select("__cx", "__cy", "rank", "name", "ring", *(f(c).alias(f"__{n}{c}") for n, f in (("low", low), ("high", high)) for c in "xy"))
+    # Dealt to all cores with rings that are made; the two readers below share it.
+    dealt = dealt.repartition(PER_CORE * blocks.sparkSession.sparkContext.defaultParallelism)
+    # A block covers a cell if none of its edges comes near the cell and the cell's middle is inside.
+    side = lambda c, i, sign: (F.col(c) + i) * cell + sign * cell * 1e-6
+    beside = lambda c, p, q: (F.greatest(p, q) < side(c, 0, -1)) | (F.least(p, q) > side(c, 1, 1))
+    after = F.concat(F.slice("ring", 2, F.size("ring")), F.slice("ring", 1, 1))
+    clear = F.forall(F.zip_with("ring", after, lambda p, q: beside("__cx", p["x"], q["x"]) | beside("__cy", p["y"], q["y"])), lambda c: c)
+    whole = dealt.filter(clear & geometry.polygon_contains(F.col("ring"), (F.col("__cx") + 0.5) * cell, (F.col("__cy") + 0.5) * cell))
+    covered = whole.groupBy("__cx", "__cy").agg(F.min("rank").alias("__first"))
+    return dealt.join(covered, ["__cx", "__cy"], "left").filter(F.col("__first").isNull() | (F.col("rank") <= F.col("__first"))).drop("__first")
+
+
+def blocks_of_points(points: DataFrame, blocks: DataFrame, cell: float) -> DataFrame:
+    """points with the name of the first block (by `rank`) whose ring holds them, null where none does.
+
+    Points and blocks meet in grid cells, so every block is compared with near points only. A cell's points are in SPREAD parts.
+    """
+    near = blocks_in_cells(blocks, cell).withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    meet = ["__cx", "__cy", "__part"]
+    at = points.withColumns({"__cx": F.floor(F.col("x") / cell), "__cy": F.floor(F.col("y") / cell), "__part": F.pmod(F.hash("id", "x", "y"), F.lit(SPREAD))})
+    # Points are little to read and much to compare: they are dealt to all cores, however small they are.
+    at = at.repartition(PER_CORE * points.sparkSession.sparkContext.defaultParallelism, *meet)
+    inside = F.col("x").between(F.col("__lowx"), F.col("__highx")) & F.col("y").between(F.col("__lowy"), F.col("__highy"))
+    met = at.join(near, meet).filter(inside & geometry.polygon_contains(F.col("ring"), F.col("x"), F.col("y")))
     first = met.groupBy("id").agg(F.min_by("name", "rank").alias("name"))
     return points.join(first, "id", "left")
 

@@ -50,3 +50,29 @@ def test_documents_of_one_file_are_dealt_to_all_cores(spark):
     found = jsoncoords.find_coordinates(docs)
     assert found.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
     assert sorted(r.id for r in found.collect()) == list(range(40))
+
+
+def test_first_blocks_of_points_where_many_overlap(spark):
+    rnd = random.Random(5)
+    spots = [(i, rnd.choice([rnd.uniform(-700, 2600), rnd.randint(-7, 26) * 100.0]), rnd.uniform(-700, 2600)) for i in range(400)]
+    blocks = []
+    for rank in range(120):
+        x, y, w, h = rnd.uniform(-500, 2000), rnd.randint(-5, 20) * 100.0, rnd.uniform(50, 1500), rnd.choice([100.0, 700.0, 1300.0])
+        corners = [(x, y), (x + w, y), (x + w, y + h), (x, y + h)]
+        if rank % 3 == 0:
+            corners = [(x, y), (x + w, y + h / 3), (x + w / 2, y + h), (x + w / 3, y + h / 2)]
+        blocks.append((rank * 7 % 120, f"b{rank}", corners))
+    rows = spark.createDataFrame(blocks, f"rank int, name string, ring {geometry.RING}")
+    got = {r.id: r.name for r in scene.blocks_of_points(spark.createDataFrame(spots, "id int, x double, y double"), rows, 500.0).select("id", "name").collect()}
+
+    def holds(ring, x, y):
+        return sum((py > y) != (qy > y) and x < px + (qx - px) * (y - py) / (qy - py) for (px, py), (qx, qy) in zip(ring, ring[1:] + ring[:1])) % 2 == 1
+
+    for i, x, y in spots:
+        assert got[i] == next((n for _, n, ring in sorted(blocks) if holds(ring, x, y)), None)
+
+
+def test_blocks_behind_one_that_covers_a_cell_are_left_out(spark):
+    blocks = spark.range(300).selectExpr("CAST(id AS INT) AS rank", "concat('b', id) AS name").withColumn("ring", geometry.ring_from_box(-100.0, -100.0, 1100.0, 900.0))
+    kept = {(r["__cx"], r["__cy"]): r["count"] for r in scene.blocks_in_cells(blocks, 500.0).groupBy("__cx", "__cy").count().collect()}
+    assert len(kept) == 12 and kept[0, 0] == kept[1, 0] == 1 and kept[2, 0] == kept[0, 1] == 300
