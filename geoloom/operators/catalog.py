@@ -96,11 +96,11 @@ def grid_km(state: str, dataset: str) -> int:
 
 def area_jobs(areas: DataFrame, state: str, dataset: str) -> DataFrame:
     """One job per file that any of the areas (min_x, min_y, max_x, max_y) needs: its tile, file, mirrors and megabytes (null where unknown)."""
-    t = tiles.covering_tiles(areas, grid_km(state, dataset)).select("east_km", "north_km")
+    t = tiles.union_tiles(areas, grid_km(state, dataset))
     if state == "bw":
         e, n = delivery_cell(F.col("east_km"), F.col("north_km"))
-        t = t.select(e.alias("east_km"), n.alias("north_km"))
-    return state_jobs(t.distinct(), state, dataset).withColumn("megabytes", F.lit(TILE_MB.get((state, dataset))).cast("double"))
+        t = t.select(e.alias("east_km"), n.alias("north_km")).distinct()
+    return state_jobs(t, state, dataset).withColumn("megabytes", F.lit(TILE_MB.get((state, dataset))).cast("double"))
 
 
 def height_dataset(state: str, dataset: str) -> str:
@@ -152,7 +152,7 @@ def wanted_only(items: DataFrame, tiles_: DataFrame) -> DataFrame:
 def map_jobs(areas: DataFrame, state: str, base: str, layer: str, pixels: int = 2000) -> DataFrame:
     """file and url of the image of each kilometre tile that an area (min_x, min_y, max_x, max_y) covers."""
     zone = next(z for s, z, *_ in STATES if s == state)
-    t = tiles.covering_tiles(areas, 1).select("east_km", "north_km").distinct()
+    t = tiles.union_tiles(areas, 1)
     url = tiles.map_request(base, layer, F.col("east_km"), F.col("north_km"), pixels=pixels, epsg=25800 + zone)
     return t.select("east_km", "north_km", tiles.tile_name(F.col("east_km"), F.col("north_km"), f"{layer}_").alias("file"), url.alias("url"))
 

@@ -76,3 +76,19 @@ def test_blocks_behind_one_that_covers_a_cell_are_left_out(spark):
     blocks = spark.range(300).selectExpr("CAST(id AS INT) AS rank", "concat('b', id) AS name").withColumn("ring", geometry.ring_from_box(-100.0, -100.0, 1100.0, 900.0))
     kept = {(r["__cx"], r["__cy"]): r["count"] for r in scene.blocks_in_cells(blocks, 500.0).groupBy("__cx", "__cy").count().collect()}
     assert len(kept) == 12 and kept[0, 0] == kept[1, 0] == 1 and kept[2, 0] == kept[0, 1] == 300
+
+
+def test_union_of_overlapping_boxes(spark):
+    rnd = random.Random(8)
+    boxes = [(x, y, x + rnd.choice([0, 400, 9_000, 70_000]), y + rnd.choice([0, 700, 5_000, 40_000])) for x, y in ((rnd.uniform(-30_000, 90_000), rnd.choice([rnd.uniform(-9_000, 60_000), 3_000.0])) for _ in range(60))]
+    df = spark.createDataFrame(boxes, "min_x double, min_y double, max_x double, max_y double")
+    for km in (1, 2):
+        got = [tuple(r) for r in tiles.union_tiles(df, km).collect()]
+        want = {(e * km, n * km) for x0, y0, x1, y1 in boxes for e in range(math.floor(x0 / km / 1000), math.ceil(x1 / km / 1000)) for n in range(math.floor(y0 / km / 1000), math.ceil(y1 / km / 1000))}
+        assert len(got) == len(want) and set(got) == want
+
+
+def test_areas_that_cover_each_other_are_not_unfolded(spark):
+    # 2,000 areas of a million tiles each: two thousand million rows if each were unfolded.
+    df = spark.range(2000).selectExpr("0e0 AS min_x", "0e0 AS min_y", "1000000e0 + id AS max_x", "1000000e0 AS max_y")
+    assert tiles.union_tiles(df).count() == 1002 * 1000
