@@ -103,11 +103,23 @@ def _steps(rays: DataFrame, count: Column, step: float, terrain: DataFrame, grid
     return s.withColumns({f"p{c}": at(c, F.col("k")) for c in "xyz"}).drop("br", "bc", "top", "gap", "__n", "__j", "__first", "__last", "__low")
 
 
+#: What makes a ray.
+WAY = ["x", "y", "z", "dx", "dy", "dz"]
+
+
 def hit_ground(rays: DataFrame, terrain: DataFrame, grid: Grid, max_range: float, step: float | None = None, key: str = "ray_id") -> DataFrame:
     """rays with hit_x, hit_y, hit_z (null: none). rays has a unique key, x, y, z and a unit direction dx, dy, dz.
 
-    A hit half a step earlier is taken if that point is below the ground, too.
+    A hit half a step earlier is taken if that point is below the ground, too. Rays that run the same way are marched once.
     """
+    ways = rays.select(*WAY).distinct().withColumn("__way", F.struct(*WAY))
+    hits = _hits(ways, terrain, grid, max_range, step, "__way").select(*(F.col("__way")[c].alias(f"__{c}") for c in WAY), "hit_x", "hit_y", "hit_z")
+    same = [F.col(c) == F.col(f"__{c}") for c in WAY]
+    return rays.join(hits, same, "left").drop(*(f"__{c}" for c in WAY))
+
+
+def _hits(rays: DataFrame, terrain: DataFrame, grid: Grid, max_range: float, step: float | None, key: str) -> DataFrame:
+    """rays with their hits, each marched for itself."""
     step = step or grid.pixel * 0.75
     top, lowest = terrain.agg(F.max("value"), F.min("value")).first()
     if top is None:

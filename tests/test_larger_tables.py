@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from geoloom.operators import geometry, jsoncoords, scene, tiles, trajectory
+from geoloom.operators import geometry, jsoncoords, raster, scene, sensors, tiles, trajectory
 from geoloom.plans import points
 
 
@@ -92,3 +92,14 @@ def test_areas_that_cover_each_other_are_not_unfolded(spark):
     # 2,000 areas of a million tiles each: two thousand million rows if each were unfolded.
     df = spark.range(2000).selectExpr("0e0 AS min_x", "0e0 AS min_y", "1000000e0 + id AS max_x", "1000000e0 AS max_y")
     assert tiles.union_tiles(df).count() == 1002 * 1000
+
+
+def test_rays_that_run_the_same_way_are_marched_once(spark, monkeypatch):
+    g = raster.Grid(20, 20, 0.0, 20.0, 1.0)
+    cells = g.cells(spark).withColumn("value", F.lit(5.0))
+    rays = spark.range(600).selectExpr("id AS ray_id", "5.5e0 + id % 3 AS x", "5.5e0 AS y", "9e0 AS z", "0e0 AS dx", "0e0 AS dy", "-1e0 AS dz")
+    marched, march = [], sensors._hits
+    monkeypatch.setattr(sensors, "_hits", lambda ways, *rest: (marched.append(ways.count()), march(ways, *rest))[1])
+    got = sensors.hit_ground(rays, cells, g, 50.0).collect()
+    assert marched == [3] and len(got) == 600
+    assert all((r.hit_x, r.hit_y, r.hit_z) == (r.x, 5.5, 5.0) for r in got)
