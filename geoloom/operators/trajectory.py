@@ -188,7 +188,7 @@ def _dot(p: Column, q: Column) -> Column:
 
 def _arc_weights(dot: Column, t: Column) -> tuple[Column, Column]:
     """Shares of two rotations between which lies one at t; nearly equal ones are mixed in a straight line."""
-    sign, near = F.when(dot < 0, -1.0).otherwise(1.0), F.abs(dot) > 1.0 - 1e-6
+    sign, near = F.when(dot < 0, -1.0).otherwise(1.0), F.coalesce(F.abs(dot) > 1.0 - 1e-6, F.lit(True))
     angle = F.acos(F.least(F.abs(dot), F.lit(1.0)))
     a = F.when(near, 1.0 - t).otherwise(F.sin((1.0 - t) * angle) / F.sin(angle))
     return a, F.when(near, t).otherwise(F.sin(t * angle) / F.sin(angle)) * sign
