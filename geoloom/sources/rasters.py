@@ -239,9 +239,11 @@ class GeoTiffWriter(DataSourceArrowWriter):
                 own = (names.dictionary[int(codes[a])].as_py(), int(fr[a]), int(fc[a]))
                 if own != name:
                     finish()
-                    name, grid, seen = own, np.full((self.side, self.side), np.nan, np.float32), (0, 0)
+                    # No more than the file has: a long and narrow raster that is one file is no square.
+                    name, grid, seen = own, np.full(self._extent(own[1], own[2], (self.side, self.side)), np.nan, np.float32), (0, 0)
                     place = tuple(batch.column(c)[int(a)].as_py() for c in ("origin_x", "origin_y", "pixel"))
-                grid[rows[a:b], cols[a:b]] = values[a:b]
+                inside = (rows[a:b] < grid.shape[0]) & (cols[a:b] < grid.shape[1])
+                grid[rows[a:b][inside], cols[a:b][inside]] = values[a:b][inside]
                 seen = (max(seen[0], int(rows[a:b].max()) + 1), max(seen[1], int(cols[a:b].max()) + 1))
         finish()
         return Done(moves)

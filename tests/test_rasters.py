@@ -7,6 +7,7 @@ import zipfile
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -211,6 +212,23 @@ def test_overwrite_append_mask_and_empty(spark, tmp_path):
         rasters.write_rasters(flat, path, 0.0, 0.0, 1.0, side=100)
 
 
+def test_a_long_raster_that_is_one_file_is_no_square_in_memory(tmp_path):
+    import tracemalloc
+
+    n = 8000
+    writer = rasters.GeoTiffWriter({"path": str(tmp_path), "side": str(8192), "height": str(n), "width": "3", "file": "long.tif"}, False)
+    row = np.arange(n, dtype=np.int64)
+    columns = [pa.array(["raster"] * n), *(pa.array(np.full(n, v)) for v in (0.0, 50.0, 2.0)), *[pa.array(np.zeros(n, np.int32))] * 2, pa.array(row), pa.array(row % 3), pa.array((row % 7).astype(np.float32))]
+    tracemalloc.start()
+    done = writer.write([pa.RecordBatch.from_arrays(columns, rasters.WRITTEN)])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    writer.commit([done])
+    _, grid = geotiff.decode((tmp_path / "long.tif").read_bytes())
+    assert grid.shape == (n, 3) and all(grid[r, r % 3] == r % 7 for r in range(n)) and np.isnan(grid).sum() == 2 * n
+    assert peak < 64 << 20
+
+
 def test_a_lost_task_leaves_nothing(tmp_path):
     writer = rasters.GeoTiffWriter({"path": str(tmp_path)}, False)
     files.write(files.hidden(str(tmp_path), writer.job), [b"half a file"])
