@@ -373,7 +373,7 @@ class Result:
     scene: Scene | None = None
 
 
-def _once(df: DataFrame, label: str) -> DataFrame:
+def made_once(df: DataFrame, label: str) -> DataFrame:
     """df, written to the shared folder: what several outputs read is made once."""
     path = files.scratch(df.sparkSession, label)
     df.write.parquet(path)
@@ -389,8 +389,8 @@ def plan(spark: SparkSession, doc: Document, base: str, once: bool = False) -> R
         raise ValueError("; ".join(found))
     scene, o = build(spark, doc, base), doc.outputs
     if once:
-        scene.terrain = _once(scene.terrain, "terrain")
-        scene.samples = None if scene.samples is None else _once(scene.samples, "track")
+        scene.terrain = made_once(scene.terrain, "terrain")
+        scene.samples = None if scene.samples is None else made_once(scene.samples, "track")
     if scene.samples is not None and scene.samples.filter("q IS NOT NULL").isEmpty():
         scene.samples = scene.samples.drop("q")
     out = Result(scene=scene)
@@ -403,8 +403,8 @@ def plan(spark: SparkSession, doc: Document, base: str, once: bool = False) -> R
     if scene.samples is not None:
         out.points = point_set(scene, doc.sensor, o.pointStepSeconds, o.includeTrajectory, o.includeBoresight)
     if once:
-        out.areas = {name: _once(mask, "area") for name, mask in out.areas.items()}
-        out.points = _once(out.points, "points") if out.points is not None and (o.unityPoints or o.unityScene) else out.points
+        out.areas = {name: made_once(mask, "area") for name, mask in out.areas.items()}
+        out.points = made_once(out.points, "points") if out.points is not None and (o.unityPoints or o.unityScene) else out.points
     return out
 
 

@@ -31,7 +31,8 @@ def frames(samples: DataFrame, step: float, key: str = "id") -> DataFrame:
     part = F.lit(PER_STRETCH).cast("long")
     runs = ends.withColumn("n", F.floor((F.col("t1") - F.col("t0")) / step)).select(key, "t0", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("n") / part))).alias("run"))
     each = F.sequence(F.col("run") * part, F.least(F.col("n"), (F.col("run") + 1) * part - 1))
-    return runs.select(key, "t0", F.explode(each).alias("i")).select(key, (F.col("t0") + F.col("i") * step).alias("t"))
+    # The frames of one track are unfolded by many tasks.
+    return runs.repartition(F.col(key), F.col("run")).select(key, "t0", F.explode(each).alias("i")).select(key, (F.col("t0") + F.col("i") * step).alias("t"))
 
 
 def _stretched(rows: DataFrame, key: str, per: int) -> DataFrame:
@@ -40,7 +41,9 @@ def _stretched(rows: DataFrame, key: str, per: int) -> DataFrame:
     place = F.floor((F.col("t") - F.col("__t0")) / (F.col("__t1") - F.col("__t0")) * F.col("__n"))
     many = (F.col("__n") > 1) & (F.col("__t1") > F.col("__t0"))
     both = rows.join(spans.withColumnRenamed(key, "__key"), F.col(key).eqNullSafe(F.col("__key")))
-    return both.withColumn("__part", F.coalesce(F.when(many, F.least(place, F.col("__n") - 1)), F.lit(0).cast("long"))).drop("__key", "__t0", "__t1", "__n")
+    both = both.withColumn("__part", F.coalesce(F.when(many, F.least(place, F.col("__n") - 1)), F.lit(0).cast("long"))).drop("__key", "__t0", "__t1", "__n")
+    # Dealt by stretches: else Spark keeps the rows as the join by the key alone has dealt them, a whole track in one task.
+    return both.repartition(F.col(key), F.col("__part"))
 
 
 def _beside(rows: DataFrame, key: str) -> DataFrame:

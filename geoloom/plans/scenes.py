@@ -107,7 +107,7 @@ def scene_points(spark, sf_dir):
     doc = scenedoc.parse('{"map": {"terrainFile": "ground.tif"}, "trajectory": {"file": "flight.json", "mapping": {"fields": {"time": "Time", "easting": "X", "NORTHING": "Y", "msl": "Z", "course": "Yaw"}, "timeDivisor": 1000}}, '
                          '"outputs": {"unityPoints": "out/points.json", "pointStepSeconds": 0.25}}')
     table_ = tracks.read_table(spark, f"{folder}/flight.json")
-    whole = tracks.samples(table_, doc.trajectory.mapping.mapping()).withColumn("id", F.lit("flight"))
+    whole = scenedoc.made_once(tracks.samples(table_, doc.trajectory.mapping.mapping()).withColumn("id", F.lit("flight")), "track")
     scene = scenedoc.Scene(flat.cells(spark).withColumn("value", F.lit(5.0)), flat, samples=whole)
     points = scenedoc.point_set(scene, None, doc.outputs.pointStepSeconds, True, False)
     bundle.write_points(points, f"{folder}/out", "points.json", bundle.anchor_facts(spark, scene.anchor, 32), most=20_000)

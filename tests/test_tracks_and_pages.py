@@ -5,6 +5,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from geoloom.functions import addresses
@@ -158,3 +159,20 @@ def test_jobs_of_areas_and_height_datasets(spark):
     for state, dataset in (("sh", "dom1"), ("xx", "dgm1")):
         with pytest.raises(ValueError):
             catalog.height_dataset(state, dataset)
+
+
+def test_stretches_of_one_track_are_dealt_to_several_tasks(spark):
+    # As with tables of which Spark doesn't know that their spans are small.
+    own = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    kept = {k: spark.conf.get(k) for k in own}
+    try:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+        rows = spark.range(0, 1000, 1, 4).selectExpr("'flight' AS id", "id * 1e0 AS t")
+        parts = trajectory._stretched(rows, "id", 10)
+        got = parts.withColumn("n", F.row_number().over(Window.partitionBy("id", "__part").orderBy("t"))).withColumn("task", F.spark_partition_id()).collect()
+        assert len(got) == 1000 and len({r.task for r in got}) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+        assert len({(r.task, r["__part"]) for r in got}) == len({r["__part"] for r in got}) == 100
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
