@@ -38,7 +38,8 @@ def dilate(a: DataFrame, grid: Grid, metres: float) -> DataFrame:
 
 def taller_than(surface: DataFrame, terrain: DataFrame, metres: float) -> DataFrame:
     """Cells whose surface stands at least so far above the terrain."""
-    joined = surface.select(*CELL, F.col("value").alias("s")).join(terrain.select(*CELL, F.col("value").alias("t")), CELL)
+    # Whole rasters meet by a shuffle: Spark would go by the size of files, and millions of cells may lie in a small one.
+    joined = surface.select(*CELL, F.col("value").alias("s")).join(terrain.select(*CELL, F.col("value").alias("t")).hint("merge"), CELL)
     return joined.filter(F.col("s") - F.col("t") >= metres).select(CELL)
 
 

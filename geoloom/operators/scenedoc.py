@@ -373,6 +373,10 @@ class Result:
     scene: Scene | None = None
 
 
+#: Cells of a terrain that is made once which joins may send to every worker, at most. Spark goes by the size of the files, and nine million cells may take 1.5 MB.
+BROADCAST_CELLS = 200_000
+
+
 def made_once(df: DataFrame, label: str) -> DataFrame:
     """df, written to the shared folder: what several outputs read is made once."""
     path = files.scratch(df.sparkSession, label)
@@ -390,6 +394,8 @@ def plan(spark: SparkSession, doc: Document, base: str, once: bool = False) -> R
     scene, o = build(spark, doc, base), doc.outputs
     if once:
         scene.terrain = made_once(scene.terrain, "terrain")
+        if scene.grid.width * scene.grid.height > BROADCAST_CELLS:
+            scene.terrain = scene.terrain.hint("merge")
         scene.samples = None if scene.samples is None else made_once(scene.samples, "track")
     if scene.samples is not None and scene.samples.filter("q IS NOT NULL").isEmpty():
         scene.samples = scene.samples.drop("q")

@@ -302,11 +302,15 @@ def write_rasters(cells: DataFrame, path: str, origin_x: float, origin_y: float,
     (options.option("epsg", epsg) if epsg else options).mode(mode).save(path)
 
 
+def _marked(mask: DataFrame, cells: DataFrame) -> DataFrame:
+    """cells with the value 1 where they are in the mask, else 0. The mask may be as large as the raster, however small its files are, so it meets the cells by a shuffle."""
+    inside = mask.select("row", "col").distinct().withColumn("value", F.lit(1.0))
+    return cells.select("row", "col").join(inside.hint("merge"), ["row", "col"], "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
+
+
 def write_mask(mask: DataFrame, cells: DataFrame, path: str, origin_x: float, origin_y: float, pixel: float, **options) -> None:
     """A set of cells (row, col) as a raster of 1 inside and 0 outside; cells: all cells of the raster."""
-    inside = mask.select("row", "col").distinct().withColumn("value", F.lit(1.0))
-    both = cells.select("row", "col").join(inside, ["row", "col"], "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
-    write_rasters(both, path, origin_x, origin_y, pixel, nodata=-1.0, **options)
+    write_rasters(_marked(mask, cells), path, origin_x, origin_y, pixel, nodata=-1.0, **options)
 
 
 #: Cells of a raster that is saved as one file, at most; a larger one becomes a folder of files.
@@ -330,9 +334,7 @@ def save_grid(cells: DataFrame, grid: Grid, path: str, nodata: float = -9999.0,
 
 def save_mask(mask: DataFrame, grid: Grid, path: str, epsg: int | None = None, one_file: int = ONE_FILE) -> list[str]:
     """A set of cells as a raster of 1 inside and 0 outside."""
-    inside = mask.select("row", "col").distinct().withColumn("value", F.lit(1.0))
-    both = grid.cells(mask.sparkSession).join(inside, ["row", "col"], "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
-    return save_grid(both, grid, path, nodata=-1.0, epsg=epsg, one_file=one_file)
+    return save_grid(_marked(mask, grid.cells(mask.sparkSession)), grid, path, nodata=-1.0, epsg=epsg, one_file=one_file)
 
 
 def _headers(batches):

@@ -3,10 +3,12 @@
 import math
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from geoloom.operators import geometry, jsoncoords, raster, scene, sensors, tiles, trajectory
+from geoloom.operators import geometry, jsoncoords, masks, raster, scene, scenedoc, sensors, tiles, trajectory
 from geoloom.plans import points
+from geoloom.sources import geotiff, rasters
 
 
 def test_half_a_turn_is_180(spark):
@@ -94,3 +96,37 @@ def test_rays_that_run_the_same_way_are_marched_once(spark, monkeypatch):
     got = sensors.hit_ground(rays, cells, g, 50.0).collect()
     assert marched == [3] and len(got) == 600
     assert all((r.hit_x, r.hit_y, r.hit_z) == (r.x, 5.5, 5.0) for r in got)
+
+
+def joined_by(df) -> set[str]:
+    """The kinds of join that have run."""
+    df.collect()
+    text = df._jdf.queryExecution().executedPlan().toString().partition("== Initial Plan ==")[0]
+    return {kind for kind in ("BroadcastHashJoin", "SortMergeJoin", "ShuffledHashJoin", "BroadcastNestedLoopJoin") if kind in text}
+
+
+def test_whole_rasters_meet_by_a_shuffle_however_small_their_files_are(spark, tmp_path, monkeypatch):
+    g = raster.Grid(400, 300, 0.0, 300.0, 1.0)
+    flat = scenedoc.made_once(g.cells(spark).withColumn("value", F.lit(5.0)), "cells")
+    tall = masks.taller_than(flat.withColumn("value", F.when(F.col("col") < 7, 8.0).otherwise(5.0)), flat, 3.0)
+    mask, given = scenedoc.made_once(tall, "area"), []
+    monkeypatch.setattr(rasters, "save_grid", lambda cells, *rest, **more: given.append(cells))
+    monkeypatch.setattr(rasters, "write_rasters", lambda cells, *rest, **more: given.append(cells))
+    rasters.save_mask(mask, g, f"{tmp_path}/mask.tif")
+    rasters.write_mask(mask, g.cells(spark), str(tmp_path), 0.0, 300.0, 1.0)
+    assert joined_by(tall) == {"SortMergeJoin"} and {tuple(r) for r in tall.collect()} == {(r, c) for r in range(300) for c in range(7)}
+    for cells in given:
+        assert joined_by(cells) == {"SortMergeJoin"} and cells.groupBy("value").count().orderBy("value").collect() == [(0.0, 300 * 393), (1.0, 300 * 7)]
+    assert len(given) == 2
+
+
+def test_a_large_terrain_is_not_sent_to_every_worker(spark, tmp_path):
+    found = {}
+    for name, (h, w) in {"large": (500, 450), "small": (50, 40)}.items():
+        (tmp_path / f"{name}.tif").write_bytes(geotiff.encode(np.full((h, w), 7.0, np.float32), 0.0, float(h), 1.0))
+        made = scenedoc.plan(spark, scenedoc.parse(f'{{"map": {{"terrainFile": "{name}.tif"}}}}'), str(tmp_path), once=True).scene
+        spots = spark.range(40).selectExpr("id", "id + 0.5e0 AS x", "3.5e0 AS y")
+        at = raster.nearest(spots, made.terrain, made.grid)
+        found[name] = joined_by(at)
+        assert [r.value for r in at.collect()] == [7.0] * 40
+    assert found == {"large": {"SortMergeJoin"}, "small": {"BroadcastHashJoin"}}
