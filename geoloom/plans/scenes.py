@@ -72,11 +72,15 @@ def scene_areas(spark, sf_dir):
     """A scene document over heights, a surface and classes from all orders; its areas are written as masks and read again."""
     orders, folder = table(spark, sf_dir, "orders"), files.scratch(spark, "scene")
     grid = _grid(orders)
-    for name, value in (("ground", "o_orderkey % 50"), ("top", "o_orderkey % 50 + (o_custkey * 7) % 23"), ("classes", "o_orderkey * 31 % 17")):
-        rasters.save_grid(_cells(orders, value), grid, f"{folder}/{name}.tif")
-    doc = scenedoc.parse("""{ // paths are relative
+    text = """{ // paths are relative
       "Map": {"TERRAINFILE": "ground.tif", "surfaceFile": "top.tif", "classificationFile": "classes.tif", "unknown": {"a": 1},},
-      "areas": [{"name": "tall", "objectsTallerThan": 20, "geoTiff": "out/tall.tif"}, {"name": "class", "inClass": 3, /* two cells */ "dilateMeters": 4, "geoTiff": "out/class.tif"},], }""")
+      "areas": [{"name": "tall", "objectsTallerThan": 20, "geoTiff": "out/tall.tif"}, {"name": "class", "inClass": 3, /* two cells */ "dilateMeters": 4, "geoTiff": "out/class.tif"},], }"""
+    for name, value in (("ground", "o_orderkey % 50"), ("top", "o_orderkey % 50 + (o_custkey * 7) % 23"), ("classes", "o_orderkey * 31 % 17")):
+        path = f"{folder}/{name}.tif"
+        # A raster that is too large for one file is a folder of files.
+        if rasters.save_grid(_cells(orders, value), grid, path) != [path]:
+            text = text.replace(f'"{name}.tif"', f'"{name}"')
+    doc = scenedoc.parse(text)
     out = scenedoc.run(spark, doc, folder)
     seen = rasters.read_rasters(spark, f"{folder}/out").filter("value = 1")
     row, col = grid.cell(F.col("x"), F.col("y"))

@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from geoloom.operators import geometry, jsoncoords, masks, raster, scene, scenedoc, sensors, tiles, trajectory
-from geoloom.plans import points
+from geoloom.plans import points, scenes
 from geoloom.sources import geotiff, rasters
 
 
@@ -130,3 +130,22 @@ def test_a_large_terrain_is_not_sent_to_every_worker(spark, tmp_path):
         found[name] = joined_by(at)
         assert [r.value for r in at.collect()] == [7.0] * 40
     assert found == {"large": {"SortMergeJoin"}, "small": {"BroadcastHashJoin"}}
+
+
+def test_scene_areas_over_rasters_of_many_files(spark, tmp_path, monkeypatch):
+    n = 205_300
+    spark.range(n).selectExpr("id AS o_orderkey", "id * 13 % 997 AS o_custkey").write.parquet(f"{tmp_path}/orders.parquet")
+    save, made = rasters.save_grid, []
+
+    def in_many(*given, **more):
+        made.append(save(*given, **{**more, "one_file": 1000}))
+        return made[-1]
+
+    monkeypatch.setattr(rasters, "save_grid", in_many)
+    got = {r.area: (r.cells, r.places) for r in scenes.scene_areas(spark, str(tmp_path)).collect()}
+    tall = [(k // 200, k % 200) for k in range(n) if k * 13 % 997 * 7 % 23 >= 20]
+    near = [(i, j) for i in range(-2, 3) for j in range(-2, 3) if abs(i) + abs(j) <= 2]
+    grown = {(k // 200 + i, k % 200 + j) for k in range(n) if k * 31 % 17 == 3 for i, j in near}
+    grown = [(r, c) for r, c in grown if 0 <= r <= (n - 1) // 200 and 0 <= c < 200]
+    assert [len(paths) for paths in made] == [2] * 5
+    assert got == {name: (len(cells), sum(r * 7 + c for r, c in cells)) for name, cells in (("tall", tall), ("class", grown))}
